@@ -1,9 +1,9 @@
 """The analysis run on the driver's tables, stage by stage. Each function returns a lazy DataFrame."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from steadyline.config import DEFAULT_POLICY, Policy
-from steadyline.operators import baselines as B, panel, signals as A
+from steadyline.operators import baselines as B, labels, panel, signals as A, workflow
 from steadyline.sources.guards import select_allowed
 from steadyline.sources.staging import staged
 from steadyline.sources.tables import read_records, read_table
@@ -71,3 +71,129 @@ def flags(dense: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
 
 def found(flagged: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     return A.candidates(A.episodes(A.with_recovery(flagged, policy), policy), policy)
+
+
+def cases_and_ledger(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY):
+    """(flags, found, cases, ledger); flags and cases are staged because several results share them."""
+    flagged = staged(flags(spine(spark, sf_dir), policy), "flags")
+    candidates = staged(found(flagged, policy), "found")
+    cases, ledger = A.admit(candidates, policy)
+    return flagged, candidates, staged(cases, "cases"), ledger
+
+
+# ---- group dimension and accounts, derived from the region and nation tables ------------------------
+
+
+def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "region")
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").alias("group_id"), F.col("n_name").alias("group_name"), F.col("r_name").alias("region_name")
+    )
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per region a reviewer and a lead (the last lead holds a purpose its role must not have), and two accounts for all."""
+    nation = read_table(spark, sf_dir, "nation")
+    listed = F.array_sort(F.collect_set("n_nationkey")).alias("groups")
+    regional, everywhere = nation.groupBy("n_regionkey").agg(listed), nation.agg(listed)
+
+    def account(df, name, role, purposes):
+        return df.select(name.alias("account_id"), F.lit(role).alias("role"), purposes.alias("purposes"), "groups")
+
+    def held(*names):
+        return F.array(*[F.lit(n) for n in names])
+
+    region = F.col("n_regionkey")
+    lead_purposes = F.when(region == 4, held("aggregate", "support")).otherwise(held("aggregate"))
+    return (
+        account(regional, F.concat(F.lit("reviewer-"), region), "reviewer", held("support"))
+        .unionByName(account(regional, F.concat(F.lit("lead-"), region), "lead", lead_purposes))
+        .unionByName(account(everywhere, F.lit("reviewer-all"), "reviewer", held("support")))
+        .unionByName(account(everywhere, F.lit("auditor-all"), "auditor", held("audit")))
+    )
+
+
+# ---- action log, follow-ups, duties --------------------------------------------------------------------
+
+ACTION_OF = {
+    "view": "acknowledge",
+    "click": "start_review",
+    "purchase": "progress_support",
+    "error": "close",
+    "signup": "reopen",
+}
+REASON_CODES = [f"R{i}" for i in range(10)]
+LOG_ROLES = ["reviewer", "lead", "auditor"]
+LOG_PURPOSES = ["support", "aggregate", "audit"]
+
+
+def _pick(values: list[str], index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Action log per entity: the event type gives the action, the number in ``props`` the rest."""
+    events = read_table(spark, sf_dir, "events")
+    action = F.lit(None).cast("string")
+    for kind, name in ACTION_OF.items():
+        action = F.when(F.col("event_type") == kind, F.lit(name)).otherwise(action)
+    k = F.regexp_extract("props", r"([0-9]+)", 1).cast("int")
+    return events.withColumn("k", k).select(
+        F.col("user_id").alias("case_id"),
+        "ts",
+        F.col("event_id").alias("seq"),
+        action.alias("action"),
+        F.when(F.col("k") % 4 == 0, _pick(workflow.STATES, F.col("k") % 7)).alias("expected_state"),
+        F.concat(F.lit("R"), (F.col("k") % 12).cast("string")).alias("reason_code"),
+        _pick(LOG_ROLES, F.col("k") % 3).alias("role"),
+        _pick(LOG_PURPOSES, F.floor(F.col("k") / 2) % 3).alias("purpose"),
+    )
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.replay(actions(spark, sf_dir), REASON_CODES)
+
+
+def cases_with_state(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:
+    states = workflow.current_states(replayed(spark, sf_dir)).select(F.col("case_id").alias("entity_id"), "state")
+    return cases.join(states, "entity_id", "left").withColumn("state", F.coalesce("state", F.lit("open")))
+
+
+def followups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as dated items: F is done, O is scheduled, P has no date yet."""
+    orders = read_table(spark, sf_dir, "orders")
+    due = F.when(F.col("o_orderstatus") != "P", F.date_add(F.to_date("o_orderdate"), 30))
+    done = F.when(
+        F.col("o_orderstatus") == "F", F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 7 + 26).cast("int"))
+    )
+    return orders.select(
+        F.col("o_orderkey").alias("followup_id"), F.col("o_custkey").alias("entity_id"), due.alias("due"), done.alias("done")
+    )
+
+
+def order_as_of(spark: SparkSession, sf_dir: str):
+    return read_table(spark, sf_dir, "orders").agg(F.max(F.to_date("o_orderdate")).alias("d")).scalar()
+
+
+def duties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and purchases as duties of ``value`` minutes."""
+    events = read_records(spark, sf_dir).filter(F.col("event_type").isin("click", "purchase"))
+    length = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.round(F.col("value") * 60).cast("decimal(18,6)"))
+    return events.select("entity_id", F.col("ts").alias("start_ts"), (F.col("ts") + length).alias("end_ts"))
+
+
+def labelled(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    return labels.forward_label(spine(spark, sf_dir), report_days(spark, sf_dir), policy)
+
+
+STRATEGIES = ["rule_score", "temporal_score", "load"]
+
+
+def scored(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """Judged entity-days with a full label horizon, split in time order; staged, as every metric reads it twice."""
+    dense = spine(spark, sf_dir)
+    label = labels.forward_label(dense, report_days(spark, sf_dir), policy).filter("full_horizon and label is not null")
+    judged = features(dense, policy).filter(F.col("rule_score").isNotNull())
+    rows = judged.join(label.select("entity_id", "day", "label"), ["entity_id", "day"])
+    rows = rows.withColumn("row_id", F.col("entity_id") * 100000 + F.col("day_no"))
+    return staged(labels.time_split(rows), "scored")

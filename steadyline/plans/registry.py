@@ -1,11 +1,25 @@
 """Every operator on the driver's tables, by inventory number."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import functions as F
 
 from steadyline.config import DEFAULT_POLICY as P
-from steadyline.operators import baselines as B, signals as A
+from steadyline.operators import access as X
+from steadyline.operators import audit as H
+from steadyline.operators import baselines as B
+from steadyline.operators import explain as E
+from steadyline.operators import followup as U
+from steadyline.operators import labels as L
+from steadyline.operators import models as M
+from steadyline.operators import quality as Q
+from steadyline.operators import queue as R
+from steadyline.operators import ranking as K
+from steadyline.operators import signals as A
+from steadyline.operators import summary as S
+from steadyline.operators import workflow as W
 from steadyline.plans import flow
+from steadyline.sources import guards, publish, staging
 from steadyline.sources.staging import staged
+from steadyline.sources.tables import read_table
 
 QUERIES = {}
 
@@ -161,3 +175,613 @@ def a14_no_report_effect(spark, sf):
         return A.admit(found, P)[0].select(*CASE_COLUMNS)
 
     return A.report_effect(cases(True), cases(False))
+
+
+# ---- sources and sinks -----------------------------------------------------------------------------
+
+
+@query
+def s3_allowed_columns(spark, sf):
+    customers = read_table(spark, sf, "customer")
+    return guards.select_allowed(customers, ["c_custkey", "c_nationkey", "c_mktsegment"], ["c_name", "c_acctbal"])
+
+
+def _published(spark, sf):
+    _, _, cases, ledger = flow.cases_and_ledger(spark, sf)
+    path = staging.new_location(spark, "publish")
+    exports = {
+        "cases": publish.Export(cases, CASE_COLUMNS, "case_day"),
+        "ledger": publish.Export(ledger, ["case_id", "group_id", "case_day", "reason"]),
+    }
+    publish.publish(exports, path, "2024-01-30", "none", forbidden=["reports", "signup", "label"])
+    return path
+
+
+@query
+def s4_publish(spark, sf):
+    return publish.read_verified(spark, _published(spark, sf), "cases").select(*CASE_COLUMNS)
+
+
+@query
+def s5_manifest(spark, sf):
+    return publish.manifest(spark, _published(spark, sf) + "/data")
+
+
+@query
+def s6_verify_manifest(spark, sf):
+    path = _published(spark, sf)
+    checked = publish.verify_manifest(
+        publish.manifest(spark, path + "/data"), spark.read.parquet(path + "/manifest")
+    )
+    table = F.substring_index("file", "/", 1)
+    return checked.groupBy(table.alias("dataset")).agg(F.bool_and(F.col("status") == "ok").alias("ok"))
+
+
+@query
+def s7_same_content(spark, sf):
+    def run():
+        return flow.days(flow.records(spark, sf)).select("entity_id", "day", "load", "errors")
+
+    return publish.same_content(staged(run(), "run_a"), staged(run(), "run_b"))
+
+
+@query
+def s8_fingerprint(spark, sf):
+    return publish.fingerprint(read_table(spark, sf, "conversations"))
+
+
+@query
+def s9_nonfinite(spark, sf):
+    return guards.nonfinite_counts(read_table(spark, sf, "lineitem"))
+
+
+@query
+def s11_currency(spark, sf):
+    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    as_of = flow.days(flow.records(spark, sf)).agg(F.max("day").alias("d")).scalar()
+    return publish.currency(cases, as_of)
+
+
+@query
+def s12_append_actions(spark, sf):
+    log, path = flow.actions(spark, sf), staging.new_location(spark, "action_log")
+    middle = F.lit("2024-01-16").cast("timestamp_ntz")
+    publish.append_actions(log.filter(F.col("ts") < middle), path)
+    publish.append_actions(log.filter(F.col("ts") >= middle), path)
+    stored = spark.read.parquet(path)
+    return stored.groupBy("day", "action").agg(F.count("*").alias("n"))
+
+
+# ---- data quality ------------------------------------------------------------------------------------
+
+BOUNDS = {"l_quantity": (1, 45), "l_discount": (0.0, 0.08), "l_extendedprice": (0.0, 90000.0)}
+PLAUSIBLE = {
+    "returned_is_finished": "not (l_returnflag = 'R' and l_linestatus = 'O')",
+    "discount_below_price": "l_discount * l_extendedprice < l_extendedprice",
+}
+SEVERITY = [
+    ("range_l_quantity", "warning"), ("range_l_discount", "warning"), ("range_l_extendedprice", "warning"),
+    ("returned_is_finished", "warning"), ("discount_below_price", "error"), ("duplicate_key", "error"),
+    ("orphan_l_orderkey", "error"), ("orphan_l_partkey", "notice"),
+]
+LINE_KEY = ["l_orderkey", "l_linenumber"]
+
+
+@query
+def q1_completeness(spark, sf):
+    return Q.completeness(flow.spine(spark, sf), ["load", "errors", "value_sum"])
+
+
+@query
+def q2_range_check(spark, sf):
+    return Q.range_check(read_table(spark, sf, "lineitem"), BOUNDS)
+
+
+@query
+def q3_plausibility(spark, sf):
+    return Q.plausibility(read_table(spark, sf, "lineitem"), PLAUSIBLE)
+
+
+@query
+def q4_consistency(spark, sf):
+    orders = read_table(spark, sf, "orders").select("o_orderkey")
+    return Q.consistency(read_table(spark, sf, "lineitem"), LINE_KEY, [("l_orderkey", orders, "o_orderkey")])
+
+
+def _findings(spark, sf):
+    return q2_range_check(spark, sf).unionByName(q3_plausibility(spark, sf)).unionByName(q4_consistency(spark, sf))
+
+
+@query
+def q5_quality_summary(spark, sf):
+    return Q.quality_summary(_findings(spark, sf), spark.createDataFrame(SEVERITY, "rule string, severity string"))
+
+
+@query
+def q7_gate(spark, sf):
+    lines = read_table(spark, sf, "lineitem").select(*LINE_KEY, "l_quantity", "l_discount")
+    return Q.gate(lines, LINE_KEY, F.col("l_discount") > 0.08)
+
+
+# ---- access ----------------------------------------------------------------------------------------------
+
+SALT = "demo-salt"
+
+
+def _roster(spark, sf):
+    customers = read_table(spark, sf, "customer")
+    return customers.select(F.col("c_custkey").alias("entity_id"), F.col("c_nationkey").alias("group_id"))
+
+
+@query
+def p1_pseudonymise(spark, sf):
+    return X.pseudonymise(_roster(spark, sf), "entity_id", SALT).withColumnRenamed("entity_id", "pseudonym")
+
+
+@query
+def p2_reidentify(spark, sf):
+    identities = _roster(spark, sf).select("entity_id", X.pseudonym("entity_id", SALT).alias("pseudonym"))
+    return X.reidentify(p1_pseudonymise(spark, sf), identities, "reviewer-1", flow.accounts(spark, sf))
+
+
+@query
+def p3_strip_ids(spark, sf):
+    return X.strip_ids(read_table(spark, sf, "customer"), ["c_custkey", "c_name"])
+
+
+@query
+def p4_authorised(spark, sf):
+    return X.authorised(_roster(spark, sf), "reviewer-1", flow.accounts(spark, sf))
+
+
+@query
+def p5_effective_purpose(spark, sf):
+    accounts = flow.accounts(spark, sf)
+    declared = F.explode(F.array(*[F.lit(p) for _, p in X.ROLE_PURPOSES])).alias("declared")
+    return X.effective_purpose(accounts.select("account_id", declared), accounts)
+
+
+@query
+def p6_lookup(spark, sf):
+    """Each customer is asked for, and as many identifiers that do not exist."""
+    ids = F.explode(F.array(F.col("entity_id"), -F.col("entity_id") - 1)).alias("entity_id")
+    scoped = X.authorised(_roster(spark, sf), "reviewer-2", flow.accounts(spark, sf))
+    return X.lookup(_roster(spark, sf).select(ids), scoped)
+
+
+@query
+def p7_redact(spark, sf):
+    return X.redact(read_table(spark, sf, "documents").select("doc_id", "text"), "text")
+
+
+def _queue(spark, sf):
+    _, found, cases, _ = flow.cases_and_ledger(spark, sf)
+    return flow.cases_with_state(spark, sf, cases)
+
+
+@query
+def p8_filter_queue(spark, sf):
+    out = X.filter_queue(
+        _queue(spark, sf), levels=["moderate", "high", "low"], states=["open", "acknowledged", "in_review", "reopened"],
+        first="2024-01-08", last="2024-01-25",
+    )
+    return out.select("case_id", "case_day", "level", "state")
+
+
+@query
+def p9_directory(spark, sf):
+    return X.directory(_roster(spark, sf), "reviewer-3", flow.accounts(spark, sf))
+
+
+@query
+def p10_invalid_accounts(spark, sf):
+    accounts = flow.accounts(spark, sf)
+    return X.invalid_accounts(accounts, X.role_matrix(accounts))
+
+
+@query
+def p11_aggregate_only(spark, sf):
+    """Rows left for a support purpose and for the aggregate purpose."""
+    roster = _roster(spark, sf)
+    parts = [
+        X.enforce_aggregate_only(roster, p).agg(F.count("*").alias("rows")).withColumn("purpose", F.lit(p))
+        for p in ("support", "aggregate")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def p12_search_groups(spark, sf):
+    return X.search_groups(flow.groups(spark, sf), "NATION_1")
+
+
+@query
+def p13_scope_counts(spark, sf):
+    return X.scope_counts(_roster(spark, sf), flow.accounts(spark, sf))
+
+
+# ---- explanation -----------------------------------------------------------------------------------------
+
+FACTOR_COLUMNS = ["case_id", "metric", "value", "reference", "window_start", "window_end", "rule", "policy_version"]
+
+
+def _explained(spark, sf):
+    flagged, found, cases, _ = flow.cases_and_ledger(spark, sf)
+    return cases, E.factors(cases, flagged, P)
+
+
+@query
+def e1_factors(spark, sf):
+    return _explained(spark, sf)[1].select(*FACTOR_COLUMNS)
+
+
+@query
+def e2_explain(spark, sf):
+    """Nested factors, shown as their rules in order."""
+    cases, found = _explained(spark, sf)
+    nested = E.explain(cases, found).filter(F.col("factors").isNotNull())
+    return nested.select("case_id", F.concat_ws(",", F.transform("factors", lambda f: f["rule"])).alias("rules"))
+
+
+@query
+def e3_explain_or_absent(spark, sf):
+    cases, found = _explained(spark, sf)
+    return E.explain_or_absent(cases, found).select("case_id", "explanation_status")
+
+
+@query
+def e4_factor_count(spark, sf):
+    return E.factor_count(*_explained(spark, sf)).select("case_id", "factors")
+
+
+@query
+def e5_policy_at(spark, sf):
+    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    policies = spark.createDataFrame(
+        [("v1", "2024-01-01", "2024-01-16"), ("v2", "2024-01-16", None)], "policy_version string, f string, t string"
+    ).select("policy_version", F.to_date("f").alias("valid_from"), F.to_date("t").alias("valid_to"))
+    last_day = cases.agg(F.max("case_day").alias("d")).scalar()
+    return E.policy_at(cases, policies, last_day).select("case_id", "case_day", "valid_version")
+
+
+@query
+def e6_untraceable(spark, sf):
+    found = _explained(spark, sf)[1]
+    return found.agg(F.count("*").alias("factors")).select(
+        "factors", E.untraceable(found).agg(F.count("*").alias("n")).scalar().alias("untraceable")
+    )
+
+
+# ---- queue -----------------------------------------------------------------------------------------------
+
+
+@query
+def r1_queue(spark, sf):
+    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    return R.queue(cases).select("case_day", "level", "case_id")
+
+
+@query
+def r2_queue_for(spark, sf):
+    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    return R.queue_for(cases, "reviewer-all", flow.accounts(spark, sf), 10).select("case_day", "level", "case_id")
+
+
+@query
+def r3_staleness(spark, sf):
+    flagged, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    as_of = flagged.agg(F.max("day").alias("d")).scalar()
+    return R.staleness(cases, as_of, P).select("case_id", "age_days", "stale", "chip")
+
+
+@query
+def r4_queue_header(spark, sf):
+    status = U.followup_status(flow.followups(spark, sf), flow.order_as_of(spark, sf))
+    due = status.agg(F.count_if(F.col("status").isin("due", "overdue")).alias("n"))
+    warnings = _findings(spark, sf).join(
+        spark.createDataFrame(SEVERITY, "rule string, severity string").filter("severity = 'warning'"), "rule"
+    )
+    return R.queue_header(_queue(spark, sf), due, warnings.agg(F.sum("n").cast("bigint").alias("n")))
+
+
+@query
+def r5_surfacing_reason(spark, sf):
+    return R.surfacing_reason(E.explain(*_explained(spark, sf))).select("case_id", "surfaced")
+
+
+@query
+def r6_signal_drift(spark, sf):
+    flagged, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    return R.signal_drift(cases, flagged).select("case_id", "case_day", "signal_day", "signal", "differs")
+
+
+# ---- workflow --------------------------------------------------------------------------------------------
+
+
+@query
+def w1_current_state(spark, sf):
+    return W.current_states(flow.replayed(spark, sf))
+
+
+@query
+def w2_invalid_actions(spark, sf):
+    return W.invalid_actions(flow.replayed(spark, sf))
+
+
+@query
+def w3_missing_reason(spark, sf):
+    codes = spark.createDataFrame([(c,) for c in flow.REASON_CODES], "reason_code string")
+    return W.missing_reason(flow.actions(spark, sf), codes).select("case_id", "seq", "action", "reason_code")
+
+
+@query
+def w4_conflicts(spark, sf):
+    return W.conflicts(flow.replayed(spark, sf))
+
+
+@query
+def w5_history(spark, sf):
+    return W.history(flow.replayed(spark, sf)).select("case_id", "seq", "action", "from_state", "to_state", "step")
+
+
+@query
+def w6_reopens(spark, sf):
+    return W.reopens(flow.replayed(spark, sf))
+
+
+@query
+def w7_open_cases(spark, sf):
+    states = W.current_states(flow.replayed(spark, sf)).select(F.col("case_id").alias("entity_id"), "state")
+    return W.open_cases(states, _found(spark, sf)).select("entity_id", "state", "recovered_day")
+
+
+@query
+def w8_feedback(spark, sf):
+    """Actions as feedback, keyed by their reason code; each is also submitted a second time."""
+    log = flow.actions(spark, sf).select("case_id", F.col("reason_code").alias("idempotency_key"), "ts", "seq", "action")
+    return W.feedback(log.unionByName(log)).select("case_id", "idempotency_key", "seq", "action")
+
+
+@query
+def w9_graph_drift(spark, sf):
+    """Moves seen in the log against the declared graph."""
+    log = flow.replayed(spark, sf).filter("accepted")
+    seen = log.groupBy("action", "from_state", "to_state").agg(F.lit(1).alias("_x")).drop("_x")
+    return W.graph_drift(staged(seen, "seen"), W.transition_table(seen))
+
+
+# ---- support and follow-up -------------------------------------------------------------------------------
+
+
+def _feasible(spark, sf, cases):
+    return U.feasibility(cases, U.duty_days(flow.duties(spark, sf)))
+
+
+@query
+def f1_support_options(spark, sf):
+    found = _explained(spark, sf)[1]
+    out = U.support_options(found, U.mapping_table(found))
+    return out.select("case_id", "mapping_version", F.concat_ws(",", "options").alias("options"))
+
+
+@query
+def f2_feasibility(spark, sf):
+    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    return _feasible(spark, sf, cases).select("case_id", "busy_days", "first_free", "feasibility")
+
+
+@query
+def f3_followup_status(spark, sf):
+    return U.followup_status(flow.followups(spark, sf), flow.order_as_of(spark, sf))
+
+
+@query
+def f4_requeue(spark, sf):
+    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    return U.requeue(cases, f3_followup_status(spark, sf))
+
+
+@query
+def f5_follow_through(spark, sf):
+    return U.follow_through(flow.followups(spark, sf), _roster(spark, sf))
+
+
+@query
+def f6_next_step(spark, sf):
+    cases, found = _explained(spark, sf)
+    options = U.support_options(found, U.mapping_table(found))
+    out = U.next_step(flow.cases_with_state(spark, sf, cases), options, _feasible(spark, sf, cases))
+    return out.select("case_id", "state", "feasibility", "next_step")
+
+
+# ---- summaries -------------------------------------------------------------------------------------------
+
+
+@query
+def g1_group_summary(spark, sf):
+    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    return S.group_summary(_roster(spark, sf), cases, _feasible(spark, sf, cases))
+
+
+@query
+def g2_group_trend(spark, sf):
+    return S.group_trend(flow.spine(spark, sf), "week")
+
+
+@query
+def g3_concentration(spark, sf):
+    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    return S.concentration(cases)
+
+
+@query
+def g4_dashboard(spark, sf):
+    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    return S.dashboard(cases, flow.groups(spark, sf))
+
+
+@query
+def g5_timeline(spark, sf):
+    flagged, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    return S.timeline(flagged, cases)
+
+
+# ---- audit -----------------------------------------------------------------------------------------------
+
+SEGMENT = 4  # short, so that even short conversations span segments
+AUDITED = ["role", "text"]
+
+
+def _chain(spark, sf):
+    return H.chain(read_table(spark, sf, "conversations"), "conv_id", "turn", AUDITED, SEGMENT)
+
+
+def _tampered(spark, sf):
+    """A text altered, an event dropped, a tail cut: each in some conversations. Returns (log, stored heads)."""
+    intact = staged(_chain(spark, sf), "audit_log")
+    c, t = F.col("conv_id") % 10, F.col("turn")
+    altered = F.when((c == 3) & (t == 1), F.concat("text", F.lit(" x"))).otherwise(F.col("text"))
+    log = intact.withColumn("text", altered).filter(~((c == 5) & (t == 1)) & ~((c == 7) & (t >= 2)))
+    return log, H.heads(intact, "conv_id", "turn")
+
+
+@query
+def h1_chain(spark, sf):
+    return _chain(spark, sf).select("conv_id", "turn", "segment", "prev_hash", "hash")
+
+
+@query
+def h1_heads_seal(spark, sf):
+    return H.seal(H.heads(_chain(spark, sf), "conv_id", "turn"), "conv_id")
+
+
+@query
+def h2_verify_chain(spark, sf):
+    log, stored = _tampered(spark, sf)
+    return H.verify_chain(log, "conv_id", "turn", AUDITED, SEGMENT, stored)
+
+
+@query
+def h3_first_break(spark, sf):
+    log, stored = _tampered(spark, sf)
+    return H.first_break(H.verify_chain(log, "conv_id", "turn", AUDITED, SEGMENT, stored), "conv_id", "turn")
+
+
+@query
+def h4_health(spark, sf):
+    log, stored = _tampered(spark, sf)
+    intact = H.verify_chain(staged(_chain(spark, sf), "log"), "conv_id", "turn", AUDITED, SEGMENT, stored)
+    broken = H.verify_chain(log, "conv_id", "turn", AUDITED, SEGMENT, stored)
+    return H.health(intact).withColumn("log", F.lit("intact")).unionByName(
+        H.health(broken).withColumn("log", F.lit("tampered"))
+    )
+
+
+@query
+def h5_action_trail(spark, sf):
+    trail = flow.replayed(spark, sf).select("case_id", "ts", "seq", "role", "action", "purpose", "accepted")
+    return H.action_trail(trail, ["case_id"])
+
+
+@query
+def h6_purpose_summary(spark, sf):
+    log = flow.replayed(spark, sf)
+    outcome = F.when(F.col("accepted"), F.lit("done")).otherwise(F.lit("refused"))
+    return H.purpose_summary(log.withColumn("outcome", outcome))
+
+
+# ---- labels, ranking, models -----------------------------------------------------------------------------
+
+
+@query
+def l1_forward_label(spark, sf):
+    return flow.labelled(spark, sf).select("entity_id", "day", "label", "full_horizon")
+
+
+@query
+def l2_label_coverage(spark, sf):
+    return L.label_coverage(flow.labelled(spark, sf))
+
+
+@query
+def l3_time_split(spark, sf):
+    return flow.scored(spark, sf).select("entity_id", "day", "label", "split")
+
+
+def _ranked(spark, sf, split=None):
+    rows = flow.scored(spark, sf)
+    return K.by_strategy(rows.filter(F.col("split") == split) if split else rows, flow.STRATEGIES)
+
+
+PERCENTS = [1, 2, 5, 10]
+
+
+@query
+def m3_roc_auc(spark, sf):
+    return K.roc_auc(K.sweep(_ranked(spark, sf)))
+
+
+@query
+def m4_average_precision(spark, sf):
+    return K.average_precision(K.sweep(_ranked(spark, sf)))
+
+
+@query
+def m5_precision_at(spark, sf):
+    return K.precision_at(_ranked(spark, sf), PERCENTS)
+
+
+@query
+def m6_f1_at(spark, sf):
+    return K.f1_at(_ranked(spark, sf), {"rule_score": 1.0, "temporal_score": 0.5, "load": 4.0})
+
+
+@query
+def m7_sweep(spark, sf):
+    return K.sweep(_ranked(spark, sf))
+
+
+@query
+def m8_select_threshold(spark, sf):
+    return K.select_threshold(K.sweep(_ranked(spark, sf, "validation")), 0.4)
+
+
+@query
+def m9_compare(spark, sf):
+    return K.compare(K.precision_at(_ranked(spark, sf), PERCENTS), PERCENTS)
+
+
+@query
+def m10_no_peek(spark, sf):
+    dense = staged(flow.spine(spark, sf), "spine")
+    cut = F.lit("2024-01-20").cast("date")
+    columns = ["entity_id", "day", "load_z", "errors_z", "load_excess", "load_slope7", "rule_score", "temporal_score"]
+    changed = L.peek_differences(dense, lambda d: flow.features(d, P).select(*columns), cut)
+    return dense.filter(F.col("day") <= cut).agg(F.count("*").alias("compared")).select(
+        "compared", changed.agg(F.count("*").alias("n")).scalar().alias("changed")
+    )
+
+
+def _fitted(spark, sf, reg):
+    rows = flow.scored(spark, sf)
+    model = M.fit_logreg(rows.filter("split = 'train'"), reg)
+    return M.model_score(rows, model).select("row_id", "label", "split", "model_score")
+
+
+@query
+def m1_logreg(spark, sf):
+    return _fitted(spark, sf, 0.0)
+
+
+@query
+def m2_logreg_l2(spark, sf):
+    return _fitted(spark, sf, 0.1)
+
+
+@query
+def a3_model_score(spark, sf):
+    """How well the fitted score ranks, next to the fixed scores it is only one of."""
+    rows = flow.scored(spark, sf)
+    model = M.fit_logreg(rows.filter("split = 'train'"), 0.1)
+    test = staged(M.model_score(rows.filter("split = 'test'"), model), "model_scores")
+    return K.roc_auc(K.sweep(K.by_strategy(test, flow.STRATEGIES + ["model_score"])))
