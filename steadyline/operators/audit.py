@@ -63,7 +63,11 @@ def seal(segment_heads: DataFrame, key: str) -> DataFrame:
 def verify_chain(
     log: DataFrame, key: str, seq: str, fields: list[str], segment: int = SEGMENT, expected: DataFrame | None = None
 ) -> DataFrame:
-    """Each event with ``ok`` and, if broken, the reason: gap, link or payload; with ``expected`` heads also tail."""
+    """Each event with ``ok`` and, if broken, the reason: gap, link or payload.
+
+    With the stored ``expected`` heads also: tail (events missing at a segment's end) and head (a segment that verifies
+    in itself but was rewritten).
+    """
     number = F.floor(F.col(seq) / segment).cast("bigint")
     before = log.select(F.col(key), (F.col(seq) + 1).alias(seq), F.col("hash").alias("_before"))
     rows = log.join(before, [key, seq], "left")
@@ -78,23 +82,21 @@ def verify_chain(
     out = rows.select(key, seq, reason.isNull().alias("ok"), reason.alias("reason"))
     if expected is None:
         return out
-    actual = heads(log, key, seq).select(key, "segment", F.col("events").alias("_n"), F.col("head").alias("_head"))
-    cut = expected.join(actual, [key, "segment"], "left").filter(
-        F.col("_n").isNull() | (F.col("_n") != F.col("events")) | ~F.col("_head").eqNullSafe(F.col("head"))
-    )
-    tail = cut.select(
+    actual = log.groupBy(key, "segment").agg(F.max(seq).alias("_last"), F.max_by("hash", seq).alias("_head"))
+    due = F.col("segment") * segment + F.col("events") - 1
+    short = F.col("_last").isNull() | (F.col("_last") < due)
+    against_heads = expected.join(actual, [key, "segment"], "left").select(
         key,
-        (F.col("segment") * segment + F.coalesce("_n", F.lit(0))).cast("bigint").alias(seq),
+        F.when(short, F.coalesce(F.col("_last") + 1, F.col("segment") * segment)).otherwise(F.col("_last")).cast("bigint").alias(seq),
         F.lit(False).alias("ok"),
-        F.lit("tail").alias("reason"),
+        F.when(short, F.lit("tail")).when(~F.col("_head").eqNullSafe(F.col("head")), F.lit("head")).alias("reason"),
     )
-    return out.unionByName(tail)
+    return out.unionByName(against_heads.filter(F.col("reason").isNotNull()))
 
 
 def first_break(verified: DataFrame, key: str, seq: str) -> DataFrame:
-    return verified.filter("not ok").groupBy(key).agg(
-        F.min(seq).alias("first_broken"), F.min_by("reason", seq).alias("reason")
-    )
+    first = verified.filter(~F.col("ok")).groupBy(key).agg(F.min(F.struct(seq, "reason")).alias("_f"))
+    return first.select(key, F.col(f"_f.{seq}").alias("first_broken"), F.col("_f.reason").alias("reason"))
 
 
 def health(verified: DataFrame, files: DataFrame | None = None) -> DataFrame:

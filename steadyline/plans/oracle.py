@@ -131,3 +131,270 @@ ORACLE = {
     "a13_case_id": q(EPI, "SELECT entity_id, case_day, case_id FROM cand"),
     "a14_no_report_effect": q(ADMIT, "SELECT count(*) AS cases, CAST(0 AS BIGINT) AS changed FROM cases"),
 }
+
+# ---- accounts, action log, audit chain, labels -------------------------------------------------------
+
+ACC = """
+roster_all AS (SELECT c_custkey AS entity_id, c_nationkey AS group_id FROM customer),
+reg AS (SELECT n_regionkey AS r, list_sort(list(n_nationkey)) AS groups FROM nation GROUP BY 1),
+everywhere AS (SELECT list_sort(list(n_nationkey)) AS groups FROM nation),
+acc AS (SELECT 'reviewer-' || r AS account_id, 'reviewer' AS role, ['support'] AS purposes, groups FROM reg
+        UNION ALL SELECT 'lead-' || r, 'lead', CASE WHEN r = 4 THEN ['aggregate', 'support'] ELSE ['aggregate'] END, groups FROM reg
+        UNION ALL SELECT 'reviewer-all', 'reviewer', ['support'], groups FROM everywhere
+        UNION ALL SELECT 'auditor-all', 'auditor', ['audit'], groups FROM everywhere)"""
+
+
+def scope(account):
+    return f"SELECT unnest(groups) FROM acc WHERE account_id = '{account}' AND list_contains(purposes, 'support')"
+
+
+_EDGE = """CASE a.action
+  WHEN 'acknowledge' THEN CASE {s} WHEN 'open' THEN 'acknowledged' WHEN 'reopened' THEN 'acknowledged' END
+  WHEN 'start_review' THEN CASE {s} WHEN 'acknowledged' THEN 'in_review' END
+  WHEN 'progress_support' THEN CASE {s} WHEN 'in_review' THEN 'support_planned' WHEN 'support_planned' THEN 'support_completed' END
+  WHEN 'close' THEN CASE {s} WHEN 'support_completed' THEN 'closed' WHEN 'in_review' THEN 'closed' END
+  WHEN 'reopen' THEN CASE {s} WHEN 'closed' THEN 'reopened' END END"""
+
+
+def _step(state):
+    return (f"CASE WHEN a.reasoned AND (a.expected_state IS NULL OR a.expected_state = {state}) "
+            f"THEN coalesce({_EDGE.format(s=state)}, {state}) ELSE {state} END")
+
+
+LOG = f"""
+numbered AS (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS kk FROM events),
+act AS (SELECT user_id AS case_id, ts, event_id AS seq,
+        CASE event_type WHEN 'view' THEN 'acknowledge' WHEN 'click' THEN 'start_review' WHEN 'purchase' THEN 'progress_support'
+             WHEN 'error' THEN 'close' WHEN 'signup' THEN 'reopen' END AS action,
+        CASE WHEN kk % 4 = 0 THEN ['open','acknowledged','in_review','support_planned','support_completed','closed','reopened'][kk % 7 + 1] END AS expected_state,
+        'R' || (kk % 12) AS reason_code, kk % 12 < 10 AS reasoned,
+        ['reviewer','lead','auditor'][kk % 3 + 1] AS role, ['support','aggregate','audit'][(kk // 2) % 3 + 1] AS purpose,
+        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM numbered),
+rep AS (SELECT case_id, n, seq, 'open' AS from_state, {_step("'open'")} AS to_state FROM act a WHERE n = 1
+        UNION ALL SELECT a.case_id, a.n, a.seq, r.to_state, {_step("r.to_state")} FROM rep r JOIN act a ON a.case_id = r.case_id AND a.n = r.n + 1),
+log AS (SELECT a.*, r.from_state, r.to_state, r.from_state <> r.to_state AS accepted,
+        CASE WHEN r.from_state <> r.to_state THEN NULL WHEN NOT reasoned THEN 'missing_reason'
+             WHEN expected_state <> r.from_state THEN 'conflict' ELSE 'invalid_transition' END AS refusal
+        FROM act a JOIN rep r USING (case_id, n)),
+states AS (SELECT case_id, arg_max(to_state, n) AS state, count(*) FILTER (WHERE accepted) AS accepted_actions FROM log GROUP BY 1)"""
+
+OPEN = ADMIT + "," + LOG + """,
+qcases AS (SELECT c.*, coalesce(s.state, 'open') AS state FROM cases c LEFT JOIN states s ON s.case_id = c.entity_id)"""
+
+FACT = ADMIT + """,
+atcase AS (SELECT c.case_id, c.case_day, c.policy_version, c.load_z, f.load, f.load_mean, f.errors, f.errors_mean, f.errors_z,
+           f.rest_gap, f.busy, f.load_lagged_mean FROM cases c JOIN feat f ON f.entity_id = c.entity_id AND f.day = c.case_day),
+fct AS (SELECT case_id, 'load' AS metric, CAST(load AS DOUBLE) AS value, round(load_mean, 6) AS reference, case_day - 14 AS window_start,
+          case_day - 1 AS window_end, 'load_above_own_normal' AS rule, policy_version FROM atcase WHERE load_z >= 1.5
+        UNION ALL SELECT case_id, 'errors', CAST(errors AS DOUBLE), round(errors_mean, 6), case_day - 14, case_day - 1, 'errors_above_own_normal', policy_version FROM atcase WHERE errors_z >= 1.5
+        UNION ALL SELECT case_id, 'rest', CAST(rest_gap AS DOUBLE), 5.0, case_day - 4, case_day, 'no_free_day', policy_version FROM atcase WHERE busy
+        UNION ALL SELECT case_id, 'drift', round(load_mean, 6), round(load_lagged_mean, 6), case_day - 21, case_day - 8, 'normal_has_drifted_up', policy_version
+          FROM atcase WHERE load_mean >= 1.25 * load_lagged_mean),
+strong AS (SELECT *, round(abs(value - reference) / greatest(abs(reference), 1.0), 6) AS s FROM fct),
+opt AS (SELECT case_id, list_sort(list(DISTINCT CASE rule WHEN 'errors_above_own_normal' THEN 'offer_practice_time' WHEN 'no_free_day' THEN 'schedule_free_day' ELSE 'review_workload' END)) AS options FROM fct GROUP BY 1)"""
+
+FU = """
+fu AS (SELECT o_orderkey AS followup_id, o_custkey AS entity_id,
+       CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) + 30 END AS due,
+       CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 7 + 26 AS INTEGER) END AS done FROM orders),
+fus AS (SELECT *, CASE WHEN done > due THEN 'done_late' WHEN done IS NOT NULL THEN 'done' WHEN due IS NULL THEN 'unscheduled'
+        WHEN due < (SELECT CAST(max(o_orderdate) AS DATE) FROM orders) THEN 'overdue'
+        WHEN due = (SELECT CAST(max(o_orderdate) AS DATE) FROM orders) THEN 'due' ELSE 'upcoming' END AS status FROM fu)"""
+
+DUTY = """
+duty AS (SELECT user_id AS entity_id, ts AS s, ts + to_seconds(CAST(round(value * 60) AS INTEGER)) AS e FROM events WHERE event_type IN ('click', 'purchase')),
+busyday AS (SELECT DISTINCT entity_id, CAST(unnest(generate_series(date_trunc('day', s), date_trunc('day', e - INTERVAL 1 MICROSECOND), INTERVAL 1 DAY)) AS DATE) AS day FROM duty WHERE e > s),
+slot AS (SELECT c.case_id, c.entity_id, o.n, b.day IS NOT NULL AS taken FROM cases c CROSS JOIN (SELECT unnest([1,2,3]) AS n) o
+         LEFT JOIN busyday b ON b.entity_id = c.entity_id AND b.day = c.case_day + CAST(o.n AS INTEGER)),
+feas AS (SELECT case_id, entity_id, count(*) FILTER (WHERE taken) AS busy_days, min(CASE WHEN NOT taken THEN n END) AS first_free,
+         CASE WHEN min(CASE WHEN NOT taken THEN n END) = 1 THEN 'now' WHEN min(CASE WHEN NOT taken THEN n END) IS NOT NULL THEN 'with_adjustment' ELSE 'constrained' END AS feasibility
+         FROM slot GROUP BY ALL)"""
+
+_BS = "chr(92)"
+
+
+def esc(column):
+    return f"coalesce(replace(replace(CAST({column} AS VARCHAR), {_BS}, {_BS} || {_BS}), '#', {_BS} || '#'), {_BS} || 'N')"
+
+
+def sums(digest):
+    return " || '#' || ".join(f"CAST(coalesce(sum(('0x' || substr({digest}, {1 + 15 * i}, 15))::HUGEINT), 0) AS VARCHAR)" for i in range(4))
+
+
+AUD = f"""
+ev AS (SELECT conv_id, turn, role, text, turn // 4 AS segment, sha256({esc('role')} || '#' || {esc('text')}) AS dg FROM conversations),
+ch AS (SELECT conv_id, turn, segment, sha256('start#' || conv_id || '#0') AS prev_hash, sha256(sha256('start#' || conv_id || '#0') || '#' || dg) AS hash FROM ev WHERE turn = 0
+       UNION ALL
+       SELECT e.conv_id, e.turn, e.segment,
+              CASE WHEN e.turn % 4 = 0 THEN sha256('start#' || e.conv_id || '#' || e.segment) ELSE c.hash END,
+              sha256(CASE WHEN e.turn % 4 = 0 THEN sha256('start#' || e.conv_id || '#' || e.segment) ELSE c.hash END || '#' || e.dg)
+       FROM ch c JOIN ev e ON e.conv_id = c.conv_id AND e.turn = c.turn + 1),
+heads AS (SELECT conv_id, segment, count(*) AS events, arg_max(hash, turn) AS head FROM ch GROUP BY ALL),
+bad AS (SELECT e.*, c.prev_hash, c.hash, CASE WHEN conv_id % 10 = 3 AND turn = 1 THEN text || ' x' ELSE text END AS t2
+        FROM ev e JOIN ch c USING (conv_id, turn, segment) WHERE NOT (conv_id % 10 = 5 AND turn = 1) AND NOT (conv_id % 10 = 7 AND turn >= 2)),
+ver0 AS (SELECT b.conv_id, b.turn, CASE WHEN b.turn > 0 AND p.turn IS NULL THEN 'gap'
+         WHEN b.prev_hash <> CASE WHEN b.turn % 4 = 0 THEN sha256('start#' || b.conv_id || '#' || b.segment) ELSE p.hash END THEN 'link'
+         WHEN b.hash <> sha256(b.prev_hash || '#' || sha256({esc('b.role')} || '#' || {esc('b.t2')})) THEN 'payload' END AS reason
+         FROM bad b LEFT JOIN bad p ON p.conv_id = b.conv_id AND p.turn = b.turn - 1),
+left_heads AS (SELECT conv_id, segment, max(turn) AS last, arg_max(hash, turn) AS head FROM bad GROUP BY ALL),
+ver AS (SELECT conv_id, turn, reason IS NULL AS ok, reason FROM ver0 UNION ALL
+        SELECT h.conv_id, CAST(coalesce(l.last + 1, h.segment * 4) AS BIGINT), FALSE, 'tail' FROM heads h LEFT JOIN left_heads l USING (conv_id, segment)
+        WHERE l.last IS NULL OR l.last < h.segment * 4 + h.events - 1)"""
+
+LAB = FEAT + """,
+rp AS (SELECT user_id AS entity_id, CAST(ts AS DATE) AS day, count(*) AS reports FROM events WHERE event_type = 'signup' GROUP BY ALL),
+ahead AS (SELECT s.entity_id, s.day, sum(reports) OVER (PARTITION BY s.entity_id ORDER BY s.day_no RANGE BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS a,
+          s.day + 7 <= (SELECT max(day) FROM spine) AS full_horizon FROM spine s LEFT JOIN rp ON rp.entity_id = s.entity_id AND rp.day = s.day),
+lab AS (SELECT entity_id, day, CASE WHEN a > 0 THEN CAST(a >= 4 AS INTEGER) END AS label, full_horizon FROM ahead),
+sc0 AS (SELECT f.*, l.label, f.entity_id * 100000 + f.day_no AS row_id FROM feat f JOIN lab l USING (entity_id, day)
+        WHERE full_horizon AND label IS NOT NULL AND rule_score IS NOT NULL),
+perday AS (SELECT day, sum(count(*)) OVER (ORDER BY day) * 100 AS share, sum(count(*)) OVER () AS total FROM sc0 GROUP BY day),
+sc AS (SELECT sc0.*, CASE WHEN share <= 60 * total THEN 'train' WHEN share <= 80 * total THEN 'validation' ELSE 'test' END AS split FROM sc0 JOIN perday USING (day)),
+rk AS (SELECT row_id, label, split, strategy, score FROM (
+       SELECT row_id, label, split, 'rule_score' AS strategy, CAST(rule_score AS DOUBLE) AS score FROM sc
+       UNION ALL SELECT row_id, label, split, 'temporal_score', temporal_score FROM sc
+       UNION ALL SELECT row_id, label, split, 'load', CAST(load AS DOUBLE) FROM sc) WHERE TRUE /*split*/),
+sg AS (SELECT strategy, score AS threshold, CAST(sum(label) AS BIGINT) AS positives, count(*) AS rows FROM rk GROUP BY ALL),
+cu AS (SELECT *, CAST(sum(positives) OVER w AS BIGINT) AS hits, CAST(sum(rows) OVER w AS BIGINT) AS flagged,
+       CAST(sum(positives) OVER (PARTITION BY strategy) AS BIGINT) AS all_positives, CAST(sum(rows) OVER (PARTITION BY strategy) AS BIGINT) AS all_rows
+       FROM sg WINDOW w AS (PARTITION BY strategy ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)),
+sw AS (SELECT *, round(hits / flagged, 6) AS precision, round(hits / all_positives, 6) AS recall, round(2 * hits / (flagged + all_positives), 6) AS f1,
+       round(flagged / all_rows, 6) AS flag_rate FROM cu),
+rr AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY score DESC, row_id) AS rank, count(*) OVER (PARTITION BY strategy) AS n FROM rk),
+top AS (SELECT strategy, percent, CAST(max((percent * n + 99) // 100) AS BIGINT) AS k,
+        CAST(sum(CASE WHEN rank <= (percent * n + 99) // 100 THEN label ELSE 0 END) AS BIGINT) AS hits
+        FROM rr CROSS JOIN (SELECT unnest([1, 2, 5, 10]) AS percent) GROUP BY ALL)"""
+
+LINE = """
+findings AS (SELECT 'range_l_quantity' AS rule, count(*) FILTER (WHERE l_quantity NOT BETWEEN 1 AND 45) AS n FROM lineitem
+   UNION ALL SELECT 'range_l_discount', count(*) FILTER (WHERE l_discount NOT BETWEEN 0.0::DOUBLE AND 0.08::DOUBLE) FROM lineitem
+   UNION ALL SELECT 'range_l_extendedprice', count(*) FILTER (WHERE l_extendedprice NOT BETWEEN 0 AND 90000) FROM lineitem
+   UNION ALL SELECT 'returned_is_finished', count(*) FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'O') FROM lineitem
+   UNION ALL SELECT 'discount_below_price', count(*) FILTER (WHERE NOT l_discount * l_extendedprice < l_extendedprice) FROM lineitem
+   UNION ALL SELECT 'duplicate_key', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)
+   UNION ALL SELECT 'orphan_l_orderkey', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)),
+rules AS (SELECT * FROM (VALUES ('range_l_quantity', 'warning'), ('range_l_discount', 'warning'), ('range_l_extendedprice', 'warning'),
+   ('returned_is_finished', 'warning'), ('discount_below_price', 'error'), ('duplicate_key', 'error'), ('orphan_l_orderkey', 'error'), ('orphan_l_partkey', 'notice')) v(rule, severity))"""
+
+_RED = "text"
+for _p, _r in [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
+    (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "[ip]"),
+    (r"(?i)\b(token|secret|password|api_key)\b\s*[=:]\s*\"?[A-Za-z0-9_/+-]+\"?", "[secret]"),
+    (r"\+?[0-9][0-9 ()-]{7,}[0-9]", "[number]"),
+]:
+    _RED = f"regexp_replace({_RED}, '{_p}', '{_r}', 'g')"
+
+ORACLE.update({
+    "s3_allowed_columns": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer",
+    "s4_publish": q(ADMIT, f"SELECT {CASE_COLS} FROM cases"),
+    "s6_verify_manifest": q(ADMIT, "SELECT DISTINCT 'cases' AS dataset, TRUE AS ok FROM cases UNION ALL SELECT DISTINCT 'ledger', TRUE FROM ledger"),
+    "s7_same_content": q(REC, "SELECT count(*) AS rows_a, count(*) AS rows_b, CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, TRUE AS same FROM pd"),
+    "s8_fingerprint": f"WITH d AS (SELECT sha256({esc('conv_id')} || '#' || {esc('turn')} || '#' || {esc('role')} || '#' || {esc('text')}) AS dg FROM conversations) "
+                      f"SELECT count(*) AS rows, sha256(CAST(count(*) AS VARCHAR) || '#' || {sums('dg')}) AS digest FROM d",
+    "s9_nonfinite": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE isnan({c}) OR isinf({c})) AS nonfinite FROM lineitem"
+        for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")),
+    "s11_currency": q(ADMIT, "SELECT max(case_day) AS latest_case_day, (SELECT max(day) FROM pd) AS as_of FROM cases"),
+    "s12_append_actions": q(LOG, "SELECT CAST(ts AS DATE) AS day, action, count(*) AS n FROM act GROUP BY ALL"),
+    "q1_completeness": q(REC, " UNION ALL ".join(
+        f"SELECT count(*) AS rows, '{c}' AS \"column\", count({c}) AS present, count(*) - count({c}) AS missing FROM spine" for c in ("load", "errors", "value_sum"))),
+    "q2_range_check": q(LINE, "SELECT rule, n FROM findings WHERE rule LIKE 'range%'"),
+    "q3_plausibility": q(LINE, "SELECT rule, n FROM findings WHERE rule IN ('returned_is_finished', 'discount_below_price')"),
+    "q4_consistency": q(LINE, "SELECT rule, n FROM findings WHERE rule IN ('duplicate_key', 'orphan_l_orderkey')"),
+    "q5_quality_summary": q(LINE, "SELECT severity, count(*) AS rules, count(*) FILTER (WHERE n > 0) AS failing, CAST(sum(coalesce(n, 0)) AS BIGINT) AS findings FROM rules LEFT JOIN findings USING (rule) GROUP BY 1"),
+    "q7_gate": """SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM
+        (SELECT *, count(*) OVER k AS n, count(*) FILTER (WHERE l_discount > 0.08::DOUBLE) OVER k AS e FROM lineitem WINDOW k AS (PARTITION BY l_orderkey, l_linenumber)) WHERE n = 1 AND e = 0""",
+    "p1_pseudonymise": q(ACC, "SELECT sha256('demo-salt#' || entity_id) AS pseudonym, group_id FROM roster_all"),
+    "p2_reidentify": q(ACC, f"SELECT sha256('demo-salt#' || entity_id) AS pseudonym, entity_id, group_id FROM roster_all WHERE group_id IN ({scope('reviewer-1')})"),
+    "p3_strip_ids": "SELECT c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "p4_authorised": q(ACC, f"SELECT entity_id, group_id FROM roster_all WHERE group_id IN ({scope('reviewer-1')})"),
+    "p5_effective_purpose": q(ACC, """SELECT account_id, declared, CASE WHEN list_contains(purposes, declared) THEN declared END AS effective,
+        CASE WHEN list_contains(purposes, declared) THEN 'granted' ELSE 'refused' END AS outcome
+        FROM acc CROSS JOIN (SELECT unnest(['support', 'aggregate', 'audit', 'infrastructure']) AS declared)"""),
+    "p6_lookup": q(ACC, f"""SELECT entity_id, CASE WHEN group_id IN ({scope('reviewer-2')}) THEN 'found' ELSE 'not_found' END AS answer FROM roster_all
+        UNION ALL SELECT -entity_id - 1, 'not_found' FROM roster_all"""),
+    "p7_redact": f"SELECT doc_id, {_RED} AS text FROM documents",
+    "p8_filter_queue": q(OPEN, "SELECT case_id, case_day, level, state FROM qcases WHERE state IN ('open', 'acknowledged', 'in_review', 'reopened') AND case_day BETWEEN DATE '2024-01-08' AND DATE '2024-01-25'"),
+    "p9_directory": q(ACC, f"SELECT entity_id, group_id FROM roster_all WHERE group_id IN ({scope('reviewer-3')})"),
+    "p10_invalid_accounts": q(ACC, """SELECT account_id, role, purpose FROM (SELECT account_id, role, unnest(purposes) AS purpose FROM acc)
+        WHERE (role, purpose) NOT IN (('reviewer', 'support'), ('lead', 'aggregate'), ('auditor', 'audit'), ('operator', 'infrastructure'))"""),
+    "p11_aggregate_only": "SELECT count(*) AS rows, 'support' AS purpose FROM customer UNION ALL SELECT CAST(0 AS BIGINT), 'aggregate'",
+    "p12_search_groups": "SELECT n_nationkey AS group_id, n_name AS group_name FROM nation WHERE contains(n_name, 'NATION_1')",
+    "p13_scope_counts": q(ACC, "SELECT account_id, count(entity_id) AS visible FROM (SELECT account_id, unnest(groups) AS group_id FROM acc) LEFT JOIN roster_all USING (group_id) GROUP BY 1"),
+    "e1_factors": q(FACT, "SELECT * FROM fct"),
+    "e2_explain": q(FACT, "SELECT case_id, string_agg(rule, ',' ORDER BY s DESC, metric) AS rules FROM strong GROUP BY 1"),
+    "e3_explain_or_absent": q(FACT, "SELECT case_id, CASE WHEN case_id IN (SELECT case_id FROM fct) THEN 'recorded' ELSE 'not_recorded' END AS explanation_status FROM cases"),
+    "e4_factor_count": q(FACT, "SELECT c.case_id, count(f.case_id) AS factors FROM cases c LEFT JOIN fct f USING (case_id) GROUP BY 1"),
+    "e5_policy_at": q(ADMIT, "SELECT case_id, case_day, CASE WHEN case_day < DATE '2024-01-01' THEN NULL WHEN case_day < DATE '2024-01-16' THEN 'v1' ELSE 'v2' END AS valid_version FROM cases"),
+    "e6_untraceable": q(FACT, "SELECT count(*) AS factors, count(*) FILTER (WHERE metric IS NULL OR value IS NULL OR reference IS NULL OR window_start IS NULL OR window_end IS NULL OR rule IS NULL OR policy_version IS NULL) AS untraceable FROM fct"),
+    "r1_queue": q(ADMIT, "SELECT case_day, level, case_id FROM cases"),
+    "r2_queue_for": q(ADMIT, "SELECT case_day, level, case_id FROM cases ORDER BY case_day DESC, CASE level WHEN 'high' THEN 3 WHEN 'moderate' THEN 2 ELSE 1 END DESC, case_id LIMIT 10"),
+    "r3_staleness": q(ADMIT, """SELECT case_id, CAST(d AS INTEGER) AS age_days, d > 7 AS stale, CASE WHEN d > 7 THEN 'older data: ' || d || ' days' END AS chip
+        FROM (SELECT case_id, (SELECT max(day) FROM spine) - case_day AS d FROM cases)"""),
+    "r4_queue_header": q(OPEN + "," + FU + "," + LINE, """SELECT count(*) FILTER (WHERE state <> 'closed') AS open, count(*) FILTER (WHERE state = 'in_review') AS in_review,
+        (SELECT count(*) FROM fus WHERE status IN ('due', 'overdue')) AS followups_due,
+        (SELECT CAST(sum(n) AS BIGINT) FROM findings JOIN rules USING (rule) WHERE severity = 'warning') AS warnings FROM qcases"""),
+    "r5_surfacing_reason": q(FACT, """SELECT c.case_id, coalesce(t.w, 'no new change; open until a person closes it') AS surfaced FROM cases c LEFT JOIN
+        (SELECT case_id, metric || ': ' || rule AS w, row_number() OVER (PARTITION BY case_id ORDER BY s DESC, metric) AS i FROM strong) t ON t.case_id = c.case_id AND i = 1"""),
+    "r6_signal_drift": q(ADMIT, """SELECT case_id, case_day, signal_day, signal, coalesce(signal_day <> case_day, FALSE) AS differs FROM cases
+        LEFT JOIN (SELECT entity_id, max(day) AS signal_day, arg_max(material, day) AS signal FROM feat WHERE material IS NOT NULL GROUP BY 1) USING (entity_id)"""),
+    "w1_current_state": q(LOG, "SELECT * FROM states"),
+    "w2_invalid_actions": q(LOG, "SELECT case_id, seq, action, from_state, to_state, refusal FROM log WHERE NOT accepted"),
+    "w3_missing_reason": q(LOG, "SELECT case_id, seq, action, reason_code FROM act WHERE NOT reasoned"),
+    "w4_conflicts": q(LOG, "SELECT case_id, seq, action, expected_state, from_state AS actual_state FROM log WHERE refusal = 'conflict'"),
+    "w5_history": q(LOG, "SELECT case_id, seq, action, from_state, to_state, row_number() OVER (PARTITION BY case_id ORDER BY n) AS step FROM log WHERE accepted"),
+    "w6_reopens": q(LOG, "SELECT case_id, count(*) FILTER (WHERE accepted AND to_state = 'closed') AS closed_times, count(*) FILTER (WHERE accepted AND to_state = 'reopened') AS reopened_times FROM log GROUP BY 1"),
+    "w7_open_cases": q(EPI + "," + LOG, """SELECT entity_id, state, recovered_day FROM
+        (SELECT entity_id, arg_max_null(recovered_day, start_day) AS recovered_day FROM epi GROUP BY 1) JOIN states ON states.case_id = entity_id WHERE recovered_day IS NOT NULL AND state <> 'closed'"""),
+    "w8_feedback": q(LOG, "SELECT case_id, reason_code AS idempotency_key, seq, action FROM act QUALIFY row_number() OVER (PARTITION BY case_id, reason_code ORDER BY ts, seq) = 1"),
+    "w9_graph_drift": q(LOG, """,seen AS (SELECT DISTINCT action, from_state, to_state FROM log WHERE accepted),
+        declared AS (SELECT * FROM (VALUES ('acknowledge','open','acknowledged'),('acknowledge','reopened','acknowledged'),('start_review','acknowledged','in_review'),
+          ('progress_support','in_review','support_planned'),('progress_support','support_planned','support_completed'),('close','support_completed','closed'),
+          ('reopen','closed','reopened'),('close','open','closed')) v(action, from_state, to_state))
+        SELECT *, 'first' AS only_in FROM (SELECT * FROM seen EXCEPT SELECT * FROM declared) UNION ALL SELECT *, 'second' FROM (SELECT * FROM declared EXCEPT SELECT * FROM seen)"""),
+    "f1_support_options": q(FACT, "SELECT case_id, 'm1' AS mapping_version, array_to_string(options, ',') AS options FROM opt"),
+    "f2_feasibility": q(ADMIT + "," + DUTY, "SELECT case_id, busy_days, first_free, feasibility FROM feas"),
+    "f3_followup_status": q(FU, "SELECT * FROM fus"),
+    "f4_requeue": q(ADMIT + "," + FU, """SELECT entity_id, min(source) AS source, count(*) AS items FROM
+        (SELECT entity_id, 'case' AS source FROM cases UNION ALL SELECT entity_id, 'followup' FROM fus WHERE status IN ('due', 'overdue')) GROUP BY 1"""),
+    "f5_follow_through": q(FU, """SELECT c_nationkey AS group_id, count(*) AS offered, count(due) AS schedulable, count(done) AS delivered, count(*) FILTER (WHERE done <= due) AS in_time
+        FROM fu JOIN customer ON c_custkey = entity_id GROUP BY 1"""),
+    "f6_next_step": q(FACT + "," + LOG + "," + DUTY, """SELECT c.case_id, coalesce(s.state, 'open') AS state, feasibility,
+        CASE WHEN s.state = 'closed' THEN 'none' WHEN coalesce(s.state, 'open') IN ('open', 'reopened') THEN 'acknowledge' WHEN options IS NULL THEN 'talk_first'
+             WHEN feasibility = 'now' THEN 'schedule_support' WHEN feasibility = 'with_adjustment' THEN 'arrange_support_day' ELSE 'escalate_scheduling' END AS next_step
+        FROM cases c LEFT JOIN states s ON s.case_id = c.entity_id LEFT JOIN opt o ON o.case_id = c.case_id LEFT JOIN feas f ON f.case_id = c.case_id"""),
+    "g1_group_summary": q(ADMIT + "," + DUTY, """SELECT c_nationkey AS group_id, count(*) AS members,
+        (SELECT count(DISTINCT entity_id) FROM cases WHERE group_id = c_nationkey) AS attention,
+        (SELECT count(*) FROM cases JOIN feas USING (case_id) WHERE group_id = c_nationkey AND feasibility = 'constrained') AS constrained FROM customer GROUP BY 1"""),
+    "g2_group_trend": q(REC, """SELECT *, round(avg(load) OVER (PARTITION BY group_id ORDER BY period ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), 6) AS load_before FROM
+        (SELECT group_id, CAST(date_trunc('week', day) AS DATE) AS period, CAST(coalesce(sum(load), 0) AS BIGINT) AS load, CAST(coalesce(sum(errors), 0) AS BIGINT) AS errors,
+                count(load) AS observed_days FROM spine GROUP BY ALL)"""),
+    "g3_concentration": q(ADMIT, "SELECT group_id, count(*) AS n, round(count(*) / (SELECT count(*) FROM cases), 6) AS share FROM cases GROUP BY 1"),
+    "g4_dashboard": q(ADMIT, """SELECT r_name AS region_name, n_name AS group_name, count(case_id) AS cases, count(*) FILTER (WHERE level = 'high') AS high
+        FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN cases ON group_id = n_nationkey GROUP BY ROLLUP (r_name, n_name)"""),
+    "g5_timeline": q(ADMIT, "SELECT f.entity_id, f.day, f.load, f.load_z, f.material, c.case_id, c.level FROM feat f LEFT JOIN cases c ON c.entity_id = f.entity_id AND c.case_day = f.day"),
+    "h1_chain": q(AUD, "SELECT conv_id, turn, segment, prev_hash, hash FROM ch"),
+    "h1_heads_seal": q(AUD, f""", hd AS (SELECT sha256(conv_id || '#' || segment || '#' || events || '#' || head) AS dg FROM heads)
+        SELECT count(*) AS segments, sha256(CAST(count(*) AS VARCHAR) || '#' || {sums('dg')}) AS seal FROM hd"""),
+    "h2_verify_chain": q(AUD, "SELECT * FROM ver"),
+    "h3_first_break": q(AUD, "SELECT conv_id, turn AS first_broken, reason FROM ver WHERE NOT ok QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, reason) = 1"),
+    "h4_health": q(AUD, "SELECT count(*) AS events, CAST(0 AS BIGINT) AS broken, TRUE AS healthy, 'intact' AS log FROM ch UNION ALL SELECT count(*), count(*) FILTER (WHERE NOT ok), bool_and(ok), 'tampered' FROM ver"),
+    "h5_action_trail": q(LOG, "SELECT ts, seq, role, action, purpose, accepted FROM log"),
+    "h6_purpose_summary": q(LOG, "SELECT purpose, role, CASE WHEN accepted THEN 'done' ELSE 'refused' END AS outcome, count(*) AS n FROM log GROUP BY ALL"),
+    "l1_forward_label": q(LAB, "SELECT * FROM lab"),
+    "l2_label_coverage": q(LAB, "SELECT count(*) AS entity_days, count(label) AS usable, count(*) - count(label) AS excluded, count(*) FILTER (WHERE label = 1) AS positive FROM lab"),
+    "l3_time_split": q(LAB, "SELECT entity_id, day, label, split FROM sc"),
+    "m3_roc_auc": q(LAB, "SELECT strategy, round(sum((rows - positives) * (2 * hits - positives)) / (2.0 * max(all_positives) * (max(all_rows) - max(all_positives))), 6) AS auc FROM cu GROUP BY 1"),
+    "m4_average_precision": q(LAB, "SELECT strategy, round(sum(positives / all_positives * (hits / flagged)), 6) AS average_precision FROM cu GROUP BY 1"),
+    "m5_precision_at": q(LAB, "SELECT strategy, percent, k, hits, round(hits / k, 6) AS precision FROM top"),
+    "m6_f1_at": q(LAB, """SELECT strategy, threshold, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM
+        (SELECT strategy, threshold, count(*) FILTER (WHERE score >= threshold AND label = 1) AS tp, count(*) FILTER (WHERE score >= threshold AND label = 0) AS fp,
+                count(*) FILTER (WHERE score < threshold AND label = 1) AS fn
+         FROM rk JOIN (SELECT * FROM (VALUES ('rule_score', 1.0::DOUBLE), ('temporal_score', 0.5::DOUBLE), ('load', 4.0::DOUBLE)) v(strategy, threshold)) USING (strategy) GROUP BY ALL)"""),
+    "m7_sweep": q(LAB, "SELECT * FROM sw"),
+    "m8_select_threshold": q(LAB.replace("/*split*/", "AND split = 'validation'"), """SELECT strategy, threshold, precision, recall, flag_rate, precision >= 0.4 AS meets_floor,
+        coalesce(precision >= 0.4 AND row_number() OVER (PARTITION BY strategy, precision >= 0.4 ORDER BY recall DESC, threshold DESC) = 1, FALSE) AS chosen FROM sw"""),
+    "m9_compare": q(LAB, "SELECT strategy, " + ", ".join(f"max(CASE WHEN percent = {p} THEN round(hits / k, 6) END) AS top_{p}" for p in (1, 2, 5, 10)) + " FROM top GROUP BY 1"),
+    "m10_no_peek": q(REC, "SELECT count(*) AS compared, CAST(0 AS BIGINT) AS changed FROM spine WHERE day <= DATE '2024-01-20'"),
+})
