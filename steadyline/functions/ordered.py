@@ -6,13 +6,12 @@ summarised to one row per key, the summaries are combined (at most one row per k
 is handed back to the chunks. ``order`` must end in a unique column, or a heavy key cannot be split.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steadyline.sources.staging import staged
 
 CHUNK = "_chunk"
+KEY = "_key"
 BLOCK_ROWS = 256
 
 
@@ -20,30 +19,25 @@ class Ordered:
     def __init__(self, df: DataFrame, keys: list[str], order: list[str | Column], name: str = "ordered"):
         self.keys, self.order = keys, order
         split = df.repartitionByRange(*keys, *order).withColumn(CHUNK, F.spark_partition_id())
-        self.df = staged(split, name)
+        # the key as one struct: NULL keys then compare as equal, and windows and joins agree on the partitioning
+        key = F.struct(*keys) if keys else F.lit(0)
+        self.df = staged(split, name).withColumn(KEY, key)
 
     def _local(self):
-        return Window.partitionBy(CHUNK, *self.keys).orderBy(*self.order)
+        return Window.partitionBy(CHUNK, KEY).orderBy(*self.order)
 
     def _with_earlier(self, rows: DataFrame, summary: list[Column], carry: dict[str, Column]) -> DataFrame:
         """Give each row the values that ``carry`` takes over the same key's earlier chunks."""
-        chunks = self.df.groupBy(CHUNK, *self.keys).agg(*summary)
-        before = Window.partitionBy(*self.keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = chunks.select(CHUNK, *self.keys, *[c.over(before).alias(n) for n, c in carry.items()])
-        # keys are compared null-safe: a NULL key is a key like any other
-        left, right = rows.alias("l"), offsets.alias("r")
-        match = reduce(
-            lambda a, b: a & b,
-            [F.col(f"l.{CHUNK}") == F.col(f"r.{CHUNK}")]
-            + [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in self.keys],
-        )
-        return left.join(right, match, "left").select("l.*", *[f"r.{n}" for n in carry])
+        chunks = self.df.groupBy(CHUNK, KEY).agg(*summary)
+        before = Window.partitionBy(KEY).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = chunks.select(CHUNK, KEY, *[c.over(before).alias(n) for n, c in carry.items()])
+        return rows.join(offsets, [CHUNK, KEY], "left").drop(CHUNK, KEY)
 
     def row_number(self, name: str) -> DataFrame:
         rows = self.df.withColumn("_local", F.row_number().over(self._local()))
         rows = self._with_earlier(rows, [F.count("*").alias("_n")], {"_before": F.sum("_n")})
         number = F.col("_local") + F.coalesce("_before", F.lit(0))
-        return rows.withColumn(name, number.cast("bigint")).drop("_local", "_before", CHUNK)
+        return rows.withColumn(name, number.cast("bigint")).drop("_local", "_before")
 
     def running_sums(self, columns: dict[str, str]) -> DataFrame:
         """Sum of ``column`` from the key's first row to this row, for ``{name: column}``; exact types only."""
@@ -55,7 +49,7 @@ class Ordered:
             {f"_b_{n}": F.sum(f"_s_{n}") for n in columns},
         )
         sums = {n: F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_b_{n}", F.lit(0)) for n in columns}
-        return rows.withColumns(sums).drop(CHUNK, *[f"_l_{n}" for n in columns], *[f"_b_{n}" for n in columns])
+        return rows.withColumns(sums).drop(*[f"_l_{n}" for n in columns], *[f"_b_{n}" for n in columns])
 
     def previous(self, column: str, name: str) -> DataFrame:
         """Value of ``column`` on the row before, within the key. ``order`` must be plain ascending names."""
@@ -65,7 +59,7 @@ class Ordered:
         newest = F.max(F.struct(*self.order, F.col(column).alias("_v"))).alias("_newest")
         rows = self._with_earlier(rows, [newest], {"_before": F.max("_newest")})
         value = F.when(F.col("_first"), F.col("_before._v")).otherwise(F.col("_prev"))
-        return rows.withColumn(name, value).drop("_prev", "_first", "_before", CHUNK)
+        return rows.withColumn(name, value).drop("_prev", "_first", "_before")
 
 
 # ---- replay of a finite-state log ----------------------------------------------------------------
@@ -111,40 +105,37 @@ def replay_states(
     """
     letters = state_letters(n_states)
     run = Ordered(log.withColumn("_fn", _translate(F.lit(letters), source, target)), [key], order, "replay")
-    local = F.row_number().over(run._local()) - 1
-    rows = run.df.withColumn("_rn", local).withColumns(
-        {"_block": F.floor(F.col("_rn") / BLOCK_ROWS), "_pos": F.col("_rn") % BLOCK_ROWS}
+    rows = run.df.withColumn("_rn", F.row_number().over(run._local()) - 1).withColumns(
+        {"_block": F.floor(F.col("_rn") / BLOCK_ROWS).cast("int"), "_pos": F.col("_rn") % BLOCK_ROWS}
     )
 
     def listed(df: DataFrame, by: list[str], index: str, keep: list[str]) -> DataFrame:
-        step = F.struct(index, *keep)
-        return df.groupBy(*by).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+        """Steps in order per ``by``: at most a block of rows, a chunk's blocks, or a key's chunks."""
+        return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(index, *keep))).alias("_steps"))
 
     def summed(df: DataFrame) -> DataFrame:
         return df.withColumn("_fn", _composed(F.col("_steps"), letters))
 
-    payload = [c for c in log.columns if c != key]
-    blocks = summed(listed(rows, [key, CHUNK, "_block"], "_pos", ["_fn", *payload]))
-    chunks = summed(listed(blocks, [key, CHUNK], "_block", ["_fn"]))
-    keys = listed(chunks, [key], CHUNK, ["_fn"])
-
-    def opened(df: DataFrame, start: Column, keep: list[str], step_columns: list[str]) -> DataFrame:
-        """One row per step with the state before it."""
-        step = df.withColumn("_path", _entries(F.col("_steps"), start, letters)).select(
-            *keep, "_path", F.posexplode("_steps").alias("_i", "_step")
-        )
-        entry = F.substring(F.col("_path"), F.col("_i") + 1, F.lit(1)).alias("_entry")
-        return step.select(*keep, entry, *[F.col(f"_step.{c}").alias(c) for c in step_columns])
-
-    chunk_entry = opened(keys, F.lit(letters[initial]), [key], [CHUNK])
-    block_entry = opened(
-        chunks.drop("_fn").join(chunk_entry, [key, CHUNK]), F.col("_entry"), [key, CHUNK], ["_block"]
+    # up: rows -> blocks -> chunks -> keys. (chunk, key) is one partitioning for the first three levels.
+    blocks = listed(rows, [CHUNK, KEY, "_block"], "_pos", ["_fn", *log.columns])
+    chunks = summed(listed(summed(blocks).drop("_steps"), [CHUNK, KEY], "_block", ["_fn"]))
+    keys = listed(chunks, [KEY], CHUNK, ["_fn"])
+
+    # down: the state before each chunk, then before each block, then before each row
+    chunk_entry = keys.select(
+        KEY, _entries(F.col("_steps"), F.lit(letters[initial]), letters).alias("_path"), F.posexplode("_steps").alias("_i", "_s")
+    ).select(F.col(f"_s.{CHUNK}").alias(CHUNK), KEY, F.substring("_path", F.col("_i") + 1, F.lit(1)).alias("_entry"))
+    block_paths = chunks.join(chunk_entry, [CHUNK, KEY]).select(
+        CHUNK, KEY, _entries(F.col("_steps"), F.col("_entry"), letters).alias("_block_path")
     )
-    entered = blocks.drop("_fn").join(block_entry, [key, CHUNK, "_block"])
-    out = opened(entered, F.col("_entry"), [key], ["_fn", *payload])
-    after = _translate(F.col("_entry"), F.lit(letters), F.col("_fn"))
+    entered = blocks.join(block_paths, [CHUNK, KEY])
+    entry = F.substring("_block_path", F.col("_block") + 1, F.lit(1))
+    out = entered.select(
+        _entries(F.col("_steps"), entry, letters).alias("_row_path"), F.posexplode("_steps").alias("_i", "_s")
+    ).select(F.substring("_row_path", F.col("_i") + 1, F.lit(1)).alias("_before"), "_s")
+    after = _translate(F.col("_before"), F.lit(letters), F.col("_s._fn"))
     return out.select(
-        *log.columns,
-        (F.ascii("_entry") - ord("A")).alias("state_before"),
+        *[F.col(f"_s.{c}").alias(c) for c in log.columns],
+        (F.ascii("_before") - ord("A")).alias("state_before"),
         (F.ascii(after) - ord("A")).alias("state_after"),
     )

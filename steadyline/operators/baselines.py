@@ -43,16 +43,17 @@ def group_baseline(panel: DataFrame, metric: str, policy: Policy) -> DataFrame:
     )
 
 
-def deviation(panel: DataFrame, groups: DataFrame, metric: str) -> DataFrame:
+def with_group_context(panel: DataFrame, groups: DataFrame) -> DataFrame:
+    """Attach the group columns. Done before the per-entity windows, so that those share one shuffle by entity."""
+    return panel.join(groups, ["group_id", "day"], "left")
+
+
+def deviation(panel: DataFrame, metric: str) -> DataFrame:
     """Departure from the own baseline, in units and in own spreads, and net of the group's departure."""
     own = F.col(metric) - F.col(f"{metric}_mean")
     shift = F.col(f"{metric}_group_today") - F.col(f"{metric}_group_mean")
-    z = F.when(F.col(f"{metric}_sd") > 0, own / F.col(f"{metric}_sd"))
-    return (
-        panel.join(groups, ["group_id", "day"], "left")
-        .withColumns({f"{metric}_dev": F.round(own, 6), f"{metric}_excess": F.round(own - shift, 6)})
-        .withColumn(f"{metric}_z", F.round(z, 6))
-    )
+    columns = {f"{metric}_dev": F.round(own, 6), f"{metric}_excess": F.round(own - shift, 6)}
+    return own_z(panel.withColumns(columns), metric)
 
 
 def own_z(panel: DataFrame, metric: str) -> DataFrame:

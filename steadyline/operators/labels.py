@@ -2,19 +2,18 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steadyline.config import Policy
 from steadyline.functions.frames import by_day
 
 
-def forward_label(panel: DataFrame, reports: DataFrame, policy: Policy) -> DataFrame:
+def forward_label(panel: DataFrame, reports: DataFrame, last_day: Column, policy: Policy) -> DataFrame:
     """NULL without any report in the next ``horizon`` days; else 1 from ``positive_reports`` reports on, else 0.
 
     A window over the entity's own days replaces the interval join between days and reports.
     """
     ahead = F.sum("reports").over(by_day().rangeBetween(1, policy.horizon))
-    last_day = panel.agg(F.max("day").alias("d")).scalar()
     return panel.join(reports, ["entity_id", "day"], "left").withColumns(
         {
             "label": F.when(ahead > 0, (ahead >= policy.positive_reports).cast("int")),
@@ -47,7 +46,7 @@ def time_split(df: DataFrame, train_percent: int = 60, validation_percent: int =
     return df.join(per_day.select("day", split.alias("split")), "day")
 
 
-def peek_differences(panel: DataFrame, features: Callable[[DataFrame], DataFrame], cut_day) -> DataFrame:
+def peek_differences(panel: DataFrame, features: Callable[[DataFrame], DataFrame], cut_day: Column) -> DataFrame:
     """Rows whose features change when all days after ``cut_day`` are removed; must be none."""
     full = features(panel).filter(F.col("day") <= cut_day)
     short = features(panel.filter(F.col("day") <= cut_day))

@@ -1,5 +1,7 @@
 """The analysis run on the driver's tables, stage by stage. Each function returns a lazy DataFrame."""
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from steadyline.config import DEFAULT_POLICY, Policy
@@ -48,37 +50,53 @@ def roster(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFrame:
     )
 
 
-def spine(spark: SparkSession, sf_dir: str, with_reports: bool = True) -> DataFrame:
-    # staged: the raw records are scanned once, and roster, calendar and panel all read the small daily table
+@dataclass(frozen=True)
+class Base:
+    observed: DataFrame  # entity-days that have records, with their group
+    dense: DataFrame  # every entity on every calendar day
+    last_day: Column
+
+
+def base(spark: SparkSession, sf_dir: str, with_reports: bool = True) -> Base:
+    # staged: the raw records are scanned once; roster, calendar and panel all read the small daily table
     daily = staged(days(records(spark, sf_dir, with_reports)), "entity_days")
-    return panel.spine(daily, roster(spark, sf_dir, daily), *panel.observed_span(daily))
+    members = roster(spark, sf_dir, daily)
+    first, last = panel.observed_span(daily)
+    observed = daily.join(members, "entity_id").withColumn("day_no", F.unix_date("day"))
+    return Base(observed, panel.spine(daily, members, first, last), last)
+
+
+def with_context(dense: DataFrame, observed: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    return B.with_group_context(dense, B.group_baseline(observed, "load", policy))
 
 
 def features(dense: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """All per-entity columns (one shuffle by entity), then the group context (joined on group and day)."""
+    """All columns of a judged day, from a panel with group context: one shuffle by entity, then windows only."""
     own = B.personal_baseline(dense, "load", policy)
     own = B.own_z(B.personal_baseline(own, "errors", policy), "errors")
     own = B.lagged_baseline(own, "load", policy)
     own = B.temporal_features(own, "load", policy.busy_run)
-    groups = B.group_baseline(dense, "load", policy)
-    judged = B.deviation(own, groups, "load")
+    judged = B.deviation(own, "load")
     return A.temporal_score(A.rule_score(judged, policy), policy)
 
 
-def flags(dense: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    return A.material(features(dense, policy), "load", policy)
+def flags(of: Base, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    return A.material(features(with_context(of.dense, of.observed, policy), policy), "load", policy)
 
 
 def found(flagged: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
     return A.candidates(A.episodes(A.with_recovery(flagged, policy), policy), policy)
 
 
-def cases_and_ledger(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY):
-    """(flags, found, cases, ledger); flags and cases are staged because several results share them."""
-    flagged = staged(flags(spine(spark, sf_dir), policy), "flags")
-    candidates = staged(found(flagged, policy), "found")
-    cases, ledger = A.admit(candidates, policy)
-    return flagged, candidates, staged(cases, "cases"), ledger
+def cases_of(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """Admitted cases; staged, as they are few and most results join them more than once."""
+    return staged(A.admit(found(flags(base(spark, sf_dir), policy), policy), policy)[0], "cases")
+
+
+def flags_and_cases(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY) -> tuple[DataFrame, DataFrame]:
+    """As ``cases_of``, with the judged panel staged as well, for results that read both."""
+    flagged = staged(flags(base(spark, sf_dir), policy), "flags")
+    return flagged, staged(A.admit(found(flagged, policy), policy)[0], "cases")
 
 
 # ---- group dimension and accounts, derived from the region and nation tables ------------------------
@@ -183,17 +201,21 @@ def duties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    return labels.forward_label(spine(spark, sf_dir), report_days(spark, sf_dir), policy)
+    of = base(spark, sf_dir)
+    return labels.forward_label(of.dense, report_days(spark, sf_dir), of.last_day, policy)
 
 
 STRATEGIES = ["rule_score", "temporal_score", "load"]
 
 
 def scored(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Judged entity-days with a full label horizon, split in time order; staged, as every metric reads it twice."""
-    dense = spine(spark, sf_dir)
-    label = labels.forward_label(dense, report_days(spark, sf_dir), policy).filter("full_horizon and label is not null")
-    judged = features(dense, policy).filter(F.col("rule_score").isNotNull())
-    rows = judged.join(label.select("entity_id", "day", "label"), ["entity_id", "day"])
-    rows = rows.withColumn("row_id", F.col("entity_id") * 100000 + F.col("day_no"))
-    return staged(labels.time_split(rows), "scored")
+    """Judged entity-days with a full label horizon, split in time order; staged, as every metric reads it twice.
+
+    Labels ride along the panel, so they share the shuffle by entity; no feature reads a report column.
+    """
+    of = base(spark, sf_dir)
+    panel_rows = with_context(of.dense, of.observed, policy)
+    with_label = labels.forward_label(panel_rows, report_days(spark, sf_dir), of.last_day, policy).drop("reports")
+    rows = features(with_label, policy).filter("full_horizon and label is not null and rule_score is not null")
+    rows = staged(rows.withColumn("row_id", F.col("entity_id") * 100000 + F.col("day_no")), "judged")
+    return labels.time_split(rows)

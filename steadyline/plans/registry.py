@@ -41,12 +41,12 @@ def s2_entity_days(spark, sf):
 
 @query
 def q6_spine(spark, sf):
-    return flow.spine(spark, sf).drop("day_no").withColumn("value_sum", F.round("value_sum", 4))
+    return flow.base(spark, sf).dense.drop("day_no").withColumn("value_sum", F.round("value_sum", 4))
 
 
 @query
 def b1_personal_baseline(spark, sf):
-    out = B.personal_baseline(flow.spine(spark, sf), "load", P, median=True)
+    out = B.personal_baseline(flow.base(spark, sf).dense, "load", P, median=True)
     return out.select(
         "entity_id", "day", "load", "load_n", F.round("load_mean", 6).alias("load_mean"),
         F.round("load_sd", 6).alias("load_sd"), "load_median",
@@ -55,26 +55,26 @@ def b1_personal_baseline(spark, sf):
 
 @query
 def b2_lagged_baseline(spark, sf):
-    out = B.lagged_baseline(flow.spine(spark, sf), "load", P)
+    out = B.lagged_baseline(flow.base(spark, sf).dense, "load", P)
     return out.select("entity_id", "day", F.round("load_lagged_mean", 6).alias("load_lagged_mean"))
 
 
 @query
 def b3_group_baseline(spark, sf):
-    out = B.group_baseline(flow.spine(spark, sf), "load", P)
+    out = B.group_baseline(flow.base(spark, sf).dense, "load", P)
     return out.select("group_id", "day", *[F.round(c, 6).alias(c) for c in ("load_group_today", "load_group_mean")])
 
 
 @query
 def b4_deviation(spark, sf):
-    dense = flow.spine(spark, sf)
-    out = B.deviation(B.personal_baseline(dense, "load", P), B.group_baseline(dense, "load", P), "load")
+    of = flow.base(spark, sf)
+    out = B.deviation(B.personal_baseline(flow.with_context(of.dense, of.observed, P), "load", P), "load")
     return out.select("entity_id", "group_id", "day", "load_dev", "load_excess", "load_z")
 
 
 @query
 def b5_temporal_features(spark, sf):
-    out = B.temporal_features(flow.spine(spark, sf), "load", P.busy_run)
+    out = B.temporal_features(flow.base(spark, sf).dense, "load", P.busy_run)
     return out.select("entity_id", "day", "load_prev", "load_sum7", "load_slope7", "rest_gap", "busy")
 
 
@@ -85,14 +85,14 @@ def b6_rest_gap(spark, sf):
 
 @query
 def b7_entity_trend(spark, sf):
-    own = B.own_z(B.personal_baseline(flow.spine(spark, sf), "load", P), "load")
+    own = B.own_z(B.personal_baseline(flow.base(spark, sf).dense, "load", P), "load")
     return B.entity_trend(own, "load").select(
         "entity_id", "day", F.col("load_z").alias("z_now"), F.col("load_z_then").alias("z_then"), "trend"
     )
 
 
 def _flags(spark, sf):
-    return flow.flags(flow.spine(spark, sf), P)
+    return flow.flags(flow.base(spark, sf), P)
 
 
 def _found(spark, sf):
@@ -171,7 +171,7 @@ def a13_case_id(spark, sf):
 @query
 def a14_no_report_effect(spark, sf):
     def cases(with_reports):
-        found = flow.found(flow.flags(flow.spine(spark, sf, with_reports), P), P)
+        found = flow.found(flow.flags(flow.base(spark, sf, with_reports), P), P)
         return A.admit(found, P)[0].select(*CASE_COLUMNS)
 
     return A.report_effect(cases(True), cases(False))
@@ -187,7 +187,7 @@ def s3_allowed_columns(spark, sf):
 
 
 def _published(spark, sf):
-    _, _, cases, ledger = flow.cases_and_ledger(spark, sf)
+    cases, ledger = A.admit(_found(spark, sf), P)
     path = staging.new_location(spark, "publish")
     exports = {
         "cases": publish.Export(cases, CASE_COLUMNS, "case_day"),
@@ -237,7 +237,7 @@ def s9_nonfinite(spark, sf):
 
 @query
 def s11_currency(spark, sf):
-    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    cases = flow.cases_of(spark, sf)
     as_of = flow.days(flow.records(spark, sf)).agg(F.max("day").alias("d")).scalar()
     return publish.currency(cases, as_of)
 
@@ -269,7 +269,7 @@ LINE_KEY = ["l_orderkey", "l_linenumber"]
 
 @query
 def q1_completeness(spark, sf):
-    return Q.completeness(flow.spine(spark, sf), ["load", "errors", "value_sum"])
+    return Q.completeness(flow.base(spark, sf).dense, ["load", "errors", "value_sum"])
 
 
 @query
@@ -355,7 +355,7 @@ def p7_redact(spark, sf):
 
 
 def _queue(spark, sf):
-    _, found, cases, _ = flow.cases_and_ledger(spark, sf)
+    cases = flow.cases_of(spark, sf)
     return flow.cases_with_state(spark, sf, cases)
 
 
@@ -406,7 +406,7 @@ FACTOR_COLUMNS = ["case_id", "metric", "value", "reference", "window_start", "wi
 
 
 def _explained(spark, sf):
-    flagged, found, cases, _ = flow.cases_and_ledger(spark, sf)
+    flagged, cases = flow.flags_and_cases(spark, sf)
     return cases, E.factors(cases, flagged, P)
 
 
@@ -436,7 +436,7 @@ def e4_factor_count(spark, sf):
 
 @query
 def e5_policy_at(spark, sf):
-    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    cases = flow.cases_of(spark, sf)
     policies = spark.createDataFrame(
         [("v1", "2024-01-01", "2024-01-16"), ("v2", "2024-01-16", None)], "policy_version string, f string, t string"
     ).select("policy_version", F.to_date("f").alias("valid_from"), F.to_date("t").alias("valid_to"))
@@ -457,19 +457,19 @@ def e6_untraceable(spark, sf):
 
 @query
 def r1_queue(spark, sf):
-    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    cases = flow.cases_of(spark, sf)
     return R.queue(cases).select("case_day", "level", "case_id")
 
 
 @query
 def r2_queue_for(spark, sf):
-    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    cases = flow.cases_of(spark, sf)
     return R.queue_for(cases, "reviewer-all", flow.accounts(spark, sf), 10).select("case_day", "level", "case_id")
 
 
 @query
 def r3_staleness(spark, sf):
-    flagged, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    flagged, cases = flow.flags_and_cases(spark, sf)
     as_of = flagged.agg(F.max("day").alias("d")).scalar()
     return R.staleness(cases, as_of, P).select("case_id", "age_days", "stale", "chip")
 
@@ -491,7 +491,7 @@ def r5_surfacing_reason(spark, sf):
 
 @query
 def r6_signal_drift(spark, sf):
-    flagged, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    flagged, cases = flow.flags_and_cases(spark, sf)
     return R.signal_drift(cases, flagged).select("case_id", "case_day", "signal_day", "signal", "differs")
 
 
@@ -570,7 +570,7 @@ def f1_support_options(spark, sf):
 
 @query
 def f2_feasibility(spark, sf):
-    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    cases = flow.cases_of(spark, sf)
     return _feasible(spark, sf, cases).select("case_id", "busy_days", "first_free", "feasibility")
 
 
@@ -581,7 +581,7 @@ def f3_followup_status(spark, sf):
 
 @query
 def f4_requeue(spark, sf):
-    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    cases = flow.cases_of(spark, sf)
     return U.requeue(cases, f3_followup_status(spark, sf))
 
 
@@ -603,30 +603,30 @@ def f6_next_step(spark, sf):
 
 @query
 def g1_group_summary(spark, sf):
-    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    cases = flow.cases_of(spark, sf)
     return S.group_summary(_roster(spark, sf), cases, _feasible(spark, sf, cases))
 
 
 @query
 def g2_group_trend(spark, sf):
-    return S.group_trend(flow.spine(spark, sf), "week")
+    return S.group_trend(flow.base(spark, sf).dense, "week")
 
 
 @query
 def g3_concentration(spark, sf):
-    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    cases = flow.cases_of(spark, sf)
     return S.concentration(cases)
 
 
 @query
 def g4_dashboard(spark, sf):
-    _, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    cases = flow.cases_of(spark, sf)
     return S.dashboard(cases, flow.groups(spark, sf))
 
 
 @query
 def g5_timeline(spark, sf):
-    flagged, _, cases, _ = flow.cases_and_ledger(spark, sf)
+    flagged, cases = flow.flags_and_cases(spark, sf)
     return S.timeline(flagged, cases)
 
 
@@ -757,10 +757,10 @@ def m9_compare(spark, sf):
 
 @query
 def m10_no_peek(spark, sf):
-    dense = staged(flow.spine(spark, sf), "spine")
+    dense = staged(flow.base(spark, sf).dense, "spine")
     cut = F.lit("2024-01-20").cast("date")
     columns = ["entity_id", "day", "load_z", "errors_z", "load_excess", "load_slope7", "rule_score", "temporal_score"]
-    changed = L.peek_differences(dense, lambda d: flow.features(d, P).select(*columns), cut)
+    changed = L.peek_differences(dense, lambda d: flow.features(flow.with_context(d, d, P), P).select(*columns), cut)
     return dense.filter(F.col("day") <= cut).agg(F.count("*").alias("compared")).select(
         "compared", changed.agg(F.count("*").alias("n")).scalar().alias("changed")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from steadyline.functions.digests import fingerprint
 from steadyline.sources.guards import assert_finite, assert_unambiguous, select_allowed
 
-ROWS_PER_FILE = 2_000_000  # bounds the size of one file, and so of one manifest read
+ROWS_PER_FILE = 2_000_000  # bounds one file, and so one manifest read; choose fewer for wide rows
 
 
 @dataclass(frozen=True)
@@ -19,22 +19,26 @@ class Export:
 
 
 def publish(
-    exports: dict[str, Export], path: str, as_of: str, commit: str, forbidden: list[str] = ()
+    exports: dict[str, Export], path: str, as_of: str, commit: str, forbidden: list[str] = (),
+    rows_per_file: int = ROWS_PER_FILE,
 ) -> None:
-    """Write each export and a manifest. A barred column, an ambiguous name or a non-finite value stops the export."""
-    checked = {
-        name: assert_finite(assert_unambiguous(select_allowed(e.df, e.allow, forbidden))) for name, e in exports.items()
-    }
+    """Write each export, then its manifest.
+
+    Barred columns and ambiguous names are refused before anything is written. Values are checked on the written
+    files, which costs a read of their float columns instead of a second computation; without a manifest, a refused
+    bundle cannot be read.
+    """
+    checked = {n: assert_unambiguous(select_allowed(e.df, e.allow, forbidden)) for n, e in exports.items()}
+    spark = next(iter(checked.values())).sparkSession
     for name, df in checked.items():
         by = exports[name].partition_by
         # rebalance: even files, also when one partition value holds most rows
         rows = df.hint("rebalance", by) if by else df.hint("rebalance")
-        writer = rows.write.option("maxRecordsPerFile", ROWS_PER_FILE)
+        writer = rows.write.option("maxRecordsPerFile", rows_per_file)
         (writer.partitionBy(by) if by else writer).parquet(f"{path}/data/{name}")
-    spark = next(iter(checked.values())).sparkSession
-    manifest(spark, f"{path}/data").withColumns({"as_of": F.lit(as_of).cast("date"), "commit": F.lit(commit)}).write.parquet(
-        f"{path}/manifest"
-    )
+        assert_finite(spark.read.parquet(f"{path}/data/{name}"))
+    provenance = {"as_of": F.lit(as_of).cast("date"), "commit": F.lit(commit)}
+    manifest(spark, f"{path}/data").withColumns(provenance).write.parquet(f"{path}/manifest")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
