@@ -1,0 +1,130 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from steadyline.operators import access as X, quality as Q
+from steadyline.sources import guards
+
+
+@pytest.fixture(scope="module")
+def dirty(spark):
+    return spark.createDataFrame(
+        [(1, 1.0, 5), (1, 2.0, 6), (2, float("nan"), 7), (3, float("inf"), None), (4, None, -1), (9, -5.0, 3)],
+        "id int, x double, ref int",
+    )
+
+
+def test_completeness_range_rules(dirty, rows):
+    assert rows(Q.completeness(dirty, ["x", "ref"]), "column", "present", "missing") == [("ref", 5, 1), ("x", 5, 1)]
+    assert rows(Q.range_check(dirty, {"ref": (0, 6)}), "rule", "n") == [("range_ref", 2)]
+    assert rows(Q.plausibility(dirty, {"positive": "ref > 0"}), "rule", "n") == [("positive", 1)]
+
+
+def test_consistency_counts_rows_not_keys(spark, dirty, rows):
+    parents = spark.createDataFrame([(5,), (6,)], "p int")
+    got = rows(Q.consistency(dirty, ["id"], [("ref", parents, "p")]), "rule", "n")
+    assert got == [("duplicate_key", 1), ("orphan_ref", 3)]
+
+
+def test_summary_states_zero(spark, rows):
+    findings = spark.createDataFrame([("a", 3), ("b", 0)], "rule string, n bigint")
+    rules = spark.createDataFrame([("a", "error"), ("b", "warning"), ("c", "warning")], "rule string, severity string")
+    assert rows(Q.quality_summary(findings, rules)) == [("error", 1, 1, 3), ("warning", 2, 0, 0)]
+
+
+def test_gate(dirty, rows):
+    assert rows(Q.gate(dirty, ["id"], F.col("ref") < 0), "id") == [(2,), (3,), (9,)]
+
+
+def test_finite(spark, dirty, rows):
+    assert rows(guards.nonfinite_counts(dirty)) == [("x", 2)]
+    with pytest.raises(ValueError, match="x=2"):
+        guards.assert_finite(dirty)
+    assert guards.assert_finite(dirty.filter("id = 1")).count() == 2
+    assert guards.nonfinite_counts(spark.range(3)).count() == 0
+
+
+def test_ambiguous_names(spark):
+    a = spark.createDataFrame([(1, 2)], "id int, v int")
+    joined = a.alias("l").join(a.withColumnRenamed("v", "V").alias("r"), F.col("l.id") == F.col("r.id"))
+    assert guards.ambiguous_columns(joined) == ["id", "v"]
+    with pytest.raises(ValueError):
+        guards.assert_unambiguous(a.withColumnRenamed("id", "v_x").withColumnRenamed("v", "v_y"))
+    assert guards.assert_unambiguous(a) is a
+
+
+def test_allow_list_refuses_forbidden_also_nested_and_renamed(spark):
+    df = spark.createDataFrame([(1, "secret")], "id int, mood string")
+    nested = df.withColumn("box", F.struct("mood"))
+    renamed = df.withColumn("m2", F.col("mood"))
+    listed = df.withColumn("many", F.array(F.struct(F.col("mood").alias("Mood"))))
+    assert guards.select_allowed(df, ["id"], ["mood"]).columns == ["id"]
+    for bad, column in ((df, "mood"), (nested, "box"), (renamed, "m2"), (listed, "many")):
+        with pytest.raises(ValueError, match="forbidden"):
+            guards.select_allowed(bad, ["id", column], ["mood"])
+    with pytest.raises(ValueError, match="not found"):
+        guards.select_allowed(df, ["nope"])
+
+
+@pytest.fixture(scope="module")
+def accounts(spark):
+    return spark.createDataFrame(
+        [
+            ("one", "reviewer", ["support"], [1]), ("all", "reviewer", ["support"], [1, 2]),
+            ("none", "reviewer", ["support"], []), ("lead", "lead", ["aggregate", "support"], [1, 2]),
+        ],
+        "account_id string, role string, purposes array<string>, groups array<int>",
+    )
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    return spark.createDataFrame([(10, 1), (11, 1), (20, 2)], "entity_id bigint, group_id int")
+
+
+def test_scope(people, accounts, rows):
+    assert rows(X.authorised(people, "one", accounts), "entity_id") == [(10,), (11,)]
+    assert X.authorised(people, "one", accounts, "audit").count() == 0
+    assert X.authorised(people, "none", accounts).count() == 0
+    assert rows(X.scope_counts(people, accounts)) == [("all", 3), ("lead", 3), ("none", 0), ("one", 2)]
+
+
+def test_purpose_never_widens(spark, accounts, rows):
+    asked = spark.createDataFrame([("one", "audit"), ("one", "support"), ("ghost", "support")], "account_id string, declared string")
+    assert rows(X.effective_purpose(asked, accounts)) == [
+        ("ghost", "support", None, "refused"), ("one", "audit", None, "refused"), ("one", "support", "support", "granted"),
+    ]
+
+
+def test_out_of_scope_looks_like_nonexistent(spark, people, accounts):
+    asked = spark.createDataFrame([(10,), (20,), (999,)], "entity_id bigint")
+    answers = {r["entity_id"]: r["answer"] for r in X.lookup(asked, X.authorised(people, "one", accounts)).collect()}
+    assert answers[10] == "found" and answers[20] == answers[999] == "not_found"
+
+
+def test_pseudonyms_return_only_in_scope(people, accounts, rows):
+    hidden = X.pseudonymise(people, "entity_id", "s").withColumnRenamed("entity_id", "pseudonym")
+    names = people.select("entity_id", X.pseudonym("entity_id", "s").alias("pseudonym"))
+    assert rows(X.reidentify(hidden, names, "one", accounts), "entity_id") == [(10,), (11,)]
+    assert hidden.filter("pseudonym = '10'").count() == 0
+
+
+def test_matrix_aggregate_and_redaction(spark, people, accounts, rows):
+    assert rows(X.invalid_accounts(accounts, X.role_matrix(accounts))) == [("lead", "lead", "support")]
+    blocked = X.enforce_aggregate_only(people, "aggregate")
+    assert blocked.columns == ["group_id"] and blocked.count() == 0
+    assert X.enforce_aggregate_only(people, "support") is people
+    text = spark.createDataFrame([("mail a.b@c.org from 10.0.0.7, token = \"ab12\" call +49 151 2345678 in 2024",), (None,)], "t string")
+    assert [r["t"] for r in X.redact(text, "t").collect()] == ["mail [email] from [ip], [secret] call [number] in 2024", None]
+
+
+def test_queue_filters(spark, rows):
+    q = spark.createDataFrame(
+        [("c1", 10, 1, "high", "open", dt.date(2024, 1, 5)), ("c2", 20, 2, "low", "closed", dt.date(2024, 1, 9))],
+        "case_id string, entity_id bigint, group_id int, level string, state string, case_day date",
+    )
+    assert rows(X.filter_queue(q, groups=[1]), "case_id") == [("c1",)]
+    assert rows(X.filter_queue(q, first="2024-01-06"), "case_id") == [("c2",)]
+    assert rows(X.filter_queue(q, search="20", levels=["low"], states=["closed"]), "case_id") == [("c2",)]
+    assert X.filter_queue(q).count() == 2
