@@ -98,44 +98,49 @@ def _entries(steps: Column, start: Column, letters: str) -> Column:
 def replay_states(
     log: DataFrame, key: str, order: list[str], source: Column, target: Column, n_states: int, initial: int
 ) -> DataFrame:
-    """Add ``state_before`` and ``state_after`` (state numbers) to each log row.
+    """Add ``state_before`` and ``state_after`` (state numbers) to each log row; columns named ``_...`` are dropped.
 
     ``source`` / ``target``: equally long texts of letters (see ``state_letters``); a row moves state
     ``source[i]`` to ``target[i]`` and leaves any other state as it is.
     """
     letters = state_letters(n_states)
-    run = Ordered(log.withColumn("_fn", _translate(F.lit(letters), source, target)), [key], order, "replay")
+    columns = [c for c in log.columns if not c.startswith("_")]
+    steps = log.select(*columns, _translate(F.lit(letters), source, target).alias("_fn"))
+    run = Ordered(steps, [key], order, "replay")
     rows = run.df.withColumn("_rn", F.row_number().over(run._local()) - 1).withColumns(
         {"_block": F.floor(F.col("_rn") / BLOCK_ROWS).cast("int"), "_pos": F.col("_rn") % BLOCK_ROWS}
     )
 
     def listed(df: DataFrame, by: list[str], index: str, keep: list[str]) -> DataFrame:
         """Steps in order per ``by``: at most a block of rows, a chunk's blocks, or a key's chunks."""
-        return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(index, *keep))).alias("_steps"))
+        return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(index, *keep))).alias("_steps"))
 
     def summed(df: DataFrame) -> DataFrame:
         return df.withColumn("_fn", _composed(F.col("_steps"), letters))
 
     # up: rows -> blocks -> chunks -> keys. (chunk, key) is one partitioning for the first three levels.
-    blocks = listed(rows, [CHUNK, KEY, "_block"], "_pos", ["_fn", *log.columns])
+    blocks = listed(rows, [CHUNK, KEY, "_block"], "_pos", ["_fn", *columns])
     chunks = summed(listed(summed(blocks).drop("_steps"), [CHUNK, KEY], "_block", ["_fn"]))
     keys = listed(chunks, [KEY], CHUNK, ["_fn"])
 
     # down: the state before each chunk, then before each block, then before each row
-    chunk_entry = keys.select(
-        KEY, _entries(F.col("_steps"), F.lit(letters[initial]), letters).alias("_path"), F.posexplode("_steps").alias("_i", "_s")
-    ).select(F.col(f"_s.{CHUNK}").alias(CHUNK), KEY, F.substring("_path", F.col("_i") + 1, F.lit(1)).alias("_entry"))
+    # (a path is computed in a select of its own: next to an explode it would be computed again for every row)
+    key_paths = keys.withColumn("_path", _entries(F.col("_steps"), F.lit(letters[initial]), letters))
+    chunk_entry = key_paths.select(KEY, "_path", F.posexplode("_steps").alias("_i", "_s")).select(
+        F.col(f"_s.{CHUNK}").alias(CHUNK), KEY, F.substring("_path", F.col("_i") + 1, F.lit(1)).alias("_entry")
+    )
     block_paths = chunks.join(chunk_entry, [CHUNK, KEY]).select(
         CHUNK, KEY, _entries(F.col("_steps"), F.col("_entry"), letters).alias("_block_path")
     )
     entered = blocks.join(block_paths, [CHUNK, KEY])
     entry = F.substring("_block_path", F.col("_block") + 1, F.lit(1))
-    out = entered.select(
-        _entries(F.col("_steps"), entry, letters).alias("_row_path"), F.posexplode("_steps").alias("_i", "_s")
-    ).select(F.substring("_row_path", F.col("_i") + 1, F.lit(1)).alias("_before"), "_s")
+    row_paths = entered.select("_steps", _entries(F.col("_steps"), entry, letters).alias("_row_path"))
+    out = row_paths.select("_row_path", F.posexplode("_steps").alias("_i", "_s")).select(
+        F.substring("_row_path", F.col("_i") + 1, F.lit(1)).alias("_before"), "_s"
+    )
     after = _translate(F.col("_before"), F.lit(letters), F.col("_s._fn"))
     return out.select(
-        *[F.col(f"_s.{c}").alias(c) for c in log.columns],
+        *[F.col(f"_s.{c}").alias(c) for c in columns],
         (F.ascii("_before") - ord("A")).alias("state_before"),
         (F.ascii(after) - ord("A")).alias("state_after"),
     )

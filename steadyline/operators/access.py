@@ -63,20 +63,23 @@ def lookup(requests: DataFrame, scoped: DataFrame) -> DataFrame:
     )
 
 
-# shapes of identifiers in free text (this library's own patterns), each with its replacement
+# shapes of identifiers in free text (this library's own patterns): pattern, replacement, and a text that every
+# match contains (or None); a row without it is passed over without running the pattern
 REDACTIONS = [
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
-    (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "[ip]"),
-    (r"(?i)\b(token|secret|password|api_key)\b\s*[=:]\s*\"?[A-Za-z0-9_/+-]+\"?", "[secret]"),
-    (r"\+?[0-9][0-9 ()-]{7,}[0-9]", "[number]"),
+    # the look-behind keeps the search from starting again inside each word
+    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]", "@"),
+    (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "[ip]", "."),
+    (r"(?i)\b(token|secret|password|api_key)\b\s*[=:]\s*\"?[A-Za-z0-9_/+-]+\"?", "[secret]", None),
+    (r"\+?[0-9][0-9 ()-]{7,}[0-9]", "[number]", None),
 ]
 
 
-def redact(df: DataFrame, column: str, patterns: list[tuple[str, str]] = REDACTIONS) -> DataFrame:
-    text = F.col(column)
-    for pattern, replacement in patterns:
-        text = F.regexp_replace(text, pattern, replacement)
-    return df.withColumn(column, text)
+def redact(df: DataFrame, column: str, patterns: list[tuple[str, str, str | None]] = REDACTIONS) -> DataFrame:
+    for pattern, replacement, needs in patterns:
+        text = F.col(column)
+        cleaned = F.regexp_replace(text, pattern, replacement)
+        df = df.withColumn(column, cleaned if needs is None else F.when(text.contains(needs), cleaned).otherwise(text))
+    return df
 
 
 def filter_queue(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from steadyline.functions.digests import digest_sums, payload
 
-SEGMENT = 256
+SEGMENT = 128
 
 
 def _start(chain: str, segment: Column) -> Column:
@@ -23,7 +23,7 @@ def chain(events: DataFrame, key: str, seq: str, fields: list[str], segment: int
     """
     number = F.floor(F.col(seq) / segment).cast("bigint")
     items = events.select(key, F.col(seq), number.alias("segment"), F.sha2(payload(*fields), 256).alias("_digest"))
-    grouped = items.groupBy(key, "segment").agg(F.array_sort(F.collect_list(F.struct(seq, "_digest"))).alias("_items"))
+    grouped = items.groupBy(key, "segment").agg(F.sort_array(F.collect_list(F.struct(seq, "_digest"))).alias("_items"))
     walk = F.aggregate(
         "_items",
         F.struct(_start(key, F.col("segment")).alias("h"), F.lit("").alias("path")),
@@ -32,9 +32,10 @@ def chain(events: DataFrame, key: str, seq: str, fields: list[str], segment: int
             F.concat(acc["path"], acc["h"]).alias("path"),
         ),
     )
-    links = grouped.select(key, "segment", "_items", walk.alias("_w")).select(
-        key, "segment", F.concat("_w.path", "_w.h").alias("_path"), F.posexplode("_items").alias("_i", "_item")
-    )
+    # the fold is a select of its own: next to an explode it would run again for every row
+    walked = grouped.select(key, "segment", "_items", walk.alias("_w"))
+    paths = walked.select(key, "segment", "_items", F.concat("_w.path", "_w.h").alias("_path"))
+    links = paths.select(key, "segment", "_path", F.posexplode("_items").alias("_i", "_item"))
     hashes = links.select(
         key,
         F.col(f"_item.{seq}").alias(seq),

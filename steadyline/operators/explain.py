@@ -56,7 +56,7 @@ def explain(cases: DataFrame, found: DataFrame) -> DataFrame:
     """Factors nested under the case, strongest first (a case has at most one per rule)."""
     item = F.struct("value", "reference", "metric")
     with_strength = found.withColumn("_item", F.struct((-F.round(strength(item), 6)).alias("s"), *PROVENANCE))
-    nested = with_strength.groupBy("case_id").agg(F.array_sort(F.collect_list("_item")).alias("_items"))
+    nested = with_strength.groupBy("case_id").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
     clean = F.transform("_items", lambda i: F.struct(*[i[c].alias(c) for c in PROVENANCE]))
     return cases.join(nested.select("case_id", clean.alias("factors")), "case_id", "left")
 
@@ -82,7 +82,8 @@ def policy_at(cases: DataFrame, policies: DataFrame, last_day: Column) -> DataFr
     per_day = policies.withColumn("_end", end).filter(F.col("_end") >= F.col("valid_from")).select(
         F.col("policy_version").alias("valid_version"), F.explode(F.sequence("valid_from", "_end")).alias("case_day")
     )
-    return cases.join(per_day, "case_day", "left")
+    # one row per calendar day and version, so it may be broadcast
+    return cases.join(F.broadcast(per_day), "case_day", "left")
 
 
 def untraceable(found: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def support_options(found: DataFrame, mapping: DataFrame) -> DataFrame:
     return (
         found.join(mapping, "rule")
         .groupBy("case_id", "mapping_version")
-        .agg(F.array_sort(F.collect_set("option")).alias("options"))
+        .agg(F.sort_array(F.collect_set("option")).alias("options"))
     )
 
 

@@ -43,7 +43,8 @@ def time_split(df: DataFrame, train_percent: int = 60, validation_percent: int =
         .when(share <= (train_percent + validation_percent) * total, F.lit("validation"))
         .otherwise(F.lit("test"))
     )
-    return df.join(per_day.select("day", split.alias("split")), "day")
+    # one row per calendar day: bounded, so it may be broadcast, and the rows are not shuffled by day
+    return df.join(F.broadcast(per_day.select("day", split.alias("split"))), "day")
 
 
 def peek_differences(panel: DataFrame, features: Callable[[DataFrame], DataFrame], cut_day: Column) -> DataFrame:

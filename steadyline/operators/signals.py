@@ -120,20 +120,27 @@ def retired(found: DataFrame, policy: Policy) -> Column:
 def mark_repeats(found: DataFrame, policy: Policy) -> DataFrame:
     """Greedy per entity: a candidate within ``cooldown`` days of the last *kept* one is a repeat.
 
-    The kept days of an entity are at least ``cooldown`` days apart, so the folded array is bounded by the calendar.
+    A plain lag would compare with the last candidate, kept or not. An entity has at most one candidate per day, so the
+    folded array is bounded by the calendar; one pass, no join.
     """
+    rest = [c for c in found.columns if c not in ("entity_id", "case_day")]
+    per_entity = found.groupBy("entity_id").agg(
+        F.sort_array(F.collect_list(F.struct("case_day", *rest))).alias("_candidates")
+    )
     kept = F.aggregate(
-        F.array_sort(F.collect_set("case_day")),
+        "_candidates",
         F.array().cast("array<date>"),
-        lambda acc, d: F.when(
-            (F.size(acc) == 0) | (F.date_diff(d, F.try_element_at(acc, F.lit(-1))) > policy.cooldown),
-            F.concat(acc, F.array(d)),
+        lambda acc, c: F.when(
+            (F.size(acc) == 0) | (F.date_diff(c["case_day"], F.try_element_at(acc, F.lit(-1))) > policy.cooldown),
+            F.concat(acc, F.array(c["case_day"])),
         ).otherwise(acc),
     )
-    days = found.groupBy("entity_id").agg(kept.alias("_kept"))
-    return found.join(days, "entity_id").withColumn(
-        "repeat", ~F.array_contains("_kept", F.col("case_day"))
-    ).drop("_kept")
+    rows = per_entity.withColumn("_kept", kept).select("entity_id", "_kept", F.explode("_candidates").alias("_c"))
+    return rows.select(
+        "entity_id",
+        *[F.col(f"_c.{c}").alias(c) for c in ("case_day", *rest)],
+        (~F.array_contains("_kept", F.col("_c.case_day"))).alias("repeat"),
+    )
 
 
 def budget(found: DataFrame, k: int, by: str = "case_day") -> DataFrame:

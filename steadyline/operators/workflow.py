@@ -34,21 +34,23 @@ def _state_name(number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in STATES]), number + 1)
 
 
-def _moves(transitions) -> tuple[Column, Column]:
-    """Per action: letters of the states it leaves, and of those it reaches. Expected state narrows it to one."""
-    source, target = F.lit(""), F.lit("")
-    for action in dict.fromkeys(t[0] for t in transitions):
-        edges = [(_letter(a), _letter(b)) for name, a, b in transitions if name == action]
-        wide_from, wide_to = "".join(a for a, _ in edges), "".join(b for _, b in edges)
-        only_from, only_to = F.lit(""), F.lit("")
-        for name, a, b in transitions:
-            if name == action:
-                only_from = F.when(F.col("expected_state") == a, F.lit(_letter(a))).otherwise(only_from)
-                only_to = F.when(F.col("expected_state") == a, F.lit(_letter(b))).otherwise(only_to)
-        here, free = F.col("action") == action, F.col("expected_state").isNull()
-        source = F.when(here, F.when(free, F.lit(wide_from)).otherwise(only_from)).otherwise(source)
-        target = F.when(here, F.when(free, F.lit(wide_to)).otherwise(only_to)).otherwise(target)
-    return source, target
+def _moves(transitions) -> Column:
+    """Struct (source, target): letters of the states that this action leaves and reaches.
+
+    Looked up by action and expected state; a stated expectation narrows the move to that one state.
+    """
+    table = {}
+    for action, a, b in transitions:
+        source, target = table.get((action, "*"), ("", ""))
+        table[(action, "*")] = (source + _letter(a), target + _letter(b))
+        table[(action, a)] = (_letter(a), _letter(b))
+
+    def move(source: str, target: str) -> Column:
+        return F.struct(F.lit(source).alias("source"), F.lit(target).alias("target"))
+
+    entries = [c for (action, state), (a, b) in table.items() for c in (F.lit(f"{action}|{state}"), move(a, b))]
+    key = F.concat_ws("|", F.col("action"), F.coalesce("expected_state", F.lit("*")))
+    return F.coalesce(F.create_map(*entries)[key], move("", ""))
 
 
 def replay(actions: DataFrame, codes: list[str] | None = None, transitions=TRANSITIONS) -> DataFrame:
@@ -57,19 +59,15 @@ def replay(actions: DataFrame, codes: list[str] | None = None, transitions=TRANS
     ``actions`` columns: case_id, ts, seq (unique), action, expected_state (NULL: not stated), reason_code, ...
     With ``codes``, an action without a listed reason code is refused too.
     """
-    source, target = _moves(transitions)
-    has_reason = F.lit(True) if codes is None else F.coalesce(F.col("reason_code").isin(codes), F.lit(False))
-    source = F.when(has_reason, source).otherwise(F.lit(""))
-    target = F.when(has_reason, target).otherwise(F.lit(""))
-    prepared = actions.withColumns({"_source": source, "_target": target, "_reasoned": has_reason})
-    rows = replay_states(
-        prepared, "case_id", ["ts", "seq"], F.col("_source"), F.col("_target"), len(STATES), STATES.index("open")
-    )
+    reasoned = F.lit(True) if codes is None else F.coalesce(F.col("reason_code").isin(codes), F.lit(False))
+    prepared = actions.withColumn("_move", _moves(transitions))
+    source, target = [F.when(reasoned, F.col(f"_move.{c}")).otherwise(F.lit("")) for c in ("source", "target")]
+    rows = replay_states(prepared, "case_id", ["ts", "seq"], source, target, len(STATES), STATES.index("open"))
     before = _state_name(F.col("state_before"))
     moved = F.col("state_before") != F.col("state_after")
     refusal = (
         F.when(moved, F.lit(None).cast("string"))
-        .when(~F.col("_reasoned"), F.lit("missing_reason"))
+        .when(~reasoned, F.lit("missing_reason"))
         .when(F.col("expected_state").isNotNull() & (F.col("expected_state") != before), F.lit("conflict"))
         .otherwise(F.lit("invalid_transition"))
     )

@@ -112,7 +112,7 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per region a reviewer and a lead (the last lead holds a purpose its role must not have), and two accounts for all."""
     nation = read_table(spark, sf_dir, "nation")
-    listed = F.array_sort(F.collect_set("n_nationkey")).alias("groups")
+    listed = F.sort_array(F.collect_set("n_nationkey")).alias("groups")
     regional, everywhere = nation.groupBy("n_regionkey").agg(listed), nation.agg(listed)
 
     def account(df, name, role, purposes):
