@@ -3,26 +3,31 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from steadyline.config import Policy
-from steadyline.functions.frames import by_day, frame_stats, ratio, slope, trailing
+from steadyline.functions.frames import by_day, ratio, trailing, with_frame_stats, with_slope
 from steadyline.functions.ordered import Ordered
 
 
 def personal_baseline(panel: DataFrame, metric: str, policy: Policy, median: bool = False) -> DataFrame:
     """Mean and spread of the entity's own trailing days, today left out; NULL with too few observed days."""
     frame = trailing(policy.baseline_days, 1)
-    n, mean, spread = frame_stats(panel, metric, frame)
-    enough = n >= policy.min_observed
-    columns = {f"{metric}_n": n, f"{metric}_mean": F.when(enough, mean), f"{metric}_sd": F.when(enough, spread)}
+    enough = F.col("_n") >= policy.min_observed
+    columns = {
+        f"{metric}_n": F.col("_n"),
+        f"{metric}_mean": F.when(enough, F.col("_mean")),
+        f"{metric}_sd": F.when(enough, F.col("_sd")),
+    }
+    out = with_frame_stats(panel, metric, frame)
     if median:
-        middle = F.expr(f"percentile({metric}, 0.5)").over(frame)
-        columns[f"{metric}_median"] = F.when(enough, middle)
-    return panel.withColumns(columns)
+        out = out.withColumn("_median", F.expr(f"percentile({metric}, 0.5)").over(frame))
+        columns[f"{metric}_median"] = F.when(enough, F.col("_median"))
+    return out.withColumns(columns).drop("_n", "_mean", "_sd", "_median")
 
 
 def lagged_baseline(panel: DataFrame, metric: str, policy: Policy) -> DataFrame:
     """Mean of older days only, so that a slow drift is still seen against where it started."""
-    n, mean, _ = frame_stats(panel, metric, trailing(policy.lag_far, policy.lag_near))
-    return panel.withColumn(f"{metric}_lagged_mean", F.when(n >= policy.min_observed, mean))
+    out = with_frame_stats(panel, metric, trailing(policy.lag_far, policy.lag_near), spread=False)
+    lagged = F.when(F.col("_n") >= policy.min_observed, F.col("_mean"))
+    return out.withColumn(f"{metric}_lagged_mean", lagged).drop("_n", "_mean")
 
 
 def group_baseline(panel: DataFrame, metric: str, policy: Policy) -> DataFrame:
@@ -34,12 +39,12 @@ def group_baseline(panel: DataFrame, metric: str, policy: Policy) -> DataFrame:
         F.sum(F.col(metric).cast("double")).alias("_total"), F.count(metric).alias("_members")
     )
     frame = trailing(policy.baseline_days, 1, key="group_id")
-    total, members = F.sum("_total").over(frame), F.sum("_members").over(frame)
+    daily = daily.withColumns({"_all": F.sum("_total").over(frame), "_seen": F.sum("_members").over(frame)})
     return daily.select(
         "group_id",
         "day",
         ratio(F.col("_total"), F.col("_members")).alias(f"{metric}_group_today"),
-        F.when(members >= policy.min_observed, total / members).alias(f"{metric}_group_mean"),
+        F.when(F.col("_seen") >= policy.min_observed, F.col("_all") / F.col("_seen")).alias(f"{metric}_group_mean"),
     )
 
 
@@ -67,17 +72,17 @@ def temporal_features(panel: DataFrame, metric: str, busy_run: int) -> DataFrame
     week = by_day().rangeBetween(-6, 0)
     before = by_day().rowsBetween(Window.unboundedPreceding, -1)
     active_day = F.when(F.col(metric).isNotNull(), F.col("day_no"))
-    return panel.withColumns(
+    out = panel.withColumns(
         {
             f"{metric}_prev": F.last(metric, ignorenulls=True).over(before),
             f"{metric}_sum7": F.sum(metric).over(week),
-            f"{metric}_slope7": F.round(slope(metric, week), 6),
             "rest_gap": F.when(
                 F.col(metric).isNotNull(), F.col("day_no") - F.last(active_day, ignorenulls=True).over(before)
             ),
             "busy": F.count(metric).over(by_day().rangeBetween(-(busy_run - 1), 0)) == busy_run,
         }
     )
+    return with_slope(out, metric, week, f"{metric}_slope7")
 
 
 def rest_gaps(records: DataFrame) -> DataFrame:

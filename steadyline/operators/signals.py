@@ -55,7 +55,8 @@ def with_recovery(flags: DataFrame, policy: Policy) -> DataFrame:
     n = policy.recover_days
     recent = by_day().rowsBetween(-(n - 1), 0)
     calm = (F.count(F.when(~F.col("material"), 1)).over(recent) == n)
-    later = by_day().rowsBetween(1, Window.unboundedFollowing)
+    # latest first: "all later days" then grows row by row and is not recomputed for each
+    later = Window.partitionBy("entity_id").orderBy(F.desc("day_no")).rowsBetween(Window.unboundedPreceding, -1)
     return (
         flags.filter(F.col("material").isNotNull())
         .withColumn("_calm", F.when(calm, F.col("day")))
