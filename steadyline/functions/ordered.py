@@ -16,9 +16,13 @@ BLOCK_ROWS = 256
 
 
 class Ordered:
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str | Column], name: str = "ordered"):
+    def __init__(
+        self, df: DataFrame, keys: list[str], order: list[str | Column], name: str = "ordered",
+        derived: dict[str, Column] | None = None,
+    ):
         self.keys, self.order = keys, order
-        split = df.repartitionByRange(*keys, *order).withColumn(CHUNK, F.spark_partition_id())
+        # derived columns are computed after the range shuffle: its sampling pass evaluates what lies before it once more
+        split = df.repartitionByRange(*keys, *order).withColumns({CHUNK: F.spark_partition_id(), **(derived or {})})
         # the key as one struct: NULL keys then compare as equal, and windows and joins agree on the partitioning
         key = F.struct(*keys) if keys else F.lit(0)
         self.df = staged(split, name).withColumn(KEY, key)
@@ -98,15 +102,14 @@ def _entries(steps: Column, start: Column, letters: str) -> Column:
 def replay_states(
     log: DataFrame, key: str, order: list[str], source: Column, target: Column, n_states: int, initial: int
 ) -> DataFrame:
-    """Add ``state_before`` and ``state_after`` (state numbers) to each log row; columns named ``_...`` are dropped.
+    """Add ``state_before`` and ``state_after`` (state numbers) to each log row.
 
     ``source`` / ``target``: equally long texts of letters (see ``state_letters``); a row moves state
     ``source[i]`` to ``target[i]`` and leaves any other state as it is.
     """
     letters = state_letters(n_states)
-    columns = [c for c in log.columns if not c.startswith("_")]
-    steps = log.select(*columns, _translate(F.lit(letters), source, target).alias("_fn"))
-    run = Ordered(steps, [key], order, "replay")
+    action = _translate(F.lit(letters), source, target)
+    run = Ordered(log, [key], order, "replay", derived={"_fn": action})
     rows = run.df.withColumn("_rn", F.row_number().over(run._local()) - 1).withColumns(
         {"_block": F.floor(F.col("_rn") / BLOCK_ROWS).cast("int"), "_pos": F.col("_rn") % BLOCK_ROWS}
     )
@@ -118,9 +121,11 @@ def replay_states(
     def summed(df: DataFrame) -> DataFrame:
         return df.withColumn("_fn", _composed(F.col("_steps"), letters))
 
-    # up: rows -> blocks -> chunks -> keys. (chunk, key) is one partitioning for the first three levels.
-    blocks = listed(rows, [CHUNK, KEY, "_block"], "_pos", ["_fn", *columns])
-    chunks = summed(listed(summed(blocks).drop("_steps"), [CHUNK, KEY], "_block", ["_fn"]))
+    # up: rows -> blocks -> chunks -> keys, with the functions only. (chunk, key) is one partitioning for the first
+    # three levels; the chunk level is small and read twice, so it is staged.
+    by_block = [CHUNK, KEY, "_block"]
+    light = summed(listed(rows, by_block, "_pos", ["_fn"])).drop("_steps")
+    chunks = staged(summed(listed(light, [CHUNK, KEY], "_block", ["_fn"])), "replay_chunks")
     keys = listed(chunks, [KEY], CHUNK, ["_fn"])
 
     # down: the state before each chunk, then before each block, then before each row
@@ -132,6 +137,7 @@ def replay_states(
     block_paths = chunks.join(chunk_entry, [CHUNK, KEY]).select(
         CHUNK, KEY, _entries(F.col("_steps"), F.col("_entry"), letters).alias("_block_path")
     )
+    blocks = listed(rows, by_block, "_pos", ["_fn", *log.columns])
     entered = blocks.join(block_paths, [CHUNK, KEY])
     entry = F.substring("_block_path", F.col("_block") + 1, F.lit(1))
     row_paths = entered.select("_steps", _entries(F.col("_steps"), entry, letters).alias("_row_path"))
@@ -140,7 +146,7 @@ def replay_states(
     )
     after = _translate(F.col("_before"), F.lit(letters), F.col("_s._fn"))
     return out.select(
-        *[F.col(f"_s.{c}").alias(c) for c in columns],
+        *[F.col(f"_s.{c}").alias(c) for c in log.columns],
         (F.ascii("_before") - ord("A")).alias("state_before"),
         (F.ascii(after) - ord("A")).alias("state_after"),
     )

@@ -60,9 +60,9 @@ def replay(actions: DataFrame, codes: list[str] | None = None, transitions=TRANS
     With ``codes``, an action without a listed reason code is refused too.
     """
     reasoned = F.lit(True) if codes is None else F.coalesce(F.col("reason_code").isin(codes), F.lit(False))
-    prepared = actions.withColumn("_move", _moves(transitions))
-    source, target = [F.when(reasoned, F.col(f"_move.{c}")).otherwise(F.lit("")) for c in ("source", "target")]
-    rows = replay_states(prepared, "case_id", ["ts", "seq"], source, target, len(STATES), STATES.index("open"))
+    move = _moves(transitions)
+    source, target = [F.when(reasoned, move[c]).otherwise(F.lit("")) for c in ("source", "target")]
+    rows = replay_states(actions, "case_id", ["ts", "seq"], source, target, len(STATES), STATES.index("open"))
     before = _state_name(F.col("state_before"))
     moved = F.col("state_before") != F.col("state_after")
     refusal = (
