@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadyline.llm import simhash
+from steadyline.llm import quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +14,20 @@ def op3_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+QUALITY_FOLDS = 5
+QUALITY_THRESHOLD = 0.3
+
+
+def op9_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    weights = quality.fitted(docs, table(spark, sf_dir, "labels").where(~quality.held_out(QUALITY_FOLDS)))
+    return quality.scored(docs.select("doc_id", "text"), weights).select(
+        "doc_id", quality.held_out(QUALITY_FOLDS).alias("held_out"), "score",
+        F.when(F.col("score") >= QUALITY_THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
 }
