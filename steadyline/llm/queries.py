@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadyline.llm import quality, simhash
+from steadyline.llm import decontamination, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +14,12 @@ def op3_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_winnowing_decontamination(spark, sf_dir):
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(listed, 256).alias("items_sha256"), "contaminated")
+
+
 QUALITY_FOLDS = 5
 QUALITY_THRESHOLD = 0.3
 
@@ -29,5 +35,6 @@ def op9_quality_classifier(spark, sf_dir):
 
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op8_winnowing_decontamination": op8_winnowing_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
 }
