@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadyline.llm import decontamination, quality, simhash
+from steadyline.llm import decontamination, quality, secrets, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +14,15 @@ def op3_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_secret_linking(spark, sf_dir):
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(secrets.STRONG)
+    ]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
 def op8_winnowing_decontamination(spark, sf_dir):
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.concat_ws(",", F.array_sort(F.transform("items", lambda i: i.cast("string"))))
@@ -35,6 +44,7 @@ def op9_quality_classifier(spark, sf_dir):
 
 QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_secret_linking": op4_secret_linking,
     "op8_winnowing_decontamination": op8_winnowing_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
 }
