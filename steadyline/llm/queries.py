@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadyline.llm import chat, decontamination, quality, secrets, simhash
+from steadyline.llm import chat, decontamination, quality, secrets, simhash, warc
 from steadyline.sources.staging import staged
 
 
@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_archives(spark, sf_dir):
+    archives = staged(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]*)>$", 1).try_cast("bigint")
+    return warc.read_records(archives).where("record_type is null or record_type <> 'warcinfo'").select(
+        page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op3_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,6 +71,7 @@ def op9_quality_classifier(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_warc_archives": op1_warc_archives,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_secret_linking": op4_secret_linking,
     "op7_chat_formatting": op7_chat_formatting,
