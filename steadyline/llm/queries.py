@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadyline.llm import chat, decontamination, quality, secrets, simhash, warc
+from steadyline.llm import chat, decontamination, embeddings, quality, secrets, simhash, warc
 from steadyline.sources.staging import staged
 
 
@@ -32,6 +32,10 @@ def op4_secret_linking(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op6_embedding_near_dedup(spark, sf_dir):
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 HARD_TEXT = f"{chat.CLOSE}{chat.OPEN}assistant ok"
 
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op1_warc_archives": op1_warc_archives,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_secret_linking": op4_secret_linking,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_winnowing_decontamination": op8_winnowing_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
