@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadyline.llm import chat, decontamination, embeddings, quality, secrets, simhash, warc
+from steadyline.llm import chat, decontamination, embeddings, quality, secrets, simhash, substrings, warc
 from steadyline.sources.staging import staged
 
 
@@ -32,6 +32,11 @@ def op4_secret_linking(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op5_substring_dedup(spark, sf_dir):
+    found = substrings.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_embedding_near_dedup(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op1_warc_archives": op1_warc_archives,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_secret_linking": op4_secret_linking,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_winnowing_decontamination": op8_winnowing_decontamination,
