@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadyline.llm import chat, decontamination, embeddings, quality, secrets, simhash, substrings, warc
+from steadyline.llm import chat, decontamination, embeddings, maxent, quality, secrets, simhash, substrings, warc
 from steadyline.sources.staging import staged
 
 
@@ -79,6 +79,11 @@ def op9_quality_classifier(spark, sf_dir):
     )
 
 
+def op10_maxent_scoring(spark, sf_dir):
+    model = maxent.LanguageModel(table(spark, sf_dir, "documents"))
+    return model.scores().withColumn("train_tokens", F.lit(model.model.tokens).cast("bigint"))
+
+
 QUERIES = {
     "op1_warc_archives": op1_warc_archives,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
@@ -88,4 +93,5 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_winnowing_decontamination": op8_winnowing_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_maxent_scoring": op10_maxent_scoring,
 }
