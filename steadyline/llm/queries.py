@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadyline.llm import chat, decontamination, embeddings, maxent, quality, secrets, simhash, substrings, warc
+from steadyline.llm import chat, decontamination, embeddings, lattice, maxent, quality, secrets, simhash, substrings, warc
 from steadyline.sources.staging import staged
 
 
@@ -18,6 +18,16 @@ def op1_warc_archives(spark, sf_dir):
     )
 
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+SAMPLES = 2
+
+
+def op2_sampled_segmentations(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fields = ("sample", "n_pieces", "ids_xxh64", "log_prob", "inclusion", "exact")
+    return lattice.encoded(docs, lattice.pieces(PIECES), SAMPLES, fields=fields).drop("text")
+
+
 def op3_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -86,6 +96,7 @@ def op10_maxent_scoring(spark, sf_dir):
 
 QUERIES = {
     "op1_warc_archives": op1_warc_archives,
+    "op2_sampled_segmentations": op2_sampled_segmentations,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_secret_linking": op4_secret_linking,
     "op5_substring_dedup": op5_substring_dedup,

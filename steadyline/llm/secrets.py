@@ -109,8 +109,10 @@ def joined(spans: str) -> Column:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with all spans of each text, overlapping ones as one, replaced by ``mark``; null texts stay null."""
-    found = secrets(docs).where("size(spans) > 0").select("k1", "k2", "spans").dropDuplicates(["k1", "k2"])
-    keyed = docs.withColumns({"k1": F.coalesce("doc_id", F.lit(0)), "k2": F.xxhash64("doc_id", F.coalesce("text", F.lit("")))})
+    found = secrets(docs).where("size(spans) > 0").select(
+        F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans")
+    ).dropDuplicates(["__k1", "__k2"])
+    keyed = docs.withColumns({"__k1": F.coalesce("doc_id", F.lit(0)), "__k2": F.xxhash64("doc_id", F.coalesce("text", F.lit("")))})
 
     def step(a, s):
         out = F.concat(a["out"], F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
@@ -118,7 +120,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             F.when(s["start"] >= a["at"], out).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at")
         )
 
-    walk = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
-    text = F.concat(F.col("_walk.out"), F.substring("text", F.col("_walk.at") + 1, F.length("text")))
-    out = keyed.join(found, ["k1", "k2"], "left").withColumn("_walk", F.when(F.col("spans").isNotNull(), walk))
-    return out.withColumn("text", F.when(F.col("_walk").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+    walk = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
+    text = F.concat(F.col("__walk.out"), F.substring("text", F.col("__walk.at") + 1, F.length("text")))
+    out = keyed.join(found, ["__k1", "__k2"], "left").withColumn("__walk", F.when(F.col("__spans").isNotNull(), walk))
+    return out.withColumn("text", F.when(F.col("__walk").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
