@@ -119,7 +119,7 @@ class Lattices:
         raw = np.flatnonzero(~spelled[first])
         starts, ends, ids = np.append(starts, raw), np.append(ends, raw + 1), np.append(ids, p.byte[data[raw]])
         own = unit[starts]
-        order = np.argsort((ends - off[own]) * (len(data) + 1) + ends)  # by length of the way so far, then by node
+        order = np.argsort((ends - off[own]) * (len(data) + 1) + ends, kind="stable")  # by length of the way so far, then by node
         starts, ends, own, self.piece = starts[order], ends[order], own[order], ids[order]
         self.source, target = starts + own, ends + own
         weight = p.weight[self.piece]
@@ -137,16 +137,20 @@ class Lattices:
             lo, hi = bounds[a], bounds[z]
             into = self.node_first[a:z] - lo
             mass[nodes[a:z]] = np.logaddexp.reduceat(mass[self.source[lo:hi]] + weight[lo:hi], into)
-            self.ways[nodes[a:z]] = np.add.reduceat(self.ways[self.source[lo:hi]], into)
+            with np.errstate(over="ignore"):  # infinitely many will do
+                self.ways[nodes[a:z]] = np.add.reduceat(self.ways[self.source[lo:hi]], into)
         with np.errstate(invalid="ignore"):
             log_p = mass[self.source] + weight - mass[target]
         self.log_p = np.where(np.isfinite(log_p), log_p, -np.inf)
         share = np.exp(self.log_p)
-        total = np.cumsum(share)
         group = np.repeat(np.arange(len(nodes)), np.diff(bounds))
-        upto = total - (total[self.node_first] - share[self.node_first])[group] if len(group) else total
-        upto[bounds[1:] - 1] = 1.0
-        self.key = group + np.minimum(upto, 1.0)
+        # added up node by node, so that no number depends on the other units
+        self.upto = upto = share.copy()
+        at = self.node_first
+        while len(at := at[at + 1 < bounds[group[at] + 1]] if len(at) else at):
+            at = at + 1
+            upto[at] += upto[at - 1]
+        self.bounds = bounds
         # the likeliest edge into each node, and the share of those before it
         likely = np.flatnonzero(share == np.maximum.reduceat(share, self.node_first)[group]) if len(group) else np.zeros(0, np.int64)
         self.top = np.zeros(len(nodes), np.int64)
@@ -154,7 +158,6 @@ class Lattices:
         self.top_share, self.top_before = share[self.top], upto[self.top] - share[self.top]
         self.rank = np.full(n_nodes, -1)
         self.rank[nodes] = np.arange(len(nodes))
-        self.bounds = bounds
 
     def sample(self, units: np.ndarray, seeds: np.ndarray):
         """A segmentation of each unit: (edges front to back, start of each unit's edges, log probability)."""
@@ -166,9 +169,13 @@ class Lattices:
             rest = np.flatnonzero(u >= self.top_share[k])
             if len(rest):
                 r, x = k[rest], u[rest] - self.top_share[k[rest]]
-                x = r + np.minimum(np.where(x < self.top_before[r], x, x + self.top_share[r]), 1 - 1e-12)
-                found = np.searchsorted(self.key, x, side="right")
-                e[rest] = np.clip(found, self.bounds[r], self.bounds[r + 1] - 1)
+                x = np.where(x < self.top_before[r], x, x + self.top_share[r])
+                at, last = self.bounds[r], self.bounds[r + 1] - 1
+                behind = np.flatnonzero((self.upto[at] <= x) & (at < last))
+                while len(behind):
+                    at[behind] += 1
+                    behind = behind[(self.upto[at[behind]] <= x[behind]) & (at[behind] < last[behind])]
+                e[rest] = at
             log_p[active] += self.log_p[e]
             node[active] = self.source[e]
             steps.append((active, e))
@@ -263,8 +270,10 @@ def searched(texts: list[bytes], keys: np.ndarray, k: int, p: Pieces):
 
     def before(log_p: np.ndarray) -> np.ndarray:
         """Log probability of all units of the text before each unit."""
-        total = np.concatenate([[0.0], np.cumsum(log_p)])
-        return total[:-1] - total[first[text]]
+        total = np.zeros(n)
+        for a, z in zip(first[some].tolist(), first[some + 1].tolist()):
+            np.cumsum(log_p[a : z - 1], out=total[a + 1 : z])
+        return total
 
     def regions(log_p, s, bound):
         location = before(log_p) + np.where(ways > 1, np.log(np.maximum(-np.expm1(np.minimum(log_p, 0.0)), 1e-300)), -np.inf)
@@ -372,8 +381,7 @@ def encoded(docs: DataFrame, p: Pieces, k: int = 2, seed: int = 42, key: str = "
                     if not len(rows):
                         continue
                     ids, start = lat.piece[leaf.edges].astype(np.int32), leaf.start[first]
-                    total = np.concatenate([[0.0], np.cumsum(leaf.log_p)])[first]
-                    log_p = np.diff(total)[rows]
+                    log_p = np.bincount(np.repeat(np.arange(len(texts)), np.diff(first)), weights=leaf.log_p, minlength=len(texts))[rows]
                     with np.errstate(over="ignore", divide="ignore"):
                         x = log_p - kappa[rows]
                         inclusion = np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 700)))))

@@ -34,8 +34,10 @@ class Settings(NamedTuple):
     first_bits: int = 14  # 2**first_bits hashed rows of weights for classes
     second_bits: int = 15  # for subclasses
     rounds: int = 2
-    batch: int = 16_384
+    batch: int = 16_384  # tokens of a gradient step at most
+    steps: int = 16  # and steps of a chunk at least
     rate: float = 0.3
+    caution: float = 8.0  # sum of squares that each weight starts with
     folds: int = 10  # documents with CRC-32 of their id divisible by it are not learnt from
 
 
@@ -146,12 +148,12 @@ def _rows(before, leaf, s: Settings):
 def _descended(weights: np.ndarray, before, leaf, s: Settings) -> np.ndarray:
     """One pass of adaptive gradient steps over the tokens; the new weights."""
     weights = weights.copy()
-    squared = np.full(weights.shape, 1.0, np.float32)
-    size = weights.size
-    for i in range(0, len(leaf), s.batch):
-        part = [b[i : i + s.batch] for b in before]
+    squared = np.full(weights.shape, s.caution, np.float32)
+    size, batch = weights.size, max(1, min(s.batch, -(-len(leaf) // s.steps)))
+    for i in range(0, len(leaf), batch):
+        part = [b[i : i + batch] for b in before]
         gradient = np.zeros(size)
-        for rows, target in _rows(part, leaf[i : i + s.batch], s):
+        for rows, target in _rows(part, leaf[i : i + batch], s):
             error = _softmax(weights, rows)
             error[np.arange(len(target)), target] -= 1.0
             flat = (rows[:, :, None] * SIDE + np.arange(SIDE)).reshape(-1)
