@@ -251,7 +251,7 @@ def export(archives: DataFrame, folder: str) -> None:
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         for row in rows:
-            with system.open_output_stream(f"{root}/{row.name}") as out:
+            with system.open_output_stream(f"{root}/{row.name}", compression=None) as out:  # it is already
                 out.write(bytes(row.content))
 
     archives.select("name", "content").foreachPartition(put)

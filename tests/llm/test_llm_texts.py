@@ -2,23 +2,16 @@
 
 import itertools
 import random
-import re
 
 import pytest
-import xxhash
+from tests_llm_brute import BLANK, brute_base, brute_contamination, brute_groups, brute_print, grams
 
 from steadyline.llm import decontamination, secrets, simhash, substrings
 from steadyline.llm.exchange import NONE
 
-BLANK = re.compile(r"[^\x20\x09-\x0D]+")
-ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 CLASH = "doc_id bigint, text string, k1 string, chunk string, fingerprint string, component_id string, spans string, items string"
 
 
-def lowered(text):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-
-
 def corpus(seed=1, n=60):
     rng = random.Random(seed)
     vocab = ["alpha", "Beta", "gamma", "délta", "漢字", "x1", "zeta", "eta", "theta", "iota"] + [f"w{i}" for i in range(300)]
@@ -40,21 +33,9 @@ def frame(spark, rows, parts=3):
     return spark.createDataFrame([(i, t, "a", "b", "c", "d", "e", "f") for i, t in rows], CLASH).repartition(parts)
 
 
-def grams(words, n):
-    return [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
-
-
 # ---- SimHash
 
 
-def brute_print(text):
-    words = BLANK.findall(lowered(text or ""))
-    if not words:
-        return 0
-    hashed = [xxhash.xxh64_intdigest(g.encode(), 42) for g in (grams(words, 4) or [" ".join(words)])]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed))
-
-
 def test_fingerprints(spark):
     rows = corpus()
     got = simhash.with_fingerprint(frame(spark, rows)).select("doc_id", "text", "fingerprint", "k1").collect()
@@ -63,20 +44,6 @@ def test_fingerprints(spark):
     assert {r.k1 for r in got} == {"a"}
 
 
-def brute_groups(prints, distance):
-    root = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b in itertools.combinations(sorted(set(prints)), 2):
-        if bin((a ^ b) & (1 << 64) - 1).count("1") <= distance:
-            root[find(b)] = find(a)
-    return {p: find(p) for p in prints}
-
-
 @pytest.mark.parametrize("distance", [2, 4, 5])
 def test_links_of_planted_prints(spark, distance):
     rng = random.Random(distance)
@@ -152,25 +119,6 @@ def test_repeats_in_pages_of_one_line(spark):
 # ---- decontamination
 
 
-def brute_contamination(rows, items):
-    windows = {}
-    for i, t in items:
-        w = ALNUM.findall(lowered(t or ""))
-        for g in grams(w, 13) if len(w) >= 13 else [" ".join(w)] * bool(w):
-            windows.setdefault(tuple(g.split(" ")), set()).add(i)
-    out = []
-    for d, t in rows:
-        w, hit, met = ALNUM.findall(lowered(t or "")), set(), set()
-        for size in {len(k) for k in windows}:
-            for j in range(len(w) - size + 1):
-                if (key := tuple(w[j : j + size])) in windows:
-                    hit |= set(range(j, j + size))
-                    met |= windows[key]
-        met.discard(None)
-        out.append((str(d), len(w), len(hit), tuple(sorted(met)), bool(hit) and 20 * len(hit) >= len(w)))
-    return sorted(out)
-
-
 @pytest.mark.parametrize("broadcast", [500_000, 0])
 def test_contamination(spark, monkeypatch, broadcast):
     monkeypatch.setattr(decontamination, "BROADCAST_KEYS", broadcast)
@@ -199,16 +147,6 @@ def test_no_items(spark):
 
 # ---- secrets
 
-BASE = {
-    "assign": (re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 6),
-    "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20), "hex": (re.compile(r"[0-9a-f]+"), 0, 24),
-}
-
-
-def brute_base(text):
-    spans = [(m.start(), k, m.end()) for k, (p, g, least) in enumerate(BASE.values()) for m in p.finditer(text or "") if len(m[g]) >= least]
-    return sorted(spans)
-
 
 SECRET_TEXTS = [
     "no secrets here", "", None, "password: hunter22", "PassWord = 'abc' and token=abcdef", "é漢字𝄞 api_key: \"abc.def-123\" x",
