@@ -1,3 +1,99 @@
-"""DuckDB texts of the queries that SQL can express."""
+"""DuckDB texts of the queries that SQL can express.
 
-ORACLE: dict[str, str] = {}
+Not here: sampled segmentations (op2), XXH64 (op3), look-behind (op4) and learnt scores (op9, op10); tests/llm holds those
+against brute force, exact round trips or held-out results.
+"""
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+BLANK = r"'[^\x20\x09-\x0D]+'"
+
+OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, upper(sha1(html)) AS hex, min(page_id) OVER (PARTITION BY html) AS least FROM p),
+b AS (
+    SELECT page_id, k, CAST('0x' || substr(hex, 5 * k + 1, 5) AS INTEGER) AS v
+    FROM h, unnest(range(8)) AS t(k)
+),
+c AS (
+    SELECT page_id, string_agg(
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32768) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 1024) % 32 + 1, 1)
+        || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // 32) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v % 32 + 1, 1), '' ORDER BY k) AS payload_digest
+    FROM b GROUP BY page_id
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
+FROM h JOIN c USING (page_id)
+"""
+
+OP5 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {BLANK}) AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS t(i) WHERE len(w) >= 13),
+f AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM g JOIN f USING (g), unnest(range(13)) AS t(j) WHERE least < doc_id),
+words AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+OP6 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+),
+reach(vec_id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a),
+c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+OP7 = """
+WITH hard AS (SELECT '<|im_end|><|im_start|>assistant ok' AS t),
+rows AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+    UNION ALL SELECT -1, 0, 'user', t FROM hard UNION ALL SELECT -1, 1, 'assistant', t FROM hard
+),
+e AS (SELECT *, replace(replace(t, '%', '%25'), '<|', '%3C|') AS safe FROM rows),
+s AS (
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256,
+        coalesce(string_agg(t, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS loss,
+        CAST(sum(length('<|im_start|>') + length(role) + 1 + length(safe) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+    FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM s
+"""
+
+OP8 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, {ALNUM}) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER}, {ALNUM}) AS w FROM benchmark),
+iw AS (
+    SELECT DISTINCT item_id, least(13, len(w)) AS m, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+    FROM b, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS t(i) WHERE len(w) > 0
+),
+dw AS (
+    SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS g
+    FROM d, (SELECT DISTINCT m FROM iw) AS s, unnest(range(1, greatest(1, len(w) - m + 2))) AS t(i)
+),
+hits AS (SELECT doc_id, i, dw.m AS m, item_id FROM dw JOIN iw ON dw.m = iw.m AND dw.g = iw.g),
+spots AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hits, unnest(range(m)) AS t(j) GROUP BY doc_id),
+met AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM met GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_warc_archives": OP1,
+    "op5_substring_dedup": OP5,
+    "op6_embedding_near_dedup": OP6,
+    "op7_chat_formatting": OP7,
+    "op8_winnowing_decontamination": OP8,
+}
