@@ -6,39 +6,37 @@ own size checks: a small account side is broadcast, a large one is not.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# roles and the purposes each may hold (this library's own matrix)
-ROLE_PURPOSES = [
-    ("reviewer", "support"),
-    ("lead", "aggregate"),
-    ("auditor", "audit"),
-    ("operator", "infrastructure"),
-]
 
+def pseudonym(column: str, key: str) -> Column:
+    """A keyed digest. The ids are few enough to try them all, so the key alone protects them: keep it out of code and data."""
+    inner = F.sha2(F.concat_ws("#", F.lit(key), F.col(column).cast("string")), 256)
+    return F.sha2(F.concat_ws("#", F.lit(key), inner), 256)
 
-def pseudonym(column: str, salt: str) -> Column:
-    return F.sha2(F.concat_ws("#", F.lit(salt), F.col(column).cast("string")), 256)
 
+def pseudonymise(df: DataFrame, column: str, key: str) -> DataFrame:
+    return df.withColumn(column, pseudonym(column, key))
 
-def pseudonymise(df: DataFrame, column: str, salt: str) -> DataFrame:
-    return df.withColumn(column, pseudonym(column, salt))
 
+def scope_of(accounts: DataFrame, account_id: str, matrix: DataFrame, purpose: str) -> DataFrame:
+    """Groups that an account may see for a purpose: it has to hold the purpose, and its role to allow it.
 
-def scope_of(accounts: DataFrame, account_id: str, purpose: str | None = None) -> DataFrame:
-    """Groups that an account may see; none when it does not hold the purpose."""
-    own = accounts.filter(F.col("account_id") == account_id)
-    if purpose is not None:
-        own = own.filter(F.array_contains("purposes", purpose))
-    return own.select(F.explode("groups").alias("group_id")).distinct()
+    ``matrix``: the (role, purpose) pairs that may be.
+    """
+    own = accounts.filter(F.col("account_id") == account_id).filter(F.array_contains("purposes", purpose))
+    allowed = matrix.filter(F.col("purpose") == purpose).select("role")
+    return own.join(allowed, "role", "left_semi").select(F.explode("groups").alias("group_id")).distinct()
 
 
-def authorised(df: DataFrame, account_id: str, accounts: DataFrame, purpose: str = "support") -> DataFrame:
+def authorised(df: DataFrame, account_id: str, accounts: DataFrame, matrix: DataFrame, purpose: str) -> DataFrame:
     """Rows of the groups in the account's scope."""
-    return df.join(scope_of(accounts, account_id, purpose), "group_id", "left_semi")
+    return df.join(scope_of(accounts, account_id, matrix, purpose), "group_id", "left_semi")
 
 
-def reidentify(df: DataFrame, identities: DataFrame, account_id: str, accounts: DataFrame) -> DataFrame:
+def reidentify(
+    df: DataFrame, identities: DataFrame, account_id: str, accounts: DataFrame, matrix: DataFrame, purpose: str
+) -> DataFrame:
     """Put identities back, only on rows that the account may see."""
-    return authorised(df, account_id, accounts).join(identities, "pseudonym")
+    return authorised(df, account_id, accounts, matrix, purpose).join(identities, "pseudonym")
 
 
 def strip_ids(df: DataFrame, id_columns: list[str]) -> DataFrame:
@@ -63,14 +61,26 @@ def lookup(requests: DataFrame, scoped: DataFrame) -> DataFrame:
     )
 
 
-# shapes of identifiers in free text (this library's own patterns): pattern, replacement, and a text that every
-# match contains (or None); a row without it is passed over without running the pattern
+# shapes of identifiers in free text: pattern, replacement, and a text that every match contains (or None); a row
+# without it is passed over without running the pattern. Dates stay, as they tell when and not who: the first two steps
+# take their hyphens out of the reach of the number pattern, the last two put them back.
+_YEAR, _MONTH, _DAY = "((?:19|20)[0-9]{2})", "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])"
+_HELD = "\ue000"
 REDACTIONS = [
+    (rf"\b{_YEAR}-{_MONTH}-{_DAY}\b", f"$1{_HELD}$2{_HELD}$3", "-"),
+    (rf"\b{_DAY}-{_MONTH}-{_YEAR}\b", f"$1{_HELD}$2{_HELD}$3", "-"),
     # the look-behind keeps the search from starting again inside each word
     (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]", "@"),
     (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "[ip]", "."),
-    (r"(?i)\b(token|secret|password|api_key)\b\s*[=:]\s*\"?[A-Za-z0-9_/+-]+\"?", "[secret]", None),
+    (r"(?i)\bauthorization\s*:\s*(basic|bearer)\s+[A-Za-z0-9._~+/=-]+", "[secret]", ":"),
+    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{16,}", "[secret]", None),
+    (r"(?i)\b(token|secret|password|passwd|pwd|(api|access|secret)[-_ ]?key)\b[\"']?\s*[=:]\s*[\"']?[^\s\"',;]+[\"']?", "[secret]", None),
+    (r"\b(AKIA|ASIA)[A-Z0-9]{16}\b", "[secret]", None),
+    (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", "[secret]", "eyJ"),
+    (r"\b(gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})", "[secret]", None),
     (r"\+?[0-9][0-9 ()-]{7,}[0-9]", "[number]", None),
+    (f"{_YEAR}{_HELD}{_MONTH}{_HELD}{_DAY}", "$1-$2-$3", _HELD),
+    (f"{_DAY}{_HELD}{_MONTH}{_HELD}{_YEAR}", "$1-$2-$3", _HELD),
 ]
 
 
@@ -105,12 +115,12 @@ def filter_queue(
     return queue
 
 
-def directory(roster: DataFrame, account_id: str, accounts: DataFrame) -> DataFrame:
-    return authorised(roster, account_id, accounts).select("entity_id", "group_id")
+def directory(roster: DataFrame, account_id: str, accounts: DataFrame, matrix: DataFrame, purpose: str) -> DataFrame:
+    return authorised(roster, account_id, accounts, matrix, purpose).select("entity_id", "group_id")
 
 
-def role_matrix(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame(ROLE_PURPOSES, "role string, purpose string")
+def role_matrix(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    return df.sparkSession.createDataFrame(pairs, "role string, purpose string")
 
 
 def invalid_accounts(accounts: DataFrame, matrix: DataFrame) -> DataFrame:

@@ -64,33 +64,39 @@ def seal(segment_heads: DataFrame, key: str) -> DataFrame:
 def verify_chain(
     log: DataFrame, key: str, seq: str, fields: list[str], segment: int = SEGMENT, expected: DataFrame | None = None
 ) -> DataFrame:
-    """Each event with ``ok`` and, if broken, the reason: gap, link or payload.
+    """Each event with ``ok`` and, if broken, the reason: duplicate, gap, link or payload.
 
-    With the stored ``expected`` heads also: tail (events missing at a segment's end) and head (a segment that verifies
-    in itself but was rewritten).
+    An event that stands there more than once is one row, with the reason duplicate. With the stored ``expected``
+    heads also: tail (events missing at a segment's end), count (more or fewer events than were sealed, the end being
+    there), and head (a segment that verifies in itself but was rewritten).
     """
     number = F.floor(F.col(seq) / segment).cast("bigint")
-    before = log.select(F.col(key), (F.col(seq) + 1).alias(seq), F.col("hash").alias("_before"))
-    rows = log.join(before, [key, seq], "left")
+    times = log.groupBy(key, seq).agg(F.count("*").alias("_times"), *[F.first(c).alias(c) for c in log.columns if c not in (key, seq)])
+    before = times.select(F.col(key), (F.col(seq) + 1).alias(seq), F.col("hash").alias("_before"))
+    rows = times.join(before, [key, seq], "left")
     first = F.col(seq) % segment == 0
     link = F.when(first, _start(key, number)).otherwise(F.col("_before"))
     computed = F.sha2(F.concat_ws("#", F.col("prev_hash"), F.sha2(payload(*fields), 256)), 256)
     reason = (
-        F.when((F.col(seq) > 0) & F.col("_before").isNull(), F.lit("gap"))
+        F.when(F.col("_times") > 1, F.lit("duplicate"))
+        .when((F.col(seq) > 0) & F.col("_before").isNull(), F.lit("gap"))
         .when(~F.col("prev_hash").eqNullSafe(link), F.lit("link"))
         .when(~F.col("hash").eqNullSafe(computed), F.lit("payload"))
     )
     out = rows.select(key, seq, reason.isNull().alias("ok"), reason.alias("reason"))
     if expected is None:
         return out
-    actual = log.groupBy(key, "segment").agg(F.max(seq).alias("_last"), F.max_by("hash", seq).alias("_head"))
+    actual = log.groupBy(key, "segment").agg(F.count("*").alias("_events"), F.max(seq).alias("_last"), F.max_by("hash", seq).alias("_head"))
     due = F.col("segment") * segment + F.col("events") - 1
     short = F.col("_last").isNull() | (F.col("_last") < due)
     against_heads = expected.join(actual, [key, "segment"], "left").select(
         key,
         F.when(short, F.coalesce(F.col("_last") + 1, F.col("segment") * segment)).otherwise(F.col("_last")).cast("bigint").alias(seq),
         F.lit(False).alias("ok"),
-        F.when(short, F.lit("tail")).when(~F.col("_head").eqNullSafe(F.col("head")), F.lit("head")).alias("reason"),
+        F.when(short, F.lit("tail"))
+        .when(~F.col("_head").eqNullSafe(F.col("head")), F.lit("head"))
+        .when(F.col("_events") != F.col("events"), F.lit("count"))
+        .alias("reason"),
     )
     return out.unionByName(against_heads.filter(F.col("reason").isNotNull()))
 
@@ -114,8 +120,8 @@ def health(verified: DataFrame, files: DataFrame | None = None) -> DataFrame:
 
 
 def action_trail(log: DataFrame, id_columns: list[str]) -> DataFrame:
-    """Newest first, without the columns that identify a person."""
-    return log.drop(*id_columns).orderBy(F.desc("ts"), F.desc("seq"))
+    """Newest first, without the columns that identify a person; ``seq`` orders, but joins back to the event, so it goes too."""
+    return log.orderBy(F.desc("ts"), F.desc("seq")).drop(*id_columns, "seq")
 
 
 def purpose_summary(log: DataFrame) -> DataFrame:

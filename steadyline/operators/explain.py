@@ -76,13 +76,17 @@ def factor_count(cases: DataFrame, found: DataFrame) -> DataFrame:
 def policy_at(cases: DataFrame, policies: DataFrame, last_day: Column) -> DataFrame:
     """Policy valid on the case day (valid_from inclusive, valid_to exclusive, open end allowed).
 
-    The few validity intervals become one row per day, so this is an equi-join and not an interval scan per case.
+    The few validity intervals become one row per day, so this is an equi-join and not an interval scan per case. A day
+    with two valid policies is refused, as it would count its cases twice.
     """
     end = F.least(F.date_sub(F.coalesce("valid_to", F.date_add(last_day, 1)), 1), last_day)
     per_day = policies.withColumn("_end", end).filter(F.col("_end") >= F.col("valid_from")).select(
         F.col("policy_version").alias("valid_version"), F.explode(F.sequence("valid_from", "_end")).alias("case_day")
     )
-    # one row per calendar day and version, so it may be broadcast
+    several = F.raise_error(F.concat(F.lit("several policies are valid on "), F.col("case_day").cast("string")))
+    per_day = per_day.groupBy("case_day").agg(F.count("*").alias("_n"), F.min("valid_version").alias("_version"))
+    per_day = per_day.select("case_day", F.when(F.col("_n") == 1, F.col("_version")).otherwise(several.cast("string")).alias("valid_version"))
+    # one row per calendar day, so it may be broadcast
     return cases.join(F.broadcast(per_day), "case_day", "left")
 
 

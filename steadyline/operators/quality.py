@@ -56,10 +56,11 @@ def quality_summary(findings: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def gate(df: DataFrame, key: list[str], error: Column) -> DataFrame:
-    """Rows fit for scoring: the key is unique and no row of that key is in error."""
+    """Rows fit for scoring: the key is whole and unique, and no row of that key is in error. A NULL in the key is an error."""
+    whole = df.filter(" and ".join(f"`{c}` is not null" for c in key))
     bad = (
-        df.groupBy(*key)
+        whole.groupBy(*key)
         .agg(F.count("*").alias("_n"), F.count_if(error).alias("_errors"))
         .filter((F.col("_n") > 1) | (F.col("_errors") > 0))
     )
-    return df.join(bad.select(*key), key, "left_anti")
+    return whole.join(bad.select(*key), key, "left_anti")

@@ -16,9 +16,9 @@ def queue(cases: DataFrame) -> DataFrame:
     return cases.orderBy(*_order())
 
 
-def queue_for(cases: DataFrame, account_id: str, accounts: DataFrame, k: int) -> DataFrame:
+def queue_for(cases: DataFrame, account_id: str, accounts: DataFrame, matrix: DataFrame, purpose: str, k: int) -> DataFrame:
     """First ``k`` rows of an account's own queue: top-k per task, then merged."""
-    return authorised(cases, account_id, accounts).orderBy(*_order()).limit(k)
+    return authorised(cases, account_id, accounts, matrix, purpose).orderBy(*_order()).limit(k)
 
 
 def staleness(cases: DataFrame, as_of: Column, policy: Policy) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steadyline.config import Policy
 from steadyline.functions.frames import by_day
+from steadyline.functions.ordered import Ordered
 from steadyline.sources.staging import staged
 
 
@@ -145,15 +146,16 @@ def mark_repeats(found: DataFrame, policy: Policy) -> DataFrame:
 
 
 def budget(found: DataFrame, k: int, by: str = "case_day") -> DataFrame:
-    """The ``k`` strongest per ``by``. The rank limit is also applied before the shuffle, so a crowded day is no hot spot."""
-    order = Window.partitionBy(by).orderBy(F.desc("score"), "case_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """The ``k`` strongest per ``by``, for any ``k``: ranks come from range-split chunks, so a crowded day is no hot spot."""
+    ranked = Ordered(found, [by], [F.desc("score"), "case_id"], "budget").row_number("rank")
+    return ranked.filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("int")).select(*found.columns, "rank")
 
 
 def admit(found: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame]:
     """(cases, ledger). Each candidate is either a case or in the ledger with the one reason it was dropped."""
     marked = staged(found.withColumn("_retired", retired(found, policy)), "candidates")
     live = mark_repeats(marked.filter("not _retired").drop("_retired"), policy)
+    live = staged(live, "live")  # read by the ledger three times
     within = live.filter("not repeat").drop("repeat")
     cases = budget(within, policy.capacity_per_day)
 

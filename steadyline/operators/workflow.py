@@ -126,12 +126,18 @@ def open_cases(states: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def feedback(submissions: DataFrame) -> DataFrame:
-    """First submission per case and idempotency key; a replay changes nothing. Pre-aggregates, so replays cost little."""
+    """First submission per case and idempotency key; a replay changes nothing. Pre-aggregates, so replays cost little.
+
+    A submission without a key is no replay of another one, so all of those stay.
+    """
     rest = [c for c in submissions.columns if c not in ("case_id", "idempotency_key")]
     first = F.min_by(F.struct(*rest), F.struct("ts", "seq"))
-    return submissions.groupBy("case_id", "idempotency_key").agg(first.alias("_first")).select(
+    columns = ["case_id", "idempotency_key", *rest]
+    keyed = submissions.filter(F.col("idempotency_key").isNotNull())
+    kept = keyed.groupBy("case_id", "idempotency_key").agg(first.alias("_first")).select(
         "case_id", "idempotency_key", *[F.col(f"_first.{c}").alias(c) for c in rest]
     )
+    return kept.unionByName(submissions.filter(F.col("idempotency_key").isNull()).select(*columns))
 
 
 def graph_drift(a: DataFrame, b: DataFrame) -> DataFrame:

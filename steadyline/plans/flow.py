@@ -1,4 +1,7 @@
-"""The analysis run on the driver's tables, stage by stage. Each function returns a lazy DataFrame."""
+"""The analysis run on the driver's tables, stage by stage.
+
+``base``, ``cases_of``, ``flags_and_cases`` and ``scored`` write staged tables when called; the others only declare.
+"""
 
 from dataclasses import dataclass
 
@@ -12,14 +15,15 @@ from steadyline.sources.tables import read_records, read_table
 
 REPORT = "signup"  # voluntary report: labels only, never a feature
 RECORD_COLUMNS = ["event_id", "ts", "entity_id", "event_type", "value"]
-
+FORBIDDEN = ["props", "reports", "label"]  # may not reach a feature, under whatever name
+ROLE_PURPOSES = [("reviewer", "support"), ("lead", "aggregate"), ("auditor", "audit"), ("operator", "infrastructure")]
 
 
 def records(spark: SparkSession, sf_dir: str, with_reports: bool = True) -> DataFrame:
     """Operational records. Report rows are cut at the source: even an empty report-only day would shift baselines."""
     everything = read_records(spark, sf_dir)
     source = everything if with_reports else everything.filter(F.col("event_type") != REPORT)
-    return select_allowed(source, RECORD_COLUMNS).filter(F.col("event_type") != REPORT)
+    return select_allowed(source, RECORD_COLUMNS, FORBIDDEN).filter(F.col("event_type") != REPORT)
 
 
 def report_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +44,12 @@ def days(facts: DataFrame) -> DataFrame:
 
 
 def roster(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFrame:
-    """Entities with records, each in its group."""
+    """Entities with records, each in its group; without a row in the dimension the group is NULL, and the entity stays."""
     customers = read_table(spark, sf_dir, "customer")
     return (
         daily.select("entity_id")
         .distinct()
-        .join(customers, F.col("entity_id") == F.col("c_custkey"))
+        .join(customers, F.col("entity_id") == F.col("c_custkey"), "left")
         .select("entity_id", F.col("c_nationkey").alias("group_id"))
     )
 
@@ -109,6 +113,10 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def matrix(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ROLE_PURPOSES, "role string, purpose string")
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per region a reviewer and a lead (the last lead holds a purpose its role must not have), and two accounts for all."""
     nation = read_table(spark, sf_dir, "nation")

@@ -144,8 +144,9 @@ acc AS (SELECT 'reviewer-' || r AS account_id, 'reviewer' AS role, ['support'] A
         UNION ALL SELECT 'auditor-all', 'auditor', ['audit'], groups FROM everywhere)"""
 
 
-def scope(account):
-    return f"SELECT unnest(groups) FROM acc WHERE account_id = '{account}' AND list_contains(purposes, 'support')"
+def scope(account, purpose="support"):
+    roles = {"support": "reviewer", "aggregate": "lead"}
+    return f"SELECT unnest(groups) FROM acc WHERE account_id = '{account}' AND list_contains(purposes, '{purpose}') AND role = '{roles[purpose]}'"
 
 
 _EDGE = """CASE a.action
@@ -232,14 +233,17 @@ ch AS (SELECT conv_id, turn, segment, sha256('start#' || conv_id || '#0') AS pre
 heads AS (SELECT conv_id, segment, count(*) AS events, arg_max(hash, turn) AS head FROM ch GROUP BY ALL),
 bad AS (SELECT e.*, c.prev_hash, c.hash, CASE WHEN conv_id % 10 = 3 AND turn = 1 THEN text || ' x' ELSE text END AS t2
         FROM ev e JOIN ch c USING (conv_id, turn, segment) WHERE NOT (conv_id % 10 = 5 AND turn = 1) AND NOT (conv_id % 10 = 7 AND turn >= 2)),
-ver0 AS (SELECT b.conv_id, b.turn, CASE WHEN b.turn > 0 AND p.turn IS NULL THEN 'gap'
+sent AS (SELECT * FROM bad UNION ALL SELECT * FROM bad WHERE conv_id % 10 = 8 AND turn = 0),
+ver0 AS (SELECT b.conv_id, b.turn, CASE WHEN b.conv_id % 10 = 8 AND b.turn = 0 THEN 'duplicate' WHEN b.turn > 0 AND p.turn IS NULL THEN 'gap'
          WHEN b.prev_hash <> CASE WHEN b.turn % 4 = 0 THEN sha256('start#' || b.conv_id || '#' || b.segment) ELSE p.hash END THEN 'link'
          WHEN b.hash <> sha256(b.prev_hash || '#' || sha256({esc('b.role')} || '#' || {esc('b.t2')})) THEN 'payload' END AS reason
          FROM bad b LEFT JOIN bad p ON p.conv_id = b.conv_id AND p.turn = b.turn - 1),
-left_heads AS (SELECT conv_id, segment, max(turn) AS last, arg_max(hash, turn) AS head FROM bad GROUP BY ALL),
+left_heads AS (SELECT conv_id, segment, count(*) AS n, max(turn) AS last, arg_max(hash, turn) AS head FROM sent GROUP BY ALL),
 ver AS (SELECT conv_id, turn, reason IS NULL AS ok, reason FROM ver0 UNION ALL
         SELECT h.conv_id, CAST(coalesce(l.last + 1, h.segment * 4) AS BIGINT), FALSE, 'tail' FROM heads h LEFT JOIN left_heads l USING (conv_id, segment)
-        WHERE l.last IS NULL OR l.last < h.segment * 4 + h.events - 1)"""
+        WHERE l.last IS NULL OR l.last < h.segment * 4 + h.events - 1
+        UNION ALL SELECT h.conv_id, l.last, FALSE, 'count' FROM heads h JOIN left_heads l USING (conv_id, segment)
+        WHERE l.last >= h.segment * 4 + h.events - 1 AND l.n <> h.events)"""
 
 LAB = FEAT + """,
 rp AS (SELECT user_id AS entity_id, CAST(ts AS DATE) AS day, count(*) AS reports FROM events WHERE event_type = 'signup' GROUP BY ALL),
@@ -277,11 +281,21 @@ rules AS (SELECT * FROM (VALUES ('range_l_quantity', 'warning'), ('range_l_disco
    ('returned_is_finished', 'warning'), ('discount_below_price', 'error'), ('duplicate_key', 'error'), ('orphan_l_orderkey', 'error'), ('orphan_l_partkey', 'notice')) v(rule, severity))"""
 
 _RED = "text"
+_YEAR, _MONTH, _DAY, _HELD = "((?:19|20)[0-9]{2})", "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])", "\ue000"
 for _p, _r in [
+    (rf"\b{_YEAR}-{_MONTH}-{_DAY}\b", rf"\1{_HELD}\2{_HELD}\3"),
+    (rf"\b{_DAY}-{_MONTH}-{_YEAR}\b", rf"\1{_HELD}\2{_HELD}\3"),
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
     (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "[ip]"),
-    (r"(?i)\b(token|secret|password|api_key)\b\s*[=:]\s*\"?[A-Za-z0-9_/+-]+\"?", "[secret]"),
+    (r"(?i)\bauthorization\s*:\s*(basic|bearer)\s+[A-Za-z0-9._~+/=-]+", "[secret]"),
+    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{16,}", "[secret]"),
+    (r"(?i)\b(token|secret|password|passwd|pwd|(api|access|secret)[-_ ]?key)\b[\"'']?\s*[=:]\s*[\"'']?[^\s\"'',;]+[\"'']?", "[secret]"),
+    (r"\b(AKIA|ASIA)[A-Z0-9]{16}\b", "[secret]"),
+    (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", "[secret]"),
+    (r"\b(gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})", "[secret]"),
     (r"\+?[0-9][0-9 ()-]{7,}[0-9]", "[number]"),
+    (f"{_YEAR}{_HELD}{_MONTH}{_HELD}{_DAY}", r"\1-\2-\3"),
+    (f"{_DAY}{_HELD}{_MONTH}{_HELD}{_YEAR}", r"\1-\2-\3"),
 ]:
     _RED = f"regexp_replace({_RED}, '{_p}', '{_r}', 'g')"
 
@@ -295,6 +309,7 @@ ORACLE.update({
     "s9_nonfinite": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE isnan({c}) OR isinf({c})) AS nonfinite FROM lineitem"
         for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")),
+    "s10_ambiguous": "SELECT count(*) AS rows, 2 AS ambiguous FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "s11_currency": q(ADMIT, "SELECT max(case_day) AS latest_case_day, (SELECT max(day) FROM pd) AS as_of FROM cases"),
     "s12_append_actions": q(LOG, "SELECT CAST(ts AS DATE) AS day, action, count(*) AS n FROM act GROUP BY ALL"),
     "q1_completeness": q(REC, " UNION ALL ".join(
@@ -304,11 +319,13 @@ ORACLE.update({
     "q4_consistency": q(LINE, "SELECT rule, n FROM findings WHERE rule IN ('duplicate_key', 'orphan_l_orderkey')"),
     "q5_quality_summary": q(LINE, "SELECT severity, count(*) AS rules, count(*) FILTER (WHERE n > 0) AS failing, CAST(sum(coalesce(n, 0)) AS BIGINT) AS findings FROM rules LEFT JOIN findings USING (rule) GROUP BY 1"),
     "q7_gate": """SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM
-        (SELECT *, count(*) OVER k AS n, count(*) FILTER (WHERE l_discount > 0.08::DOUBLE) OVER k AS e FROM lineitem WINDOW k AS (PARTITION BY l_orderkey, l_linenumber)) WHERE n = 1 AND e = 0""",
-    "p1_pseudonymise": q(ACC, "SELECT sha256('demo-salt#' || entity_id) AS pseudonym, group_id FROM roster_all"),
-    "p2_reidentify": q(ACC, f"SELECT sha256('demo-salt#' || entity_id) AS pseudonym, entity_id, group_id FROM roster_all WHERE group_id IN ({scope('reviewer-1')})"),
+        (SELECT *, count(*) OVER k AS n, count(*) FILTER (WHERE l_discount > 0.08::DOUBLE) OVER k AS e FROM lineitem
+         WHERE l_orderkey % 50 <> 0 WINDOW k AS (PARTITION BY l_orderkey, l_linenumber)) WHERE n = 1 AND e = 0""",
+    "p1_pseudonymise": q(ACC, "SELECT sha256('demo-key#' || sha256('demo-key#' || entity_id)) AS pseudonym, group_id FROM roster_all"),
+    "p2_reidentify": q(ACC, f"SELECT sha256('demo-key#' || sha256('demo-key#' || entity_id)) AS pseudonym, entity_id, group_id FROM roster_all WHERE group_id IN ({scope('reviewer-1')})"),
     "p3_strip_ids": "SELECT c_nationkey, c_acctbal, c_mktsegment FROM customer",
-    "p4_authorised": q(ACC, f"SELECT entity_id, group_id FROM roster_all WHERE group_id IN ({scope('reviewer-1')})"),
+    "p4_authorised": q(ACC, f"SELECT entity_id, group_id, 'reviewer-1' AS account_id, 'support' AS purpose FROM roster_all WHERE group_id IN ({scope('reviewer-1')}) "
+                            f"UNION ALL SELECT entity_id, group_id, 'lead-4', 'aggregate' FROM roster_all WHERE group_id IN ({scope('lead-4', 'aggregate')})"),
     "p5_effective_purpose": q(ACC, """SELECT account_id, declared, CASE WHEN list_contains(purposes, declared) THEN declared END AS effective,
         CASE WHEN list_contains(purposes, declared) THEN 'granted' ELSE 'refused' END AS outcome
         FROM acc CROSS JOIN (SELECT unnest(['support', 'aggregate', 'audit', 'infrastructure']) AS declared)"""),
@@ -347,7 +364,7 @@ ORACLE.update({
     "w6_reopens": q(LOG, "SELECT case_id, count(*) FILTER (WHERE accepted AND to_state = 'closed') AS closed_times, count(*) FILTER (WHERE accepted AND to_state = 'reopened') AS reopened_times FROM log GROUP BY 1"),
     "w7_open_cases": q(EPI + "," + LOG, """SELECT entity_id, state, recovered_day FROM
         (SELECT entity_id, arg_max_null(recovered_day, start_day) AS recovered_day FROM epi GROUP BY 1) JOIN states ON states.case_id = entity_id WHERE recovered_day IS NOT NULL AND state <> 'closed'"""),
-    "w8_feedback": q(LOG, "SELECT case_id, reason_code AS idempotency_key, seq, action FROM act QUALIFY row_number() OVER (PARTITION BY case_id, reason_code ORDER BY ts, seq) = 1"),
+    "w8_feedback": q(LOG, "SELECT case_id, nullif(reason_code, 'R11') AS idempotency_key, seq, action FROM act QUALIFY reason_code = 'R11' OR row_number() OVER (PARTITION BY case_id, reason_code ORDER BY ts, seq) = 1"),
     "w9_graph_drift": q(LOG, """,seen AS (SELECT DISTINCT action, from_state, to_state FROM log WHERE accepted),
         declared AS (SELECT * FROM (VALUES ('acknowledge','open','acknowledged'),('acknowledge','reopened','acknowledged'),('start_review','acknowledged','in_review'),
           ('progress_support','in_review','support_planned'),('progress_support','support_planned','support_completed'),('close','support_completed','closed'),
@@ -380,7 +397,7 @@ ORACLE.update({
     "h2_verify_chain": q(AUD, "SELECT * FROM ver"),
     "h3_first_break": q(AUD, "SELECT conv_id, turn AS first_broken, reason FROM ver WHERE NOT ok QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, reason) = 1"),
     "h4_health": q(AUD, "SELECT count(*) AS events, CAST(0 AS BIGINT) AS broken, TRUE AS healthy, 'intact' AS log FROM ch UNION ALL SELECT count(*), count(*) FILTER (WHERE NOT ok), bool_and(ok), 'tampered' FROM ver"),
-    "h5_action_trail": q(LOG, "SELECT ts, seq, role, action, purpose, accepted FROM log"),
+    "h5_action_trail": q(LOG, "SELECT ts, role, action, purpose, accepted FROM log"),
     "h6_purpose_summary": q(LOG, "SELECT purpose, role, CASE WHEN accepted THEN 'done' ELSE 'refused' END AS outcome, count(*) AS n FROM log GROUP BY ALL"),
     "l1_forward_label": q(LAB, "SELECT * FROM lab"),
     "l2_label_coverage": q(LAB, "SELECT count(*) AS entity_days, count(label) AS usable, count(*) - count(label) AS excluded, count(*) FILTER (WHERE label = 1) AS positive FROM lab"),

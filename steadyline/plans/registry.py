@@ -235,6 +235,17 @@ def s9_nonfinite(spark, sf):
     return guards.nonfinite_counts(read_table(spark, sf, "lineitem"))
 
 
+@query
+def s10_ambiguous(spark, sf):
+    """Ambiguous names of a join of two tables as they come, next to its size."""
+    orders, lines = (read_table(spark, sf, t) for t in ("orders", "lineitem"))
+    joined = orders.withColumn("comment", F.lit("o")).join(
+        lines.withColumn("COMMENT", F.lit("l")).withColumn("o_orderkey_y", F.col("l_orderkey")), F.col("o_orderkey") == F.col("l_orderkey")
+    )
+    names = len(guards.ambiguous_columns(joined))
+    return joined.agg(F.count("*").alias("rows")).select("rows", F.lit(names).alias("ambiguous"))
+
+
 @query
 def s11_currency(spark, sf):
     cases = flow.cases_of(spark, sf)
@@ -246,8 +257,9 @@ def s11_currency(spark, sf):
 def s12_append_actions(spark, sf):
     log, path = flow.actions(spark, sf), staging.new_location(spark, "action_log")
     middle = F.lit("2024-01-16").cast("timestamp_ntz")
-    publish.append_actions(log.filter(F.col("ts") < middle), path)
-    publish.append_actions(log.filter(F.col("ts") >= middle), path)
+    publish.append_actions(log.filter(F.col("ts") < middle), path, "first")
+    for _ in range(2):  # the second batch is sent again
+        publish.append_actions(log.filter(F.col("ts") >= middle), path, "second")
     stored = spark.read.parquet(path)
     return stored.groupBy("day", "action").agg(F.count("*").alias("n"))
 
@@ -299,13 +311,15 @@ def q5_quality_summary(spark, sf):
 
 @query
 def q7_gate(spark, sf):
+    """Some rows get a NULL in their key: they must not pass."""
     lines = read_table(spark, sf, "lineitem").select(*LINE_KEY, "l_quantity", "l_discount")
+    lines = lines.withColumn("l_linenumber", F.when(F.col("l_orderkey") % 50 != 0, F.col("l_linenumber")))
     return Q.gate(lines, LINE_KEY, F.col("l_discount") > 0.08)
 
 
 # ---- access ----------------------------------------------------------------------------------------------
 
-SALT = "demo-salt"
+KEY = "demo-key"  # for the driver's made-up customers; a real key comes from a vault
 
 
 def _roster(spark, sf):
@@ -313,15 +327,19 @@ def _roster(spark, sf):
     return customers.select(F.col("c_custkey").alias("entity_id"), F.col("c_nationkey").alias("group_id"))
 
 
+def _rights(spark, sf):
+    return flow.accounts(spark, sf), flow.matrix(spark)
+
+
 @query
 def p1_pseudonymise(spark, sf):
-    return X.pseudonymise(_roster(spark, sf), "entity_id", SALT).withColumnRenamed("entity_id", "pseudonym")
+    return X.pseudonymise(_roster(spark, sf), "entity_id", KEY).withColumnRenamed("entity_id", "pseudonym")
 
 
 @query
 def p2_reidentify(spark, sf):
-    identities = _roster(spark, sf).select("entity_id", X.pseudonym("entity_id", SALT).alias("pseudonym"))
-    return X.reidentify(p1_pseudonymise(spark, sf), identities, "reviewer-1", flow.accounts(spark, sf))
+    identities = _roster(spark, sf).select("entity_id", X.pseudonym("entity_id", KEY).alias("pseudonym"))
+    return X.reidentify(p1_pseudonymise(spark, sf), identities, "reviewer-1", *_rights(spark, sf), "support")
 
 
 @query
@@ -331,13 +349,20 @@ def p3_strip_ids(spark, sf):
 
 @query
 def p4_authorised(spark, sf):
-    return X.authorised(_roster(spark, sf), "reviewer-1", flow.accounts(spark, sf))
+    """Three requests; the middle one holds a purpose that its role must not have, so it gets nothing."""
+    asked = [("reviewer-1", "support"), ("lead-4", "support"), ("lead-4", "aggregate")]
+    parts = [
+        X.authorised(_roster(spark, sf), account, *_rights(spark, sf), purpose)
+        .select("entity_id", "group_id", F.lit(account).alias("account_id"), F.lit(purpose).alias("purpose"))
+        for account, purpose in asked
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query
 def p5_effective_purpose(spark, sf):
     accounts = flow.accounts(spark, sf)
-    declared = F.explode(F.array(*[F.lit(p) for _, p in X.ROLE_PURPOSES])).alias("declared")
+    declared = F.explode(F.array(*[F.lit(p) for _, p in flow.ROLE_PURPOSES])).alias("declared")
     return X.effective_purpose(accounts.select("account_id", declared), accounts)
 
 
@@ -345,7 +370,7 @@ def p5_effective_purpose(spark, sf):
 def p6_lookup(spark, sf):
     """Each customer is asked for, and as many identifiers that do not exist."""
     ids = F.explode(F.array(F.col("entity_id"), -F.col("entity_id") - 1)).alias("entity_id")
-    scoped = X.authorised(_roster(spark, sf), "reviewer-2", flow.accounts(spark, sf))
+    scoped = X.authorised(_roster(spark, sf), "reviewer-2", *_rights(spark, sf), "support")
     return X.lookup(_roster(spark, sf).select(ids), scoped)
 
 
@@ -370,13 +395,13 @@ def p8_filter_queue(spark, sf):
 
 @query
 def p9_directory(spark, sf):
-    return X.directory(_roster(spark, sf), "reviewer-3", flow.accounts(spark, sf))
+    return X.directory(_roster(spark, sf), "reviewer-3", *_rights(spark, sf), "support")
 
 
 @query
 def p10_invalid_accounts(spark, sf):
     accounts = flow.accounts(spark, sf)
-    return X.invalid_accounts(accounts, X.role_matrix(accounts))
+    return X.invalid_accounts(accounts, flow.matrix(spark))
 
 
 @query
@@ -464,7 +489,7 @@ def r1_queue(spark, sf):
 @query
 def r2_queue_for(spark, sf):
     cases = flow.cases_of(spark, sf)
-    return R.queue_for(cases, "reviewer-all", flow.accounts(spark, sf), 10).select("case_day", "level", "case_id")
+    return R.queue_for(cases, "reviewer-all", *_rights(spark, sf), "support", 10).select("case_day", "level", "case_id")
 
 
 @query
@@ -537,9 +562,10 @@ def w7_open_cases(spark, sf):
 
 @query
 def w8_feedback(spark, sf):
-    """Actions as feedback, keyed by their reason code; each is also submitted a second time."""
-    log = flow.actions(spark, sf).select("case_id", F.col("reason_code").alias("idempotency_key"), "ts", "seq", "action")
-    return W.feedback(log.unionByName(log)).select("case_id", "idempotency_key", "seq", "action")
+    """Actions as feedback, keyed by their reason code, R11 standing for no key; those with a key come a second time."""
+    key = F.when(F.col("reason_code") != "R11", F.col("reason_code")).alias("idempotency_key")
+    log = flow.actions(spark, sf).select("case_id", key, "ts", "seq", "action")
+    return W.feedback(log.unionByName(log.filter("idempotency_key is not null"))).select("case_id", "idempotency_key", "seq", "action")
 
 
 # an older graph: cases could be closed unread, and not out of a running review
@@ -641,11 +667,12 @@ def _chain(spark, sf):
 
 
 def _tampered(spark, sf):
-    """A text altered, an event dropped, a tail cut: each in some conversations. Returns (log, stored heads)."""
+    """A text altered, an event dropped, a tail cut, an event doubled: each in some conversations. Returns (log, stored heads)."""
     intact = staged(_chain(spark, sf), "audit_log")
     c, t = F.col("conv_id") % 10, F.col("turn")
     altered = F.when((c == 3) & (t == 1), F.concat("text", F.lit(" x"))).otherwise(F.col("text"))
     log = intact.withColumn("text", altered).filter(~((c == 5) & (t == 1)) & ~((c == 7) & (t >= 2)))
+    log = log.unionByName(log.filter((c == 8) & (t == 0)))
     return log, H.heads(intact, "conv_id", "turn")
 
 

@@ -1,9 +1,7 @@
 """Refusals before data leaves: columns by allow-list, finite numbers, unambiguous names."""
 
-import re
-
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType, _parse_datatype_json_string
 
 
 def _names(data_type: DataType, prefix: str = ""):
@@ -21,26 +19,114 @@ def _names(data_type: DataType, prefix: str = ""):
 
 
 def select_allowed(df: DataFrame, allow: list[str], forbidden: list[str] = ()) -> DataFrame:
-    """Only allowed columns. Refuses when a selected column, or a field inside it, is forbidden."""
+    """Only allowed columns. Refuses when a selected column, a field inside it, or anything it derives from is forbidden.
+
+    A table that was written and read again starts anew: what its columns came from is not known any more.
+    """
     missing = [c for c in allow if c not in df.columns]
     if missing:
         raise ValueError(f"columns not found: {missing}")
     chosen = df.select(*allow)
     barred = {f.lower() for f in forbidden}
-    hits = [n for n in _names(chosen.schema) if barred & {part.lower() for part in n.split(".")}]
-    hits += [c for c in allow if derives_from(df, c, barred)]
-    if hits:
-        raise ValueError(f"forbidden columns in the selection: {sorted(set(hits))}")
+    if barred:
+        hits = sorted(c for c, names in origins(chosen).items() if barred & names)
+        if hits:
+            raise ValueError(f"forbidden columns in the selection: {hits}")
     return chosen
 
 
-def derives_from(df: DataFrame, column: str, barred: set[str]) -> bool:
-    """True if the optimised plan of this one column still reads a barred source column under another name."""
-    if not barred:
-        return False
-    plan = df.select(column)._jdf.queryExecution().analyzed().toString().lower()
-    aliased = re.findall(r"([\w.]+)#\d+l? as (\w+)#", plan)
-    return any(source in barred and target == column.lower() for source, target in aliased)
+def origins(df: DataFrame) -> dict[str, set[str]]:
+    """For each column, in lower case, all names that its value derives from: its own, aliases on the way, sources, fields.
+
+    Read from the analysed plan's attributes by their ids, never from its printed form. An attribute that a node
+    makes in a way not known here derives from all that the node reads.
+    """
+    lineage = _Lineage()
+    plan = df._jdf.queryExecution().analyzed()
+    lineage.visit(plan)
+    fields = {f.name: {n.lower() for path in _names(StructType([f])) for n in path.split(".")} for f in df.schema.fields}
+    out: dict[str, set[str]] = {}
+    for field, attribute in zip(df.schema.fields, _items(plan.output())):
+        out.setdefault(field.name, set()).update(fields[field.name] | lineage.names_of(attribute.exprId().id()))
+    return out
+
+
+def _items(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+class _Lineage:
+    def __init__(self):
+        self.names: dict[int, set[str]] = {}
+        self.parents: dict[int, set[int]] = {}
+
+    def names_of(self, attribute: int) -> set[str]:
+        seen, todo, names = {attribute}, [attribute], set()
+        while todo:
+            at = todo.pop()
+            names |= self.names.get(at, set())
+            new = self.parents.get(at, set()) - seen
+            seen |= new
+            todo += new
+        return names
+
+    def _add(self, attribute: int, names=(), parents=()):
+        self.names.setdefault(attribute, set()).update(n.lower() for n in names)
+        self.parents.setdefault(attribute, set()).update(set(parents) - {attribute})
+
+    def visit(self, plan) -> None:
+        children = _items(plan.children())
+        for child in children:
+            self.visit(child)
+        read = [_items(child.output()) for child in children]
+        known = {a.exprId().id() for attributes in read for a in attributes}
+        for expression in _items(plan.expressions()):
+            self._define(expression)
+            known |= self._defined(expression)
+        output = _items(plan.output())
+        # of a set operation each output stands for one column of every child
+        by_place = len(children) > 1 and all(len(r) == len(output) for r in read) and plan.getClass().getSimpleName() in ("Union", "Intersect", "Except")
+        for i, attribute in enumerate(output):
+            at = attribute.exprId().id()
+            if not children:
+                self._add(at, [attribute.name(), *self._fields(attribute.dataType())])
+            elif by_place:
+                self._add(at, [attribute.name()], [r[i].exprId().id() for r in read])
+            elif at not in known:
+                self._add(at, [attribute.name()], [a.exprId().id() for r in read for a in r])
+
+    @staticmethod
+    def _fields(data_type) -> set[str]:
+        return {part for path in _names(_parse_datatype_json_string(data_type.json())) for part in path.split(".")}
+
+    def _defined(self, expression) -> set[int]:
+        """Ids that aliases inside an expression define."""
+        here = {expression.exprId().id()} if expression.getClass().getSimpleName() == "Alias" else set()
+        return here.union(*[self._defined(c) for c in _items(expression.children())])
+
+    def _define(self, expression) -> None:
+        for child in _items(expression.children()):
+            self._define(child)
+        if expression.getClass().getSimpleName() == "Alias":
+            names, parents = self._reads(expression.child())
+            self._add(expression.exprId().id(), [expression.name(), *names], parents)
+
+    def _reads(self, expression) -> tuple[set[str], set[int]]:
+        """Names of fields taken, and ids of attributes read, by an expression and by queries inside it."""
+        names, parents = set(), {a.exprId().id() for a in _items(expression.references().toSeq())}
+        todo = [expression]
+        while todo:
+            e = todo.pop()
+            kind = e.getClass().getSimpleName()
+            if kind == "GetStructField":
+                names.add(e.extractFieldName())
+            elif kind == "GetArrayStructFields":
+                names.add(e.field().name())
+            elif kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
+                self.visit(e.plan())
+                parents |= {a.exprId().id() for a in _items(e.plan().output())}
+            todo += _items(e.children())
+        return names, parents
 
 
 def float_columns(df: DataFrame) -> list[str]:

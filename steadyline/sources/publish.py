@@ -100,10 +100,13 @@ def currency(cases: DataFrame, as_of: Column) -> DataFrame:
     return cases.agg(F.max("case_day").alias("latest_case_day")).select("latest_case_day", as_of.alias("as_of"))
 
 
-def append_actions(actions: DataFrame, path: str) -> None:
-    """Append to the action log, one folder per day so that later reads can prune."""
+def append_actions(actions: DataFrame, path: str, batch: str) -> None:
+    """Add one batch to the action log, one folder per batch and day so that later reads can prune.
+
+    A batch that is appended again replaces what it wrote before, so a retry neither doubles nor loses rows.
+    """
     rows = actions.withColumn("day", F.to_date("ts"))
-    rows.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+    rows.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
 
 
 __all__ = [

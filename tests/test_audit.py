@@ -75,6 +75,16 @@ def test_dropped_swapped_cut_and_rewritten(log, events):
     assert broken(log, H.chain(forged, "chain", "seq", FIELDS, SEG), heads) == {"hot": (3, "head")}
 
 
+def test_doubled_events_do_not_verify(log):
+    heads = H.heads(log, "chain", "seq")
+    again = log.filter("chain = 'hot' and seq = 6")
+    verified = H.verify_chain(log.union(again).union(again), "chain", "seq", FIELDS, SEG, heads)
+    wrong = sorted((r["chain"], r["seq"], r["reason"]) for r in verified.filter("not ok").collect())
+    assert wrong == [("hot", 6, "duplicate"), ("hot", 7, "count")] and verified.filter("ok").count() == 59
+    extra = heads.withColumn("events", F.when((F.col("chain") == "cold") & (F.col("segment") == 0), 3).otherwise(F.col("events")))
+    assert broken(log, log, extra) == {"cold": (3, "count")}
+
+
 def test_seal_covers_every_head(log):
     heads = H.heads(log, "chain", "seq")
     seal = H.seal(heads, "chain").first()
@@ -86,7 +96,7 @@ def test_seal_covers_every_head(log):
 def test_trail_and_purposes(spark, rows):
     log = spark.createDataFrame([(1, 1, "r", "p", "done"), (2, 2, "r", "p", "done"), (2, 3, "l", "p", "refused")], "ts int, seq int, role string, purpose string, outcome string")
     trail = H.action_trail(log.withColumn("entity_id", F.lit(5)), ["entity_id"])
-    assert "entity_id" not in trail.columns and [r["seq"] for r in trail.collect()] == [3, 2, 1]
+    assert "entity_id" not in trail.columns and "seq" not in trail.columns and [r["role"] for r in trail.collect()] == ["l", "r", "r"]
     assert rows(H.purpose_summary(log)) == [("p", "l", "refused", 1), ("p", "r", "done", 2)]
 
 

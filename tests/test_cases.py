@@ -72,12 +72,22 @@ def test_policy_intervals(spark, cases, rows):
     assert got == [("c1", "v2"), ("c2", "v2"), ("c3", "v2"), ("c4", None)]
 
 
+def test_overlapping_policies_are_refused(spark, cases):
+    policies = spark.createDataFrame(
+        [("v1", d(6), d(21)), ("v2", d(20), None)], "policy_version string, valid_from date, valid_to date"
+    )
+    with pytest.raises(Exception, match="several policies are valid on 2024-01-21"):
+        E.policy_at(cases, policies, F.lit(d(25))).collect()
+
+
 def test_queue_order_scope_and_limit(spark, cases):
     assert [r["case_id"] for r in R.queue(cases).collect()] == ["c3", "c1", "c2", "c4"]
     accounts = spark.createDataFrame(
         [("a", "reviewer", ["support"], [7])], "account_id string, role string, purposes array<string>, groups array<int>"
     )
-    assert [r["case_id"] for r in R.queue_for(cases, "a", accounts, 1).collect()] == ["c1"]
+    matrix = spark.createDataFrame([("reviewer", "support")], "role string, purpose string")
+    assert [r["case_id"] for r in R.queue_for(cases, "a", accounts, matrix, "support", 1).collect()] == ["c1"]
+    assert R.queue_for(cases, "a", accounts, matrix.limit(0), "support", 1).count() == 0
 
 
 def test_staleness_header_drift(spark, cases):

@@ -134,6 +134,14 @@ def test_feedback_is_idempotent(spark, rows):
     assert (1, "a", 1, 1, "x") in once
 
 
+def test_feedback_without_a_key_is_no_replay(spark, rows):
+    df = spark.createDataFrame(
+        [(1, None, 1, 1, "first"), (1, None, 2, 2, "second"), (1, "a", 3, 3, "x"), (1, "a", 4, 4, "x")],
+        "case_id int, idempotency_key string, ts int, seq int, text string",
+    )
+    assert [r[4] for r in rows(W.feedback(df))] == ["x", "first", "second"]
+
+
 def test_missing_reason_and_drift(spark, rows, log):
     df = spark.createDataFrame(log, SCHEMA)
     codes = spark.createDataFrame([("R1",)], "reason_code string")

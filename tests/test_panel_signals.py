@@ -144,6 +144,33 @@ def test_budget_ties_by_id_and_ledger_is_the_complement(spark, rows):
     assert cases.count() + ledger.count() == len(items) == len(reasons) + 2
 
 
+@pytest.mark.parametrize("k", [2, 1000, 1001])
+def test_budget_for_any_k_on_one_hot_day(spark, k):
+    days = F.when(F.col("id") < 1500, F.lit(0)).otherwise(F.col("id") % 3)
+    df = spark.range(1600).select(
+        F.date_add(F.lit(day(0)), days.cast("int")).alias("case_day"), (F.col("id") % 7).cast("double").alias("score"), F.format_string("c%05d", "id").alias("case_id")
+    )
+    got = A.budget(df, k)
+    assert "Window" in got._jdf.queryExecution().executedPlan().toString()
+    kept = {(r["case_day"], r["case_id"]): r["rank"] for r in got.collect()}
+    per_day = {}
+    for r in df.collect():
+        per_day.setdefault(r["case_day"], []).append((-r["score"], r["case_id"]))
+    want = {(d, c): i + 1 for d, own in per_day.items() for i, (_, c) in enumerate(sorted(own)[:k])}
+    assert kept == want
+
+
+def test_entities_without_a_dimension_row_stay(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    for name in ("events", "customer"):
+        spark.read.parquet(f"{sf}/{name}.parquet").where("true" if name == "events" else "c_custkey % 3 <> 0").write.parquet(f"{tmp_path}/{name}.parquet")
+    of, whole = flow.base(spark, str(tmp_path)), flow.base(spark, sf)
+    assert of.dense.count() == whole.dense.count() and of.observed.count() == whole.observed.count()
+    assert of.dense.filter("group_id is null").select("entity_id").distinct().count() == whole.dense.filter("entity_id % 3 = 0").select("entity_id").distinct().count() > 0
+    flags = flow.flags(of, P)
+    assert flags.filter("group_id is null and load_dev is not null").count() > 0
+
+
 def test_case_id_vector(spark):
     got = spark.range(1).select(A.case_id(F.lit(42), F.lit("2024-01-05").cast("date"), "v1").alias("i")).first()["i"]
     assert got == hashlib.sha256(b"42#2024-01-05#v1").hexdigest()

@@ -75,8 +75,9 @@ def test_same_content_counts_duplicates(spark, table):
 def test_append_keeps_earlier_rows(spark, tmp_path):
     path = str(tmp_path / "log")
     rows = spark.createDataFrame([(i, dt.datetime(2024, 1, 1 + i % 2)) for i in range(6)], "seq int, ts timestamp_ntz")
-    S.append_actions(rows.filter("seq < 4"), path)
-    S.append_actions(rows.filter("seq >= 4"), path)
+    S.append_actions(rows.filter("seq < 4"), path, "a")
+    S.append_actions(rows.filter("seq >= 4"), path, "b")
+    S.append_actions(rows.filter("seq >= 4"), path, "b")  # a retry
     back = spark.read.parquet(path)
     assert back.count() == 6 and back.filter(F.col("day") == dt.date(2024, 1, 2)).count() == 3
 
