@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from steadyline.sources.staging import new_location
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 BUCKET_BYTES = 16 << 20
 MOST_BUCKETS = 100_000  # Spark's own limit for a table
 NONE = np.iinfo(np.int64).max  # no document; a null doc_id counts as this, after all others

@@ -42,7 +42,7 @@ class Settings(NamedTuple):
 
 
 class Model(NamedTuple):
-    weights: np.ndarray  # float32, (rows, SIDE): classes first
+    weights: np.ndarray  # float32, (SIDE, rows): rows for classes first
     leaf_tokens: np.ndarray
     leaf_words: np.ndarray
     end_count: int
@@ -77,7 +77,8 @@ class _Chunk:
         """For each distinct word in training: count, neighbours, and the sum of the neighbours' sign bits."""
         n, learnt = len(self.low), self.learnt()
         text = self.words.text_no()
-        signs = ((self.hash[self.words.code][:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.int8) * 2 - 1
+        bits = np.unpackbits((self.hash & np.uint64(255)).astype(np.uint8)[:, None], axis=1, bitorder="little")
+        signs = (bits.astype(np.int8) * 2 - 1)[self.words.code]
         total, near = np.zeros((len(text), BITS), np.int32), np.zeros(len(text), np.int32)
         for d in NEAR:
             if len(text) <= d:
@@ -117,25 +118,26 @@ class _Chunk:
 
 
 def _features(before, bits: int, given: np.ndarray | None = None) -> np.ndarray:
-    """Rows of weights: (tokens, N_FEATURES) for bias, word before, two words before, and two skips."""
+    """Rows of weights, (N_FEATURES, tokens): bias, word before, two words before, and two skips."""
     one, two, three = before
     kinds = [np.zeros(len(one), np.uint64), one, one * SPREAD + two, two, three]
-    out = np.empty((len(one), N_FEATURES), np.int64)
+    out = np.empty((N_FEATURES, len(one)), np.int64)
     for k, values in enumerate(kinds):
         key = values + np.array([k + 1], np.uint64) * SPREAD
         if given is not None:
             key = key + (given.astype(np.uint64) + np.uint64(1)) * START
-        out[:, k] = (mixed(key) >> np.uint64(64 - bits)).astype(np.int64)
+        out[k] = (mixed(key) >> np.uint64(64 - bits)).astype(np.int64)
     return out
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    total = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        total += weights[rows[:, k]]
-    total -= total.max(axis=1, keepdims=True)
+    """(SIDE, tokens); weights lie class by class, so that a gather and a sum by row run over plain arrays."""
+    total = np.take(weights, rows[0], axis=1)
+    for k in range(1, N_FEATURES):
+        total += np.take(weights, rows[k], axis=1)
+    total -= total.max(axis=0)
     np.exp(total, out=total)
-    total /= total.sum(axis=1, keepdims=True)
+    total /= total.sum(axis=0)
     return total
 
 
@@ -149,27 +151,34 @@ def _descended(weights: np.ndarray, before, leaf, s: Settings) -> np.ndarray:
     """One pass of adaptive gradient steps over the tokens; the new weights."""
     weights = weights.copy()
     squared = np.full(weights.shape, s.caution, np.float32)
-    size, batch = weights.size, max(1, min(s.batch, -(-len(leaf) // s.steps)))
+    gradient, step = (np.empty(weights.shape, np.float32) for _ in range(2))
+    batch = max(1, min(s.batch, -(-len(leaf) // s.steps)))
+    edge = 1 << s.first_bits
     for i in range(0, len(leaf), batch):
         part = [b[i : i + batch] for b in before]
-        gradient = np.zeros(size)
-        for rows, target in _rows(part, leaf[i : i + batch], s):
+        for (rows, target), own in zip(_rows(part, leaf[i : i + batch], s), (slice(0, edge), slice(edge, None))):
             error = _softmax(weights, rows)
-            error[np.arange(len(target)), target] -= 1.0
-            flat = (rows[:, :, None] * SIDE + np.arange(SIDE)).reshape(-1)
-            gradient += np.bincount(flat, weights=np.repeat(error[:, None, :], N_FEATURES, axis=1).reshape(-1), minlength=size)
-        gradient = gradient.reshape(weights.shape).astype(np.float32)
-        squared += gradient * gradient
-        weights -= s.rate * gradient / np.sqrt(squared)
+            error[target, np.arange(len(target))] -= 1.0
+            flat = rows.reshape(-1) - own.start
+            each = np.tile(error.astype(np.float64), N_FEATURES)
+            for j in range(SIDE):
+                gradient[j, own] = np.bincount(flat, weights=each[j], minlength=gradient[j, own].size)
+        squared += np.multiply(gradient, gradient, out=step)
+        np.sqrt(squared, out=step)
+        np.divide(gradient, step, out=step)
+        weights -= np.multiply(step, np.float32(s.rate), out=step)
     return weights
 
 
+SCORED = 4096  # tokens that are scored at once
+
+
 def _log10(weights: np.ndarray, before, leaf, s: Settings) -> np.ndarray:
     out = np.zeros(len(leaf))
-    for i in range(0, len(leaf), s.batch):
-        part = [b[i : i + s.batch] for b in before]
-        for rows, target in _rows(part, leaf[i : i + s.batch], s):
-            out[i : i + s.batch] += np.log10(np.maximum(_softmax(weights, rows)[np.arange(len(target)), target], 1e-30))
+    for i in range(0, len(leaf), SCORED):
+        part = [b[i : i + SCORED] for b in before]
+        for rows, target in _rows(part, leaf[i : i + SCORED], s):
+            out[i : i + SCORED] += np.log10(np.maximum(_softmax(weights, rows)[target, np.arange(len(target))], 1e-30))
     return out
 
 
@@ -231,7 +240,7 @@ class LanguageModel:
         tokens[END_LEAF] += ends
         words[END_LEAF] += ends > 0
         self.answers = answers.where("chunk is not null").select("bucket", "chunk", "counts", "leaves")
-        weights = np.zeros(((1 << s.first_bits) + (1 << s.second_bits), SIDE), np.float32)
+        weights = np.zeros((SIDE, (1 << s.first_bits) + (1 << s.second_bits)), np.float32)
         for _ in range(s.rounds if ends else 0):
             weights = self._round(spark, weights, ends)
         self.model = Model(weights, tokens, words, ends, int(tokens.sum()), int(words.sum()))
@@ -244,7 +253,9 @@ class LanguageModel:
             c = _Chunk(given, n, s.folds)
             text, _, leaf, before = c.sequence(*c.answered(answers), ends)
             learnt = ~c.held[text]
-            new = _descended(held.value, [b[learnt] for b in before], leaf[learnt], s)
+            del c, text  # the rest of the work needs room
+            before = [before.pop(0)[learnt] for _ in range(len(before))]
+            new = _descended(held.value, before, leaf[learnt], s)
             return _blocks(new * np.float32(learnt.sum() / 1e6), learnt.sum() / 1e6)
 
         def added(batches):

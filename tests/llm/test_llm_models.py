@@ -167,7 +167,7 @@ def test_model_counts_and_probabilities(spark):
 def test_softmax_sums_to_one():
     s = maxent.Settings(first_bits=6, second_bits=7)
     rng = np.random.default_rng(1)
-    weights = rng.normal(size=((1 << 6) + (1 << 7), maxent.SIDE)).astype(np.float32)
+    weights = rng.normal(size=(maxent.SIDE, (1 << 6) + (1 << 7))).astype(np.float32)
     before = [np.full(256, np.uint64(rng.integers(1 << 60))) for _ in range(3)]
     assert abs((10 ** maxent._log10(weights, before, np.arange(256), s)).sum() - 1) < 1e-4
 
@@ -177,7 +177,7 @@ def test_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(2)
     leaf = rng.choice([3, 3, 3, 70, 200], size=500)
     before = [mixed for mixed in rng.integers(1 << 60, size=(3, 500)).astype(np.uint64)]
-    zero = np.zeros(((1 << 5) + (1 << 6), maxent.SIDE), np.float32)
+    zero = np.zeros((maxent.SIDE, (1 << 5) + (1 << 6)), np.float32)
     new = maxent._descended(zero, before, leaf, s)
     assert maxent._log10(new, before, leaf, s).sum() > maxent._log10(zero, before, leaf, s).sum() + 100
 
