@@ -225,5 +225,5 @@ def scored(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY) ->
     panel_rows = with_context(of.dense, of.observed, policy)
     with_label = labels.forward_label(panel_rows, report_days(spark, sf_dir), of.last_day, policy).drop("reports")
     rows = features(with_label, policy).filter("full_horizon and label is not null and rule_score is not null")
-    rows = staged(rows.withColumn("row_id", F.col("entity_id") * 100000 + F.col("day_no")), "judged")
+    rows = staged(rows.withColumn("row_id", F.col("entity_id").cast("decimal(20,0)") * 100000 + F.col("day_no")), "judged")
     return labels.time_split(rows)

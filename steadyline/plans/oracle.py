@@ -179,6 +179,12 @@ log AS (SELECT a.*, r.from_state, r.to_state, r.from_state <> r.to_state AS acce
         FROM act a JOIN rep r USING (case_id, n)),
 states AS (SELECT case_id, arg_max(to_state, n) AS state, count(*) FILTER (WHERE accepted) AS accepted_actions FROM log GROUP BY 1)"""
 
+_P8 = {
+    "search": "(contains(case_id, '1') OR contains(CAST(entity_id AS VARCHAR), '1'))", "groups": "group_id BETWEEN 0 AND 11", "levels": "level = 'moderate'",
+    "states": "state IN ('open', 'acknowledged', 'reopened')", "changes": "load_z >= 2.5", "first": "case_day >= DATE '2024-01-18'", "last": "case_day <= DATE '2024-01-22'",
+}
+_P8["all"] = " AND ".join({**_P8, "levels": "level IN ('moderate', 'high')"}.values())
+P8 = " UNION ALL ".join(f"SELECT case_id, '{name}' AS filter FROM qcases WHERE {rule}" for name, rule in _P8.items())
 OPEN = ADMIT + "," + LOG + """,
 qcases AS (SELECT c.*, coalesce(s.state, 'open') AS state FROM cases c LEFT JOIN states s ON s.case_id = c.entity_id)"""
 
@@ -302,7 +308,8 @@ for _p, _r in [
 ORACLE.update({
     "s3_allowed_columns": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer",
     "s4_publish": q(ADMIT, f"SELECT {CASE_COLS} FROM cases"),
-    "s6_verify_manifest": q(ADMIT, "SELECT DISTINCT 'cases' AS dataset, TRUE AS ok FROM cases UNION ALL SELECT DISTINCT 'ledger', TRUE FROM ledger"),
+    "s6_verify_manifest": q(ADMIT, "SELECT * FROM (VALUES ('cases', 'ok', 'stored'), ('ledger', 'ok', 'stored'), ('cases', 'extra', 'altered'), ('ledger', 'changed', 'altered'), "
+                               "('lost', 'missing', 'altered')) v(dataset, status, against) WHERE (SELECT count(*) FROM cases) > 0 AND (SELECT count(*) FROM ledger) > 0"),
     "s7_same_content": q(REC, "SELECT count(*) AS rows_a, count(*) AS rows_b, CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, TRUE AS same FROM pd"),
     "s8_fingerprint": f"WITH d AS (SELECT sha256({esc('conv_id')} || '#' || {esc('turn')} || '#' || {esc('role')} || '#' || {esc('text')}) AS dg FROM conversations) "
                       f"SELECT count(*) AS rows, sha256(CAST(count(*) AS VARCHAR) || '#' || {sums('dg')}) AS digest FROM d",
@@ -332,7 +339,7 @@ ORACLE.update({
     "p6_lookup": q(ACC, f"""SELECT entity_id, CASE WHEN group_id IN ({scope('reviewer-2')}) THEN 'found' ELSE 'not_found' END AS answer FROM roster_all
         UNION ALL SELECT -entity_id - 1, 'not_found' FROM roster_all"""),
     "p7_redact": f"SELECT doc_id, {_RED} AS text FROM documents",
-    "p8_filter_queue": q(OPEN, "SELECT case_id, case_day, level, state FROM qcases WHERE state IN ('open', 'acknowledged', 'in_review', 'reopened') AND case_day BETWEEN DATE '2024-01-08' AND DATE '2024-01-25'"),
+    "p8_filter_queue": q(OPEN, P8),
     "p9_directory": q(ACC, f"SELECT entity_id, group_id FROM roster_all WHERE group_id IN ({scope('reviewer-3')})"),
     "p10_invalid_accounts": q(ACC, """SELECT account_id, role, purpose FROM (SELECT account_id, role, unnest(purposes) AS purpose FROM acc)
         WHERE (role, purpose) NOT IN (('reviewer', 'support'), ('lead', 'aggregate'), ('auditor', 'audit'), ('operator', 'infrastructure'))"""),
@@ -340,7 +347,9 @@ ORACLE.update({
     "p12_search_groups": "SELECT n_nationkey AS group_id, n_name AS group_name FROM nation WHERE contains(n_name, 'NATION_1')",
     "p13_scope_counts": q(ACC, "SELECT account_id, count(entity_id) AS visible FROM (SELECT account_id, unnest(groups) AS group_id FROM acc) LEFT JOIN roster_all USING (group_id) GROUP BY 1"),
     "e1_factors": q(FACT, "SELECT * FROM fct"),
-    "e2_explain": q(FACT, "SELECT case_id, string_agg(rule, ',' ORDER BY s DESC, metric) AS rules FROM strong GROUP BY 1"),
+    "e2_explain": q(FACT, "SELECT c.case_id, CAST(row_number() OVER (PARTITION BY c.case_id ORDER BY s DESC, metric) - 1 AS INTEGER) AS place, metric, value, reference, "
+                     "window_start, window_end, rule, s.policy_version FROM cases c JOIN strong s USING (case_id) "
+                     "UNION ALL SELECT case_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM cases WHERE case_id NOT IN (SELECT case_id FROM strong)"),
     "e3_explain_or_absent": q(FACT, "SELECT case_id, CASE WHEN case_id IN (SELECT case_id FROM fct) THEN 'recorded' ELSE 'not_recorded' END AS explanation_status FROM cases"),
     "e4_factor_count": q(FACT, "SELECT c.case_id, count(f.case_id) AS factors FROM cases c LEFT JOIN fct f USING (case_id) GROUP BY 1"),
     "e5_policy_at": q(ADMIT, "SELECT case_id, case_day, CASE WHEN case_day < DATE '2024-01-01' THEN NULL WHEN case_day < DATE '2024-01-16' THEN 'v1' ELSE 'v2' END AS valid_version FROM cases"),
@@ -396,7 +405,8 @@ ORACLE.update({
         SELECT count(*) AS segments, sha256(CAST(count(*) AS VARCHAR) || '#' || {sums('dg')}) AS seal FROM hd"""),
     "h2_verify_chain": q(AUD, "SELECT * FROM ver"),
     "h3_first_break": q(AUD, "SELECT conv_id, turn AS first_broken, reason FROM ver WHERE NOT ok QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, reason) = 1"),
-    "h4_health": q(AUD, "SELECT count(*) AS events, CAST(0 AS BIGINT) AS broken, TRUE AS healthy, 'intact' AS log FROM ch UNION ALL SELECT count(*), count(*) FILTER (WHERE NOT ok), bool_and(ok), 'tampered' FROM ver"),
+    "h4_health": q(AUD, "SELECT events, broken, healthy AND files <> 'bad' AS healthy, log, files FROM (SELECT count(*) AS events, CAST(0 AS BIGINT) AS broken, TRUE AS healthy, 'intact' AS log FROM ch "
+                    "UNION ALL SELECT count(*), count(*) FILTER (WHERE NOT ok), bool_and(ok), 'tampered' FROM ver) CROSS JOIN (SELECT unnest(['none', 'good', 'bad']) AS files)"),
     "h5_action_trail": q(LOG, "SELECT ts, role, action, purpose, accepted FROM log"),
     "h6_purpose_summary": q(LOG, "SELECT purpose, role, CASE WHEN accepted THEN 'done' ELSE 'refused' END AS outcome, count(*) AS n FROM log GROUP BY ALL"),
     "l1_forward_label": q(LAB, "SELECT * FROM lab"),

@@ -209,18 +209,30 @@ def s5_manifest(spark, sf):
 
 @query
 def s6_verify_manifest(spark, sf):
+    """The files as they are, and against a manifest that names other hashes, lacks files and lists files never written."""
     path = _published(spark, sf)
-    checked = publish.verify_manifest(
-        publish.manifest(spark, path + "/data"), spark.read.parquet(path + "/manifest")
-    )
-    table = F.substring_index("file", "/", 1)
-    return checked.groupBy(table.alias("dataset")).agg(F.bool_and(F.col("status") == "ok").alias("ok"))
+    actual, stored = publish.manifest(spark, path + "/data"), spark.read.parquet(path + "/manifest")
+    table = F.substring_index("file", "/", 1).alias("dataset")
+    parts = [
+        publish.verify_manifest(actual, expected).groupBy(table, "status").agg(F.lit(name).alias("against")).distinct()
+        for name, expected in (("stored", stored), ("altered", _altered(stored)))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _altered(stored):
+    """Of a manifest: other hashes for the ledger, no cases, and the ledger's files once more under another name."""
+    ledger = stored.filter(F.col("file").startswith("ledger/"))
+    moved = ledger.withColumn("file", F.regexp_replace("file", "^ledger/", "lost/"))
+    return ledger.withColumn("sha256", F.sha2("sha256", 256)).unionByName(moved)
 
 
 @query
 def s7_same_content(spark, sf):
+    """Two runs of the entity-days, every column; sums are exact decimals, which do not depend on the order of rows."""
     def run():
-        return flow.days(flow.records(spark, sf)).select("entity_id", "day", "load", "errors")
+        exact = flow.records(spark, sf).withColumn("value", F.col("value").cast("decimal(18,6)"))
+        return flow.days(exact)
 
     return publish.same_content(staged(run(), "run_a"), staged(run(), "run_b"))
 
@@ -386,11 +398,19 @@ def _queue(spark, sf):
 
 @query
 def p8_filter_queue(spark, sf):
-    out = X.filter_queue(
-        _queue(spark, sf), levels=["moderate", "high", "low"], states=["open", "acknowledged", "in_review", "reopened"],
-        first="2024-01-08", last="2024-01-25",
-    )
-    return out.select("case_id", "case_day", "level", "state")
+    """Each filter by itself, and all together."""
+    steep = F.when(F.col("load_z") >= 2.5, F.lit("rising")).otherwise(F.lit("steady"))
+    rows = staged(_queue(spark, sf).withColumn("trend", steep), "queue")
+    filters = {
+        "search": {"search": "1"}, "groups": {"groups": list(range(12))}, "levels": {"levels": ["moderate"]},
+        "states": {"states": ["open", "acknowledged", "reopened"]}, "changes": {"changes": ["rising"]}, "first": {"first": "2024-01-18"}, "last": {"last": "2024-01-22"},
+    }
+    filters["all"] = {k: v for one in filters.values() for k, v in one.items()} | {"levels": ["moderate", "high"]}
+    parts = [X.filter_queue(rows, **kw).select("case_id", F.lit(name).alias("filter")) for name, kw in filters.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query
@@ -442,10 +462,9 @@ def e1_factors(spark, sf):
 
 @query
 def e2_explain(spark, sf):
-    """Nested factors, shown as their rules in order."""
-    cases, found = _explained(spark, sf)
-    nested = E.explain(cases, found).filter(F.col("factors").isNotNull())
-    return nested.select("case_id", F.concat_ws(",", F.transform("factors", lambda f: f["rule"])).alias("rules"))
+    """Every case with its nested factors in order, one row for each; a case without any has one row of NULLs."""
+    nested = E.explain(*_explained(spark, sf)).select("case_id", F.posexplode_outer("factors").alias("place", "f"))
+    return nested.select("case_id", "place", *[F.col(f"f.{c}").alias(c) for c in FACTOR_COLUMNS if c != "case_id"])
 
 
 @query
@@ -703,9 +722,18 @@ def h4_health(spark, sf):
     log, stored = _tampered(spark, sf)
     intact = H.verify_chain(staged(_chain(spark, sf), "log"), "conv_id", "turn", AUDITED, SEGMENT, stored)
     broken = H.verify_chain(log, "conv_id", "turn", AUDITED, SEGMENT, stored)
-    return H.health(intact).withColumn("log", F.lit("intact")).unionByName(
-        H.health(broken).withColumn("log", F.lit("tampered"))
-    )
+    path = _published(spark, sf)
+    actual, written = publish.manifest(spark, path + "/data"), spark.read.parquet(path + "/manifest")
+    good, bad = (publish.verify_manifest(actual, m) for m in (written, _altered(written)))
+    parts = [
+        H.health(rows, files).withColumns({"log": F.lit(log), "files": F.lit(name)})
+        for log, rows in (("intact", intact), ("tampered", broken))
+        for name, files in (("none", None), ("good", good), ("bad", bad))
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query
@@ -786,7 +814,10 @@ def m9_compare(spark, sf):
 def m10_no_peek(spark, sf):
     dense = staged(flow.base(spark, sf).dense, "spine")
     cut = F.lit("2024-01-20").cast("date")
-    columns = ["entity_id", "day", "load_z", "errors_z", "load_excess", "load_slope7", "rule_score", "temporal_score"]
+    columns = [
+        "entity_id", "day", "load_mean", "load_sd", "load_z", "errors_z", "load_dev", "load_excess", "load_lagged_mean", "load_prev",
+        "load_sum7", "load_slope7", "rest_gap", "busy", "rule_score", "temporal_score",
+    ]
     changed = L.peek_differences(dense, lambda d: flow.features(flow.with_context(d, d, P), P).select(*columns), cut)
     return dense.filter(F.col("day") <= cut).agg(F.count("*").alias("compared")).select(
         "compared", changed.agg(F.count("*").alias("n")).scalar().alias("changed")

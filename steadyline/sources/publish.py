@@ -77,7 +77,15 @@ def read_verified(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def same_content(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: rows on each side, rows found on one side only, and whether both hold the same rows."""
+    """One row: rows on each side, rows found on one side only, and whether both hold the same rows.
+
+    Equal fingerprints, one pass over each side, settle it; the rows are compared only if those differ.
+    """
+    if a.columns == b.columns:
+        of_a, of_b = fingerprint(a).first(), fingerprint(b).first()
+        if of_a == of_b:
+            schema = "rows_a bigint, rows_b bigint, only_a bigint, only_b bigint, same boolean"
+            return a.sparkSession.createDataFrame([(of_a["rows"], of_b["rows"], 0, 0, True)], schema)
     only_a = a.exceptAll(b).agg(F.count("*").alias("n")).scalar()
     only_b = b.exceptAll(a).agg(F.count("*").alias("n")).scalar()
     rows_b = b.agg(F.count("*").alias("n")).scalar()
