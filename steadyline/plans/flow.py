@@ -43,34 +43,35 @@ def days(facts: DataFrame) -> DataFrame:
     )
 
 
-def roster(spark: SparkSession, sf_dir: str, daily: DataFrame) -> DataFrame:
-    """Entities with records, each in its group; without a row in the dimension the group is NULL, and the entity stays."""
-    customers = read_table(spark, sf_dir, "customer")
-    return (
-        daily.select("entity_id")
-        .distinct()
-        .join(customers, F.col("entity_id") == F.col("c_custkey"), "left")
-        .select("entity_id", F.col("c_nationkey").alias("group_id"))
-    )
-
-
 @dataclass(frozen=True)
 class Base:
     observed: DataFrame  # entity-days that have records, with their group
+    members: DataFrame  # entities with their group
     dense: DataFrame  # every entity on every calendar day
+    first_day: Column
     last_day: Column
 
 
 def base(spark: SparkSession, sf_dir: str, with_reports: bool = True) -> Base:
+    """Entities with records, each in its group; without a row in the dimension the group is NULL, and the entity stays."""
     # staged: the raw records are scanned once; roster, calendar and panel all read the small daily table
-    daily = staged(days(records(spark, sf_dir, with_reports)), "entity_days")
-    members = roster(spark, sf_dir, daily)
-    first, last = panel.observed_span(daily)
-    observed = daily.join(members, "entity_id").withColumn("day_no", F.unix_date("day"))
-    return Base(observed, panel.spine(daily, members, first, last), last)
+    daily = days(records(spark, sf_dir, with_reports))
+    customers = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("_key"), F.col("c_nationkey").alias("group_id"))
+    observed = staged(daily.join(customers, F.col("entity_id") == F.col("_key"), "left").drop("_key"), "entity_days")
+    members = observed.select("entity_id", "group_id").distinct()
+    first, last = panel.observed_span(observed)
+    dense = panel.spine(observed.drop("group_id"), members, first, last)
+    return Base(observed.withColumn("day_no", F.unix_date("day")), members, dense, first, last)
+
+
+def panel_with_context(of: Base, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """The dense panel with group context; its rows are shuffled once, by entity."""
+    calendar = panel.group_calendar(B.group_baseline(of.observed, "load", policy), of.members, of.first_day, of.last_day)
+    return panel.spine_with_context(of.observed.drop("group_id", "day_no"), of.members, calendar)
 
 
 def with_context(dense: DataFrame, observed: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
+    """Group context for a panel that is there already."""
     return B.with_group_context(dense, B.group_baseline(observed, "load", policy))
 
 
@@ -85,7 +86,7 @@ def features(dense: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
 
 
 def flags(of: Base, policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    return A.material(features(with_context(of.dense, of.observed, policy), policy), "load", policy)
+    return A.material(features(panel_with_context(of, policy), policy), "load", policy)
 
 
 def found(flagged: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
@@ -222,7 +223,7 @@ def scored(spark: SparkSession, sf_dir: str, policy: Policy = DEFAULT_POLICY) ->
     Labels ride along the panel, so they share the shuffle by entity; no feature reads a report column.
     """
     of = base(spark, sf_dir)
-    panel_rows = with_context(of.dense, of.observed, policy)
+    panel_rows = panel_with_context(of, policy)
     with_label = labels.forward_label(panel_rows, report_days(spark, sf_dir), of.last_day, policy).drop("reports")
     rows = features(with_label, policy).filter("full_horizon and label is not null and rule_score is not null")
     rows = staged(rows.withColumn("row_id", F.col("entity_id").cast("decimal(20,0)") * 100000 + F.col("day_no")), "judged")

@@ -68,7 +68,7 @@ def b3_group_baseline(spark, sf):
 @query
 def b4_deviation(spark, sf):
     of = flow.base(spark, sf)
-    out = B.deviation(B.personal_baseline(flow.with_context(of.dense, of.observed, P), "load", P), "load")
+    out = B.deviation(B.personal_baseline(flow.panel_with_context(of, P), "load", P), "load")
     return out.select("entity_id", "group_id", "day", "load_dev", "load_excess", "load_z")
 
 

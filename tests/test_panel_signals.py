@@ -171,6 +171,23 @@ def test_entities_without_a_dimension_row_stay(spark, tmp_path):
     assert flags.filter("group_id is null and load_dev is not null").count() > 0
 
 
+def test_the_panel_is_shuffled_once(spark):
+    """With broadcasts off, rows of entities and days meet one exchange, by entity."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = flow.flags(flow.base(spark, "/root/testdata/sf0.001"), P)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    lines = plan.split("\n")
+    by_entity = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(entity_id#" in x and "group_id" not in x]
+    assert len(by_entity) == 1 and "Union" in "".join(lines[by_entity[0] + 1 : by_entity[0] + 3])
+    for i, x in enumerate(lines):
+        keys = x.partition("Exchange hashpartitioning(")[2]
+        if "day#" in keys:  # only groups by day, summed up or one row for each
+            assert "entity_id" not in keys and "entity_id" not in lines[i + 1], x
+
+
 def test_case_id_vector(spark):
     got = spark.range(1).select(A.case_id(F.lit(42), F.lit("2024-01-05").cast("date"), "v1").alias("i")).first()["i"]
     assert got == hashlib.sha256(b"42#2024-01-05#v1").hexdigest()
