@@ -100,6 +100,18 @@ def q(ctes: str, select: str) -> str:
 CASE_COLS = ("case_id, entity_id, group_id, case_day, start_day, end_day, length, recovered_day, load_z, load_dev, "
              "load_excess, rule_score, temporal_score, level, score, policy_version")
 
+_X = {c: f"coalesce(CAST({c} AS DOUBLE), 0)" for c in ("load_z", "errors_z", "load_slope7", "rest_gap")}
+_X["intercept"] = "1.0"
+FIT = " UNION ALL ".join(f"SELECT '{c}' AS coefficient, round(sum(label * {x}), 4) AS label_sum, TRUE AS settled FROM sc WHERE split = 'train'" for c, x in _X.items())
+_LIN = "-0.5 + 0.4 * {load_z} + 0.15 * {errors_z} + 0.3 * {load_slope7} - 0.2 * {rest_gap}".format(**_X)
+STORED = f"""
+t AS (SELECT label, CAST(rule_score AS DOUBLE) AS rule_score, CAST(temporal_score AS DOUBLE) AS temporal_score, CAST(load AS DOUBLE) AS load,
+      round(1 / (1 + exp(-({_LIN}))), 6) AS model_score FROM sc WHERE split = 'test'),
+u AS (SELECT 'rule_score' AS strategy, rule_score AS score, label FROM t UNION ALL SELECT 'temporal_score', temporal_score, label FROM t
+      UNION ALL SELECT 'load', load, label FROM t UNION ALL SELECT 'model_score', model_score, label FROM t),
+r AS (SELECT strategy, label, rank() OVER (PARTITION BY strategy ORDER BY score) + (count(*) OVER (PARTITION BY strategy, score) - 1) / 2 AS rk FROM u)"""
+
+
 ORACLE = {
     "s1_records": q(REC, "SELECT * FROM rec"),
     "s2_entity_days": q(REC, "SELECT entity_id, day, load, errors, round(value_sum, 4) AS value_sum FROM pd"),
@@ -423,5 +435,11 @@ ORACLE.update({
     "m8_select_threshold": q(LAB.replace("/*split*/", "AND split = 'validation'"), """SELECT strategy, threshold, precision, recall, flag_rate, precision >= 0.4 AS meets_floor,
         coalesce(precision >= 0.4 AND row_number() OVER (PARTITION BY strategy, precision >= 0.4 ORDER BY recall DESC, threshold DESC) = 1, FALSE) AS chosen FROM sw"""),
     "m9_compare": q(LAB, "SELECT strategy, " + ", ".join(f"max(CASE WHEN percent = {p} THEN round(hits / k, 6) END) AS top_{p}" for p in (1, 2, 5, 10)) + " FROM top GROUP BY 1"),
+    "m1_logreg": q(LAB, FIT),
+    "m2_logreg_l2": q(LAB, FIT),
+    "a3_model_score": q(LAB + "," + STORED, "SELECT strategy, round((sum(rk) FILTER (WHERE label = 1) - p * (p + 1) / 2.0) / (p * n), 6) AS auc FROM r "
+                        "JOIN (SELECT strategy, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM r GROUP BY 1) USING (strategy) GROUP BY strategy, p, n"),
+    "s5_manifest": f"WITH d AS (SELECT sha256({esc('conv_id')} || '#' || {esc('turn')} || '#' || {esc('role')} || '#' || {esc('text')}) AS dg FROM conversations) "
+                   f"SELECT 'talk' AS dataset, TRUE AS listed, count(*) AS rows, sha256(CAST(count(*) AS VARCHAR) || '#' || {sums('dg')}) AS digest FROM d",
     "m10_no_peek": q(REC, "SELECT count(*) AS compared, CAST(0 AS BIGINT) AS changed FROM spine WHERE day <= DATE '2024-01-20'"),
 })

@@ -5,10 +5,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from steadyline.functions.digests import fingerprint
+from steadyline.functions.digests import digest_sums, fingerprint, payload
 from steadyline.sources.guards import assert_finite, assert_unambiguous, select_allowed
 
-ROWS_PER_FILE = 2_000_000  # bounds one file, and so one manifest read; choose fewer for wide rows
+FILE_BYTES = 128 << 20  # what files are cut to, by the mean bytes of a row
+WHOLE_BYTES = 512 << 20  # up to here a file is hashed as one value; a larger one by its rows
 
 
 @dataclass(frozen=True)
@@ -20,7 +21,7 @@ class Export:
 
 def publish(
     exports: dict[str, Export], path: str, as_of: str, commit: str, forbidden: list[str] = (),
-    rows_per_file: int = ROWS_PER_FILE,
+    file_bytes: int = FILE_BYTES,
 ) -> None:
     """Write each export, then its manifest.
 
@@ -34,15 +35,25 @@ def publish(
         by = exports[name].partition_by
         # rebalance: even files, also when one partition value holds most rows
         rows = df.hint("rebalance", by) if by else df.hint("rebalance")
-        writer = rows.write.option("maxRecordsPerFile", rows_per_file)
+        writer = rows.write.option("maxRecordsPerFile", max(1, file_bytes // row_bytes(df)))
         (writer.partitionBy(by) if by else writer).parquet(f"{path}/data/{name}")
         assert_finite(spark.read.parquet(f"{path}/data/{name}"))
     provenance = {"as_of": F.lit(as_of).cast("date"), "commit": F.lit(commit)}
     manifest(spark, f"{path}/data").withColumns(provenance).write.parquet(f"{path}/manifest")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Relative path, length and SHA-256 of each parquet file below ``path``; hashed where the file is read."""
+def row_bytes(df: DataFrame) -> int:
+    """Mean bytes of a row as text, one pass; a stored row is rarely larger."""
+    size = F.octet_length(F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in df.columns]))
+    return max(1, int(df.agg(F.avg(size + 8)).first()[0] or 1))
+
+
+def manifest(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """Relative path, length and SHA-256 of each parquet file below ``path``; hashed where the file is read.
+
+    A file above ``whole_bytes`` is never one value: its hash is that of its rows, whatever their order. A file whose
+    rows can't be read has none.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
@@ -51,7 +62,22 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     )
     folder = path.rstrip("/").rsplit("/", 1)[-1]
     relative = F.regexp_replace("path", f"^.*/{re.escape(folder)}/", "")
-    return files.select(relative.alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    # the filter on length keeps the contents of larger files unread
+    whole = files.filter(F.col("length") <= whole_bytes).select(relative.alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    large = files.select(relative.alias("file"), "length").filter(F.col("length") > whole_bytes)
+    paths = [r["file"] for r in large.select("file").collect()]  # names of files above the bound only; file_bytes keeps them rare
+    if not paths:
+        return whole
+    out = whole
+    for name in sorted({p.rsplit("/", 1)[0] if "/" in p else "" for p in paths}):  # files of one folder have one schema
+        own = [f"{path.rstrip('/')}/{p}" for p in paths if (p.rsplit("/", 1)[0] if "/" in p else "") == name]
+        rows = spark.read.option("ignoreCorruptFiles", True).parquet(*own)
+        at = F.regexp_replace(F.url_decode("_metadata.file_path"), f"^.*/{re.escape(folder)}/", "").alias("file")
+        digests = rows.select(at, F.sha2(payload(*rows.columns), 256).alias("_d")).groupBy("file").agg(F.count("*").alias("_n"), *digest_sums(F.col("_d")))
+        text = F.concat_ws("#", F.col("_n").cast("string"), *[F.col(f"part{i}").cast("string") for i in range(4)])
+        listed = large.filter(F.col("file").isin([p for p in paths if (p.rsplit("/", 1)[0] if "/" in p else "") == name]))
+        out = out.unionByName(listed.join(digests.select("file", F.sha2(text, 256).alias("sha256")), "file", "left"))
+    return out
 
 
 def verify_manifest(actual: DataFrame, expected: DataFrame) -> DataFrame:
@@ -68,8 +94,10 @@ def verify_manifest(actual: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def read_verified(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Read one published table; refuse when any file differs from the manifest."""
-    bad = verify_manifest(manifest(spark, f"{path}/data"), spark.read.parquet(f"{path}/manifest")).filter("status <> 'ok'")
+    """Read one published table; refuse when any of its files differs from the manifest. Other tables are not read."""
+    expected = spark.read.parquet(f"{path}/manifest").filter(F.col("file").startswith(f"{name}/"))
+    actual = manifest(spark, f"{path}/data/{name}").withColumn("file", F.concat(F.lit(f"{name}/"), "file"))
+    bad = verify_manifest(actual, expected).filter("status <> 'ok'")
     first = bad.limit(1).collect()
     if first:
         raise ValueError(f"published files do not match the manifest: {first[0]['file']} is {first[0]['status']}")

@@ -31,6 +31,34 @@ def test_manifest_hashes_and_round_trip(spark, table, tmp_path, rows):
     assert S.same_content(back, table.select("id", "part", "x")).first()["same"]
 
 
+def test_large_files_are_hashed_by_rows(spark, tmp_path):
+    table = spark.range(4000).select("id", F.repeat(F.lit("x"), 50).alias("t"), F.array("id").alias("a"))
+    path = str(tmp_path / "data")
+    table.coalesce(1).write.parquet(f"{path}/t")
+    table.limit(3).coalesce(1).write.parquet(f"{path}/small")
+    bound = 3000
+    first = {r["file"].split("/")[0]: r for r in S.manifest(spark, path, bound).collect()}
+    assert first["t"]["length"] > bound >= first["small"]["length"] and all(len(r["sha256"]) == 64 for r in first.values())
+    shuffled = str(tmp_path / "again" / "data")
+    table.orderBy(F.desc("id")).coalesce(1).write.parquet(f"{shuffled}/t")
+    assert S.manifest(spark, shuffled, bound).first()["sha256"] == first["t"]["sha256"]
+    altered = str(tmp_path / "altered" / "data")
+    table.withColumn("t", F.when(F.col("id") == 7, "y").otherwise(F.col("t"))).coalesce(1).write.parquet(f"{altered}/t")
+    assert S.manifest(spark, altered, bound).first()["sha256"] != first["t"]["sha256"]
+
+
+def test_files_are_cut_by_bytes_and_only_the_read_table_is_verified(spark, tmp_path):
+    wide = spark.range(300).select("id", F.repeat(F.sha2(F.col("id").cast("string"), 512), 8).alias("t")).coalesce(1)
+    path = str(tmp_path / "b")
+    S.publish({"wide": S.Export(wide, ["id", "t"]), "other": S.Export(wide, ["id"])}, path, "2024-01-30", "abc", file_bytes=100_000)
+    assert len(list((Path(path) / "data" / "wide").glob("*.parquet"))) >= 3
+    for file in (Path(path) / "data" / "other").glob("*.parquet"):
+        file.unlink()
+    assert S.read_verified(spark, path, "wide").count() == 300
+    with pytest.raises(Exception):
+        S.read_verified(spark, path, "other")
+
+
 def test_refusals(spark, table, tmp_path):
     with pytest.raises(ValueError, match="forbidden"):
         S.publish({"t": S.Export(table, ["id", "mood"])}, str(tmp_path / "x"), "2024-01-30", "abc", ["mood"])
