@@ -42,7 +42,7 @@ class Settings(NamedTuple):
 
 
 class Model(NamedTuple):
-    weights: np.ndarray  # float32, (SIDE, rows): rows for classes first
+    weights: np.ndarray  # float32, (rows, SIDE): rows for classes first
     leaf_tokens: np.ndarray
     leaf_words: np.ndarray
     end_count: int
@@ -131,10 +131,11 @@ def _features(before, bits: int, given: np.ndarray | None = None) -> np.ndarray:
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """(SIDE, tokens); weights lie class by class, so that a gather and a sum by row run over plain arrays."""
-    total = np.take(weights, rows[0], axis=1)
+    """(SIDE, tokens): weights are gathered row by row, probabilities are worked out class by class."""
+    total = np.take(weights, rows[0], axis=0)
     for k in range(1, N_FEATURES):
-        total += np.take(weights, rows[k], axis=1)
+        total += np.take(weights, rows[k], axis=0)
+    total = np.ascontiguousarray(total.T)
     total -= total.max(axis=0)
     np.exp(total, out=total)
     total /= total.sum(axis=0)
@@ -151,7 +152,7 @@ def _descended(weights: np.ndarray, before, leaf, s: Settings) -> np.ndarray:
     """One pass of adaptive gradient steps over the tokens; the new weights."""
     weights = weights.copy()
     squared = np.full(weights.shape, s.caution, np.float32)
-    gradient, step = (np.empty(weights.shape, np.float32) for _ in range(2))
+    sums, step = np.empty(weights.shape[::-1], np.float32), np.empty(weights.shape, np.float32)
     batch = max(1, min(s.batch, -(-len(leaf) // s.steps)))
     edge = 1 << s.first_bits
     for i in range(0, len(leaf), batch):
@@ -159,10 +160,13 @@ def _descended(weights: np.ndarray, before, leaf, s: Settings) -> np.ndarray:
         for (rows, target), own in zip(_rows(part, leaf[i : i + batch], s), (slice(0, edge), slice(edge, None))):
             error = _softmax(weights, rows)
             error[target, np.arange(len(target))] -= 1.0
-            flat = rows.reshape(-1) - own.start
-            each = np.tile(error.astype(np.float64), N_FEATURES)
+            flat = rows[1:].reshape(-1) - own.start
             for j in range(SIDE):
-                gradient[j, own] = np.bincount(flat, weights=each[j], minlength=gradient[j, own].size)
+                sums[j, own] = np.bincount(flat, weights=np.tile(error[j], N_FEATURES - 1), minlength=sums[j, own].size)
+            # the bias has one row, or one for each class: a small product
+            bias, of = np.unique(rows[0], return_inverse=True)
+            sums[:, bias] += error @ (of[:, None] == np.arange(len(bias))).astype(np.float32)
+        gradient = np.ascontiguousarray(sums.T)
         squared += np.multiply(gradient, gradient, out=step)
         np.sqrt(squared, out=step)
         np.divide(gradient, step, out=step)
@@ -240,7 +244,7 @@ class LanguageModel:
         tokens[END_LEAF] += ends
         words[END_LEAF] += ends > 0
         self.answers = answers.where("chunk is not null").select("bucket", "chunk", "counts", "leaves")
-        weights = np.zeros((SIDE, (1 << s.first_bits) + (1 << s.second_bits)), np.float32)
+        weights = np.zeros(((1 << s.first_bits) + (1 << s.second_bits), SIDE), np.float32)
         for _ in range(s.rounds if ends else 0):
             weights = self._round(spark, weights, ends)
         self.model = Model(weights, tokens, words, ends, int(tokens.sum()), int(words.sum()))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from steadyline.llm.batches import slices, with_column
-from steadyline.llm.words import gram_hashes, gram_starts, hashes, mixed, words_of
+from steadyline.llm.words import gram_hashes, gram_starts, hashes, listed, mixed, words_of
 from steadyline.sources.staging import staged
 
 SCALE = 8.0
@@ -39,7 +39,7 @@ class Settings(NamedTuple):
 def occurrences(texts: pa.Array, bits: int):
     """For each kind of feature: (hashed feature, number of the text) of each occurrence; and words by text."""
     words = words_of(texts)
-    vocab = words.vocab.to_pylist()
+    vocab = listed(words.vocab)
     plain, _ = hashes(pa.array([w.lower() for w in vocab], pa.large_binary()))
     shape, _ = hashes(pa.array([RUN.sub(rb"\1", w.translate(SHAPES)) for w in vocab], pa.large_binary()))
     word, form = plain[words.code], shape[words.code]
