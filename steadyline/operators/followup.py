@@ -2,17 +2,10 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# rule -> support option, with the mapping's own version (this library's own values)
-SUPPORT_MAPPING = [
-    ("load_above_own_normal", "review_workload", "m1"),
-    ("errors_above_own_normal", "offer_practice_time", "m1"),
-    ("no_free_day", "schedule_free_day", "m1"),
-    ("normal_has_drifted_up", "review_workload", "m1"),
-]
 
-
-def mapping_table(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame(SUPPORT_MAPPING, "rule string, option string, mapping_version string")
+def mapping_table(df: DataFrame, mapping: list[tuple[str, str, str]]) -> DataFrame:
+    """Rule -> support option, with the mapping's own version."""
+    return df.sparkSession.createDataFrame(mapping, "rule string, option string, mapping_version string")
 
 
 def support_options(found: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -32,8 +25,8 @@ def duty_days(duties: DataFrame) -> DataFrame:
     return whole.select("entity_id", F.explode(F.sequence(first, last)).alias("day")).distinct()
 
 
-def feasibility(cases: DataFrame, busy_days: DataFrame, within: int = 3) -> DataFrame:
-    """now: the next day is free; with_adjustment: a later day within reach is; constrained: none is.
+def feasibility(cases: DataFrame, busy_days: DataFrame, names: tuple[str, str, str], within: int = 3) -> DataFrame:
+    """First of ``names``: the next day is free; second: a later day within reach is; third: none is.
 
     Each case asks about ``within`` days and meets at most one row per entity and day, so there is no interval join.
     """
@@ -47,9 +40,9 @@ def feasibility(cases: DataFrame, busy_days: DataFrame, within: int = 3) -> Data
         F.min(F.when(F.col("_busy").isNull(), F.col("_offset"))).alias("first_free"),
     )
     schedulable = (
-        F.when(F.col("first_free") == 1, F.lit("now"))
-        .when(F.col("first_free").isNotNull(), F.lit("with_adjustment"))
-        .otherwise(F.lit("constrained"))
+        F.when(F.col("first_free") == 1, F.lit(names[0]))
+        .when(F.col("first_free").isNotNull(), F.lit(names[1]))
+        .otherwise(F.lit(names[2]))
     )
     return per_case.withColumn("feasibility", schedulable)
 
@@ -94,8 +87,8 @@ def follow_through(followups: DataFrame, roster: DataFrame) -> DataFrame:
     )
 
 
-def next_step(cases: DataFrame, options: DataFrame, feasible: DataFrame) -> DataFrame:
-    """First matching step; ``cases`` carries the replayed state."""
+def next_step(cases: DataFrame, options: DataFrame, feasible: DataFrame, names: tuple[str, str, str]) -> DataFrame:
+    """First matching step; ``cases`` carries the replayed state, ``names`` are those of ``feasibility``."""
     joined = cases.join(options.select("case_id", "options"), "case_id", "left").join(
         feasible.select("case_id", "feasibility"), "case_id", "left"
     )
@@ -103,8 +96,8 @@ def next_step(cases: DataFrame, options: DataFrame, feasible: DataFrame) -> Data
         F.when(F.col("state") == "closed", F.lit("none"))
         .when(F.col("state").isin("open", "reopened"), F.lit("acknowledge"))
         .when(F.col("options").isNull(), F.lit("talk_first"))
-        .when(F.col("feasibility") == "now", F.lit("schedule_support"))
-        .when(F.col("feasibility") == "with_adjustment", F.lit("arrange_support_day"))
+        .when(F.col("feasibility") == names[0], F.lit("schedule_support"))
+        .when(F.col("feasibility") == names[1], F.lit("arrange_support_day"))
         .otherwise(F.lit("escalate_scheduling"))
     )
     return joined.withColumn("next_step", step)

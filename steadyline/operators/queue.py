@@ -21,9 +21,10 @@ def queue_for(cases: DataFrame, account_id: str, accounts: DataFrame, matrix: Da
     return authorised(cases, account_id, accounts, matrix, purpose).orderBy(*_order()).limit(k)
 
 
-def staleness(cases: DataFrame, as_of: Column, policy: Policy) -> DataFrame:
+def staleness(cases: DataFrame, as_of: Column, policy: Policy, wording: str) -> DataFrame:
+    """Age of each case in days; ``wording`` is a format with one number, for those past the policy's limit."""
     age = F.date_diff(as_of, F.col("case_day"))
-    chip = F.when(age > policy.stale_after, F.concat(F.lit("older data: "), age.cast("string"), F.lit(" days")))
+    chip = F.when(age > policy.stale_after, F.format_string(wording, age))
     return cases.withColumns({"age_days": age, "stale": age > policy.stale_after, "chip": chip})
 
 
@@ -35,14 +36,11 @@ def queue_header(cases: DataFrame, due: DataFrame, warnings: DataFrame) -> DataF
     ).select("open", "in_review", due.scalar().alias("followups_due"), warnings.scalar().alias("warnings"))
 
 
-DEFAULT_REASON = "no new change; open until a person closes it"
-
-
-def surfacing_reason(explained: DataFrame) -> DataFrame:
-    """The strongest factor in words, or a coded default."""
+def surfacing_reason(explained: DataFrame, default: str) -> DataFrame:
+    """The strongest factor in words, or the ``default``."""
     top = F.try_element_at("factors", F.lit(1))
     words = F.concat(top["metric"], F.lit(": "), top["rule"])
-    return explained.withColumn("surfaced", F.coalesce(words, F.lit(DEFAULT_REASON)))
+    return explained.withColumn("surfaced", F.coalesce(words, F.lit(default)))
 
 
 def signal_drift(cases: DataFrame, flags: DataFrame) -> DataFrame:

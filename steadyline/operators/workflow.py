@@ -8,42 +8,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from steadyline.functions.ordered import Ordered, replay_states, state_letters
 
-# states and allowed moves (this library's own graph)
-STATES = ["open", "acknowledged", "in_review", "support_planned", "support_completed", "closed", "reopened"]
-TRANSITIONS = [
-    ("acknowledge", "open", "acknowledged"),
-    ("acknowledge", "reopened", "acknowledged"),
-    ("start_review", "acknowledged", "in_review"),
-    ("progress_support", "in_review", "support_planned"),
-    ("progress_support", "support_planned", "support_completed"),
-    ("close", "support_completed", "closed"),
-    ("close", "in_review", "closed"),
-    ("reopen", "closed", "reopened"),
-]
-
-
-def transition_table(df: DataFrame, transitions=TRANSITIONS) -> DataFrame:
-    return df.sparkSession.createDataFrame(transitions, "action string, from_state string, to_state string")
-
 
-def _letter(state: str) -> str:
-    return state_letters(len(STATES))[STATES.index(state)]
+def transition_table(df: DataFrame, transitions: list[tuple[str, str, str]]) -> DataFrame:
+    return df.sparkSession.createDataFrame(transitions, "action string, from_state string, to_state string")
 
 
-def _state_name(number: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in STATES]), number + 1)
+def _state_name(number: Column, states: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(s) for s in states]), number + 1)
 
 
-def _moves(transitions) -> Column:
+def _moves(states, transitions) -> Column:
     """Struct (source, target): letters of the states that this action leaves and reaches.
 
     Looked up by action and expected state; a stated expectation narrows the move to that one state.
     """
-    table = {}
+    table, letter = {}, dict(zip(states, state_letters(len(states))))
     for action, a, b in transitions:
         source, target = table.get((action, "*"), ("", ""))
-        table[(action, "*")] = (source + _letter(a), target + _letter(b))
-        table[(action, a)] = (_letter(a), _letter(b))
+        table[(action, "*")] = (source + letter[a], target + letter[b])
+        table[(action, a)] = (letter[a], letter[b])
 
     def move(source: str, target: str) -> Column:
         return F.struct(F.lit(source).alias("source"), F.lit(target).alias("target"))
@@ -53,17 +36,20 @@ def _moves(transitions) -> Column:
     return F.coalesce(F.create_map(*entries)[key], move("", ""))
 
 
-def replay(actions: DataFrame, codes: list[str] | None = None, transitions=TRANSITIONS) -> DataFrame:
+def replay(
+    actions: DataFrame, states: list[str], transitions: list[tuple[str, str, str]], codes: list[str] | None = None
+) -> DataFrame:
     """Each action with the state before and after it, whether it was accepted, and the reason if not.
 
+    ``transitions``: (action, from, to) over ``states``, of which the first is where a case begins.
     ``actions`` columns: case_id, ts, seq (unique), action, expected_state (NULL: not stated), reason_code, ...
     With ``codes``, an action without a listed reason code is refused too.
     """
     reasoned = F.lit(True) if codes is None else F.coalesce(F.col("reason_code").isin(codes), F.lit(False))
-    move = _moves(transitions)
+    move = _moves(states, transitions)
     source, target = [F.when(reasoned, move[c]).otherwise(F.lit("")) for c in ("source", "target")]
-    rows = replay_states(actions, "case_id", ["ts", "seq"], source, target, len(STATES), STATES.index("open"))
-    before = _state_name(F.col("state_before"))
+    rows = replay_states(actions, "case_id", ["ts", "seq"], source, target, len(states), 0)
+    before = _state_name(F.col("state_before"), states)
     moved = F.col("state_before") != F.col("state_after")
     refusal = (
         F.when(moved, F.lit(None).cast("string"))
@@ -74,7 +60,7 @@ def replay(actions: DataFrame, codes: list[str] | None = None, transitions=TRANS
     return rows.select(
         *actions.columns,
         before.alias("from_state"),
-        _state_name(F.col("state_after")).alias("to_state"),
+        _state_name(F.col("state_after"), states).alias("to_state"),
         moved.alias("accepted"),
         refusal.alias("refusal"),
     )

@@ -150,6 +150,26 @@ ACTION_OF = {
     "signup": "reopen",
 }
 REASON_CODES = [f"R{i}" for i in range(10)]
+STATES = ["open", "acknowledged", "in_review", "support_planned", "support_completed", "closed", "reopened"]
+TRANSITIONS = [
+    ("acknowledge", "open", "acknowledged"),
+    ("acknowledge", "reopened", "acknowledged"),
+    ("start_review", "acknowledged", "in_review"),
+    ("progress_support", "in_review", "support_planned"),
+    ("progress_support", "support_planned", "support_completed"),
+    ("close", "support_completed", "closed"),
+    ("close", "in_review", "closed"),
+    ("reopen", "closed", "reopened"),
+]
+SUPPORT_MAPPING = [
+    ("load_above_own_normal", "review_workload", "m1"),
+    ("errors_above_own_normal", "offer_practice_time", "m1"),
+    ("no_free_day", "schedule_free_day", "m1"),
+    ("normal_has_drifted_up", "review_workload", "m1"),
+]
+FEASIBILITY = ("now", "with_adjustment", "constrained")
+OLDER = "older data: %d days"
+UNSURFACED = "no new change; open until a person closes it"
 LOG_ROLES = ["reviewer", "lead", "auditor"]
 LOG_PURPOSES = ["support", "aggregate", "audit"]
 
@@ -170,7 +190,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         F.col("event_id").alias("seq"),
         action.alias("action"),
-        F.when(F.col("k") % 4 == 0, _pick(workflow.STATES, F.col("k") % 7)).alias("expected_state"),
+        F.when(F.col("k") % 4 == 0, _pick(STATES, F.col("k") % 7)).alias("expected_state"),
         F.concat(F.lit("R"), (F.col("k") % 12).cast("string")).alias("reason_code"),
         _pick(LOG_ROLES, F.col("k") % 3).alias("role"),
         _pick(LOG_PURPOSES, F.floor(F.col("k") / 2) % 3).alias("purpose"),
@@ -178,7 +198,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workflow.replay(actions(spark, sf_dir), REASON_CODES)
+    return workflow.replay(actions(spark, sf_dir), STATES, TRANSITIONS, REASON_CODES)
 
 
 def cases_with_state(spark: SparkSession, sf_dir: str, cases: DataFrame) -> DataFrame:

@@ -524,7 +524,7 @@ def r2_queue_for(spark, sf):
 def r3_staleness(spark, sf):
     flagged, cases = flow.flags_and_cases(spark, sf)
     as_of = flagged.agg(F.max("day").alias("d")).scalar()
-    return R.staleness(cases, as_of, P).select("case_id", "age_days", "stale", "chip")
+    return R.staleness(cases, as_of, P, flow.OLDER).select("case_id", "age_days", "stale", "chip")
 
 
 @query
@@ -539,7 +539,7 @@ def r4_queue_header(spark, sf):
 
 @query
 def r5_surfacing_reason(spark, sf):
-    return R.surfacing_reason(E.explain(*_explained(spark, sf))).select("case_id", "surfaced")
+    return R.surfacing_reason(E.explain(*_explained(spark, sf)), flow.UNSURFACED).select("case_id", "surfaced")
 
 
 @query
@@ -597,7 +597,7 @@ def w8_feedback(spark, sf):
 
 
 # an older graph: cases could be closed unread, and not out of a running review
-EARLIER_TRANSITIONS = [t for t in W.TRANSITIONS if t != ("close", "in_review", "closed")] + [("close", "open", "closed")]
+EARLIER_TRANSITIONS = [t for t in flow.TRANSITIONS if t != ("close", "in_review", "closed")] + [("close", "open", "closed")]
 
 
 @query
@@ -612,13 +612,13 @@ def w9_graph_drift(spark, sf):
 
 
 def _feasible(spark, sf, cases):
-    return U.feasibility(cases, U.duty_days(flow.duties(spark, sf)))
+    return U.feasibility(cases, U.duty_days(flow.duties(spark, sf)), flow.FEASIBILITY)
 
 
 @query
 def f1_support_options(spark, sf):
     found = _explained(spark, sf)[1]
-    out = U.support_options(found, U.mapping_table(found))
+    out = U.support_options(found, U.mapping_table(found, flow.SUPPORT_MAPPING))
     return out.select("case_id", "mapping_version", F.concat_ws(",", "options").alias("options"))
 
 
@@ -647,8 +647,8 @@ def f5_follow_through(spark, sf):
 @query
 def f6_next_step(spark, sf):
     cases, found = _explained(spark, sf)
-    options = U.support_options(found, U.mapping_table(found))
-    out = U.next_step(flow.cases_with_state(spark, sf, cases), options, _feasible(spark, sf, cases))
+    options = U.support_options(found, U.mapping_table(found, flow.SUPPORT_MAPPING))
+    out = U.next_step(flow.cases_with_state(spark, sf, cases), options, _feasible(spark, sf, cases), flow.FEASIBILITY)
     return out.select("case_id", "state", "feasibility", "next_step")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from steadyline.config import Policy
 from steadyline.operators import explain as E, followup as U, queue as R, summary as S
+from steadyline.plans import flow
 
 P = Policy()
 
@@ -55,8 +56,8 @@ def test_factors_and_order(cases, found):
 
 def test_factor_count_and_absence(cases, found, rows):
     assert rows(E.factor_count(cases, found), "case_id", "factors") == [("c1", 4), ("c2", 0), ("c3", 0), ("c4", 1)]
-    said = {r["case_id"]: r["surfaced"] for r in R.surfacing_reason(E.explain(cases, found)).collect()}
-    assert said["c1"] == "errors: errors_above_own_normal" and said["c2"] == R.DEFAULT_REASON
+    said = {r["case_id"]: r["surfaced"] for r in R.surfacing_reason(E.explain(cases, found), "nothing new").collect()}
+    assert said["c1"] == "errors: errors_above_own_normal" and said["c2"] == "nothing new"
 
 
 def test_untraceable(found):
@@ -91,7 +92,7 @@ def test_queue_order_scope_and_limit(spark, cases):
 
 
 def test_staleness_header_drift(spark, cases):
-    stale = {r["case_id"]: r["chip"] for r in R.staleness(cases, F.lit(d(27)), P).collect()}
+    stale = {r["case_id"]: r["chip"] for r in R.staleness(cases, F.lit(d(27)), P, flow.OLDER).collect()}
     assert stale["c1"] is None and stale["c4"] == "older data: 22 days"
     one = spark.range(1).select(F.lit(3).alias("n"))
     assert tuple(R.queue_header(cases, one, one).first()) == (3, 1, 3, 3)
@@ -116,16 +117,16 @@ def test_feasibility(spark, cases, rows):
         ],
         "entity_id bigint, start_ts timestamp_ntz, end_ts timestamp_ntz",
     )
-    got = rows(U.feasibility(cases, U.duty_days(duties)), "case_id", "busy_days", "feasibility")
+    got = rows(U.feasibility(cases, U.duty_days(duties), flow.FEASIBILITY), "case_id", "busy_days", "feasibility")
     assert got == [("c1", 0, "now"), ("c2", 1, "with_adjustment"), ("c3", 3, "constrained"), ("c4", 0, "now")]
 
 
 def test_options_and_next_step(spark, cases, found):
-    options = U.support_options(found, U.mapping_table(found))
+    options = U.support_options(found, U.mapping_table(found, flow.SUPPORT_MAPPING))
     by_case = {r["case_id"]: r["options"] for r in options.collect()}
     assert by_case == {"c1": ["offer_practice_time", "review_workload", "schedule_free_day"], "c4": ["review_workload"]}
     feasible = spark.createDataFrame([("c2", "now")], "case_id string, feasibility string")
-    steps = {r["case_id"]: r["next_step"] for r in U.next_step(cases, options, feasible).collect()}
+    steps = {r["case_id"]: r["next_step"] for r in U.next_step(cases, options, feasible, flow.FEASIBILITY).collect()}
     assert steps == {"c1": "acknowledge", "c2": "talk_first", "c3": "none", "c4": "acknowledge"}
 
 

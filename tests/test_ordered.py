@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from steadyline.functions import ordered
 from steadyline.functions.ordered import Ordered
 from steadyline.operators import workflow as W
+from steadyline.plans import flow
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +53,7 @@ def test_descending_order_and_no_key(hot):
 
 
 def brute_replay(log, codes):
-    edges = {(a, s): t for a, s, t in W.TRANSITIONS}
+    edges = {(a, s): t for a, s, t in flow.TRANSITIONS}
     out, state = {}, {}
     for case, ts, seq, action, want, reason in sorted(log, key=lambda r: (r[1], r[2])):
         now = state.get(case, "open")
@@ -73,11 +74,11 @@ def brute_replay(log, codes):
 @pytest.fixture(scope="module")
 def log():
     rng = random.Random(3)
-    actions = sorted({t[0] for t in W.TRANSITIONS})
+    actions = sorted({t[0] for t in flow.TRANSITIONS})
     return [
         (
             1 if i % 3 == 0 else rng.randrange(2, 12), rng.randrange(200), i, rng.choice(actions),
-            rng.choice(W.STATES) if rng.random() < 0.2 else None, rng.choice(["R1", "R1", "R1", None, "bad"]),
+            rng.choice(flow.STATES) if rng.random() < 0.2 else None, rng.choice(["R1", "R1", "R1", None, "bad"]),
         )
         for i in range(700)
     ]
@@ -89,14 +90,14 @@ SCHEMA = "case_id int, ts int, seq int, action string, expected_state string, re
 @pytest.mark.parametrize("block", [1, 3, 256])
 def test_replay_matches_row_by_row(spark, log, block, monkeypatch):
     monkeypatch.setattr(ordered, "BLOCK_ROWS", block)
-    got = W.replay(spark.createDataFrame(log, SCHEMA), ["R1"]).collect()
+    got = W.replay(spark.createDataFrame(log, SCHEMA), flow.STATES, flow.TRANSITIONS, ["R1"]).collect()
     want = brute_replay(log, {"R1"})
     assert {r["seq"]: (r["from_state"], r["to_state"], r["accepted"], r["refusal"]) for r in got} == want
     assert len(got) == len(log)
 
 
 def test_states_history_conflicts_reopens(spark, log):
-    replayed = W.replay(spark.createDataFrame(log, SCHEMA).withColumn("role", F.lit("r")), ["R1"]).cache()
+    replayed = W.replay(spark.createDataFrame(log, SCHEMA).withColumn("role", F.lit("r")), flow.STATES, flow.TRANSITIONS, ["R1"]).cache()
     want = brute_replay(log, {"R1"})
     last = {}
     for case, ts, seq, *_ in sorted(log, key=lambda r: (r[1], r[2])):
@@ -117,7 +118,7 @@ def test_states_history_conflicts_reopens(spark, log):
 def test_full_path_and_second_writer(spark):
     path = ["acknowledge", "start_review", "progress_support", "progress_support", "close", "reopen", "acknowledge"]
     rows = [(1, i, i, a, None, "R1") for i, a in enumerate(path)] + [(1, 7, 7, "start_review", "open", "R1")]
-    got = W.replay(spark.createDataFrame(rows, SCHEMA)).orderBy("seq").collect()
+    got = W.replay(spark.createDataFrame(rows, SCHEMA), flow.STATES, flow.TRANSITIONS).orderBy("seq").collect()
     assert [r["to_state"] for r in got][:7] == [
         "acknowledged", "in_review", "support_planned", "support_completed", "closed", "reopened", "acknowledged",
     ]
@@ -146,7 +147,7 @@ def test_missing_reason_and_drift(spark, rows, log):
     df = spark.createDataFrame(log, SCHEMA)
     codes = spark.createDataFrame([("R1",)], "reason_code string")
     assert W.missing_reason(df, codes).count() == sum(r[5] != "R1" for r in log)
-    a = W.transition_table(df)
+    a = W.transition_table(df, flow.TRANSITIONS)
     assert W.graph_drift(a, a).count() == 0
-    b = W.transition_table(df, W.TRANSITIONS[1:])
+    b = W.transition_table(df, flow.TRANSITIONS[1:])
     assert rows(W.graph_drift(a, b)) == [("acknowledge", "open", "acknowledged", "first")]
