@@ -79,7 +79,7 @@ class _Chunk:
         text = self.words.text_no()
         bits = np.unpackbits((self.hash & np.uint64(255)).astype(np.uint8)[:, None], axis=1, bitorder="little")
         signs = (bits.astype(np.int8) * 2 - 1)[self.words.code]
-        total, near = np.zeros((len(text), BITS), np.int32), np.zeros(len(text), np.int32)
+        total, near = np.zeros((len(text), BITS), np.int8), np.zeros(len(text), np.int8)  # a few neighbours at most
         for d in NEAR:
             if len(text) <= d:
                 continue
@@ -90,7 +90,8 @@ class _Chunk:
             near[:-d] += same[:, 0]
         at = self.place[learnt]
         count = np.bincount(at, minlength=n)
-        sums = np.stack([np.bincount(at, weights=total[learnt, j], minlength=n) for j in range(BITS)], axis=1)
+        total = np.ascontiguousarray(total[learnt].T)
+        sums = np.stack([np.bincount(at, weights=total[j], minlength=n) for j in range(BITS)], axis=1)
         return count.astype(np.int64), np.bincount(at, weights=near[learnt], minlength=n).astype(np.int64), sums.astype(np.int64)
 
     def answered(self, answers: pa.Table):
@@ -164,8 +165,12 @@ def _descended(weights: np.ndarray, before, leaf, s: Settings) -> np.ndarray:
             for j in range(SIDE):
                 sums[j, own] = np.bincount(flat, weights=np.tile(error[j], N_FEATURES - 1), minlength=sums[j, own].size)
             # the bias has one row, or one for each class: a small product
-            bias, of = np.unique(rows[0], return_inverse=True)
-            sums[:, bias] += error @ (of[:, None] == np.arange(len(bias))).astype(np.float32)
+            of = leaf[i : i + batch] // SIDE if own.start else np.zeros(len(target), np.int64)
+            bias = np.full(SIDE, -1)
+            bias[of] = rows[0]
+            for j, total in enumerate((error @ (of[:, None] == np.arange(SIDE)).astype(np.float32)).T):
+                if bias[j] >= 0:
+                    sums[:, bias[j]] += total
         gradient = np.ascontiguousarray(sums.T)
         squared += np.multiply(gradient, gradient, out=step)
         np.sqrt(squared, out=step)
