@@ -1,6 +1,6 @@
 """One query for each operator, on whole tables, in the columns that its contract fixes."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from steadyline.llm import chat, decontamination, embeddings, lattice, maxent, quality, secrets, simhash, substrings, warc
 from steadyline.sources.staging import staged
@@ -58,8 +58,11 @@ def op7_chat_formatting(spark, sf_dir):
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.createDataFrame([(-1, 0, "user", HARD_TEXT), (-1, 1, "assistant", HARD_TEXT)], given.schema)
     rows = given.unionByName(hard)
-    # each row is a message that came in one piece
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message"), F.lit(chat.DELTA).alias("kind"), "role", "text")
+    # each row is a message that came in one piece; rows that share a turn are messages of their own
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint")
+    events = rows.select("conv_id", "turn", "role", "text", place.alias("message")).select(
+        "conv_id", F.col("turn").alias("seq"), "message", F.lit(chat.DELTA).alias("kind"), "role", "text"
+    )
     formatted = staged(chat.rendered(chat.folded(events)), "formatted")
     back = chat.read_back(formatted)
     log = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
