@@ -372,7 +372,7 @@ def encoded(docs: DataFrame, p: Pieces, k: int = 2, seed: int = 42, key: str = "
     def run(batches):
         p = held.value._replace(text=cache.setdefault("text", pa.array(held.value.text, pa.large_binary())))
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
+            for part in slices(batch, "text", 1 << 18):
                 texts = part.column("text").cast(pa.large_binary()).fill_null(b"").to_pylist()
                 data, lat, leaves, out, kappa, first = searched(texts, _seeds(part.column(key).to_pylist(), seed), k, p)
                 wanted = np.frombuffer(data, np.uint8)
