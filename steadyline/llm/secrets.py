@@ -16,7 +16,8 @@ STRONG = {
 }
 WEAK = {
     "account": (r"""((?i)user_?name|user|login|account|client_?id)(?-i)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]+)""", 2, 3),
-    "part": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{32,64}(?![A-Za-z0-9+/_=-])", 0, 32),
+    # of any length, plain or URL-safe, padded or not; a name before its '=' is none, nor is a ruled line
+    "part": (r"(?<![A-Za-z0-9+/_-])(?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{32,}+={0,2}+(?![A-Za-z0-9+/_=-])", 0, 32),
     "endpoint": (r"""(?i:https?|ftp|jdbc:[a-z]+|postgres|mysql|redis|amqp)://[^\s"'<>]+""", 0, 8),
 }
 KINDS = [*STRONG, *WEAK]

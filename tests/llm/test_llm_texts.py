@@ -178,6 +178,22 @@ def test_redacted(spark):
     assert got[10].text.startswith("[SECRET]\" then") and {r.k1 for r in out.collect()} == {"a"}
 
 
+def test_parts_of_a_credential(spark):
+    access, key = "AKIA" + "IOSFODNN7EXAMPLE", "wJalrXUtnFEMI/K7MDENG/bPxRfiCY" + "EXAMPLEKEY"
+    padded, long, safe = "Ab1/" * 10 + "xyz=", "Cd2+" * 21 + "ef==", "Gh3_-" * 8
+    rule, name = "-" * 40, "A_NAME_THAT_IS_LONGER_THAN_A_KEY_IS"
+    texts = [
+        f"AWS_ACCESS_KEY_ID={access}\nAWS_SECRET_ACCESS_KEY={key}", f"{access} {padded} end", f"{access}\n{long}", f"{access}: '{safe}'",
+        f"{access} {rule} {name}=short", f"{name}={padded}", f"{access} k={'x' * 5000}",
+    ]
+    want = [[key], [padded], [long], [safe], [], [], ["x" * 5000]]
+    out = {r.doc_id: r.text for r in secrets.redacted(frame(spark, list(enumerate(texts)))).collect()}
+    got = {r.doc_id: r.spans for r in secrets.secrets(frame(spark, list(enumerate(texts)))).collect()}
+    for i, (text, parts) in enumerate(zip(texts, want)):
+        assert [text[s.start : s.end] for s in got[i] if secrets.KINDS[s.kind] == "part"] == parts
+        assert not any(p in out[i] for p in parts)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [], 1)
     items = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
