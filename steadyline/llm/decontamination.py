@@ -7,7 +7,7 @@ by a 128-bit hash of all their words, and touching ones make up the whole shared
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from steadyline.llm.batches import slices
 from steadyline.llm.words import ALNUM, gram_hashes, gram_starts, hashes, words_of
@@ -141,9 +141,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     words, and are no item. Repeated rows are judged alike. An item without an id marks words but is not listed;
     items of one id count once. No items at all: nothing is hit.
     """
+    return _judged(docs, items, window, share).drop("k1", "k2")
+
+
+def _keys() -> dict[str, Column]:
+    """What stands for a row's doc_id and text, also where the id is null or repeated."""
+    return {"k1": F.coalesce("doc_id", F.lit(0)), "k2": F.xxhash64("doc_id", "text")}
+
+
+def _judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
+    """contamination() with k1 and k2."""
     windows = staged(_item_windows(items, window), "windows")
     sizes = sorted(r.size for r in windows.select("size").distinct().collect())  # at most ``window`` values
-    keyed = docs.select("doc_id", "text").withColumns({"k1": F.coalesce("doc_id", F.lit(0)), "k2": F.xxhash64("doc_id", "text")})
+    keyed = docs.select("doc_id", "text").withColumns(_keys())
     met = _doc_prints(keyed.select("k1", "k2", "text"), sizes).join(windows.select("size", "print").distinct(), ["size", "print"], "left_semi")
     runs = staged(met.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("size", "first", "n")).alias("runs")), "runs")
     few = runs.count() <= BROADCAST_KEYS
@@ -168,15 +178,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     every = _counted(keyed).join(judged, ["k1", "k2"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     return every.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
+        "k1", "k2", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
         F.coalesce("items", F.array().cast("array<bigint>")).alias("items"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, **rule) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated; rows without a doc_id stay only if no such row is."""
-    bad = staged(contamination(docs, items, **rule).where("contaminated").select("doc_id").distinct(), "contaminated")
+    """The rows of ``docs`` that are not contaminated, each judged by its own text, also where doc_id is null or repeated."""
+    bad = staged(_judged(docs, items, **rule).where("contaminated").select("k1", "k2").distinct(), "contaminated")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
-    out = docs.alias("d").join(bad.alias("b"), F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")), "left_anti")
+    keys = _keys()
+    out = docs.withColumns({f"__{k}": c for k, c in keys.items()}).alias("d")
+    out = out.join(bad.alias("b"), (F.col("d.__k1") == F.col("b.k1")) & (F.col("d.__k2") == F.col("b.k2")), "left_anti")
     return out.select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -139,6 +139,17 @@ def test_contamination(spark, monkeypatch, broadcast):
     assert kept.columns == frame(spark, rows).columns
 
 
+def test_clean_judges_rows_and_not_ids(spark):
+    bad, good, other = (" ".join(f"{x}{i}" for i in range(20)) for x in "bgo")
+    rows = [(None, bad), (None, good), (None, None), (None, good), (3, bad), (3, good), (0, good), (4, other)]
+    items = spark.createDataFrame([(1, bad)], "item_id bigint, text string")
+    for limit in (500_000, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(decontamination, "BROADCAST_KEYS", limit)
+            got = decontamination.clean(frame(spark, rows), items).collect()
+        assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str(r) for r in rows if r[1] != bad)
+
+
 def test_no_items(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     got = decontamination.contamination(frame(spark, corpus()), none).collect()
