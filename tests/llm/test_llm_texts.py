@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+import xxhash
 from tests_llm_brute import BLANK, brute_base, brute_contamination, brute_groups, brute_print, grams
 
 from steadyline.llm import decontamination, secrets, simhash, substrings
@@ -83,6 +84,26 @@ def test_near_duplicates_and_dedup(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({i for i, t in rows if i is not None and least[groups[brute_print(t)]] == i})
 
 
+def test_dedup_keeps_a_row_of_each_component(spark):
+    say = lambda seed: " ".join(random.Random(seed).choice("abcdefghij") * 3 + str(i) for i in range(40))
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t, 42)) - (1 << 64 if h >> 63 else 0)
+    a, b, c, d = map(say, range(4))
+    rows = [(5, a), (5, b), (5, b), (6, b), (None, a), (None, c), (None, c), (None, c), (None, d), (2, d), (7, None), (None, None)]
+    groups = brute_groups([brute_print(t) for _, t in rows], 4)
+    assert len(set(groups.values())) == 5
+    first = {}
+    for i, t in rows:
+        row = (i is None, i or 0, signed(t or ""), i, t)
+        g = groups[brute_print(t)]
+        first[g] = min(first.get(g, row), row)
+    got = simhash.deduplicated(frame(spark, rows)).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in got) == sorted(str(r[3:]) for r in first.values())
+    assert {r.k1 for r in got} == {"a"} and len(got) == 5
+    # two texts of one component under one id: the least hash
+    near = [(1, "x y z"), (1, "X y z")]
+    assert [r.text for r in simhash.deduplicated(frame(spark, near)).collect()] == [min((t for _, t in near), key=signed)]
+
+
 # ---- substring dedup
 
 
