@@ -24,7 +24,7 @@ SAMPLES = 2
 
 def op2_sampled_segmentations(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    fields = ("sample", "n_pieces", "ids_xxh64", "log_prob", "inclusion", "exact")
+    fields = ("sample", "n_pieces", "ids", "ids_xxh64", "log_prob", "inclusion", "exact")
     return lattice.encoded(docs, lattice.pieces(PIECES), SAMPLES, fields=fields).drop("text")
 
 

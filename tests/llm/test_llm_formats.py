@@ -77,6 +77,11 @@ def test_dictionary_leads_and_each_record_is_a_frame():
     assert list(warc.records("a", b"")) == []
 
 
+def test_sampled_ids_are_returned(spark):
+    found = queries.op2_sampled_segmentations(spark, "/root/testdata/sf0.001").limit(50)
+    assert all(len(r.ids) == r.n_pieces and r.exact for r in found.collect())
+
+
 def test_faults_are_rows(spark):
     records, data = sample_archive()
     whole = list(warc.records("a", data))
