@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SKIPPABLE = 0x184D2A5D  # magic number of the frame that holds the dictionary
+SKIPPABLES = range(0x184D2A50, 0x184D2A60)  # all that Zstandard lets a reader step over
 FRAME = b"\x28\xb5\x2f\xfd"
 DICTIONARY = b"\x37\xa4\x30\xec"
 CRLF = b"\r\n"
@@ -68,14 +69,29 @@ def pack(records: list[bytes], level: int = 3) -> bytes:
     return lead + b"".join(packer.compress(r) for r in records)
 
 
+def _magic(data: memoryview, at: int) -> int | None:
+    return struct.unpack_from("<I", data, at)[0] if len(data) >= at + 8 else None
+
+
+def _skipped(data: memoryview, at: int) -> int:
+    """Where the skippable frame that begins at ``at`` ends."""
+    end = at + 8 + struct.unpack_from("<I", data, at + 4)[0]
+    if end > len(data):
+        raise ValueError("a skippable frame is cut off")
+    return end
+
+
 def _dictionary(data: memoryview) -> tuple[zstandard.ZstdCompressionDict | None, int]:
-    """The dictionary, if the archive leads with one, and where its records begin."""
-    if len(data) < 8 or struct.unpack_from("<I", data)[0] != SKIPPABLE:
-        return None, 0
-    end = 8 + struct.unpack_from("<I", data, 4)[0]
+    """The dictionary, if the archive leads with one, and where its records begin. Other skippable frames may come before."""
+    at = 0
+    while (magic := _magic(data, at)) in SKIPPABLES and magic != SKIPPABLE:
+        at = _skipped(data, at)
+    if magic != SKIPPABLE:
+        return None, at
+    end = 8 + at + struct.unpack_from("<I", data, at + 4)[0]
     if end > len(data):
         raise ValueError("the dictionary's frame is cut off")
-    content = bytes(data[8:end])
+    content = bytes(data[at + 8 : end])
     if content[:4] == FRAME:
         content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
     if content[:4] != DICTIONARY:
@@ -135,6 +151,9 @@ def records(name: str, content: bytes) -> Iterator[tuple]:
     reader = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     while at < len(data):
         try:
+            if _magic(data, at) in SKIPPABLES:
+                at = _skipped(data, at)
+                continue
             end = _frame_end(data, at)
         except (ValueError, zstandard.ZstdError) as e:
             yield fault(at, e)

@@ -77,6 +77,22 @@ def test_dictionary_leads_and_each_record_is_a_frame():
     assert list(warc.records("a", b"")) == []
 
 
+def test_skippable_frames_are_stepped_over():
+    records, data = sample_archive()
+    whole = list(warc.records("a", data))
+    extra = [struct.pack("<II", 0x184D2A50 + i, len(b)) + b for i, b in enumerate([b"", b"padding" * 9, b"x"])]
+    at = [r[1] for r in whole] + [len(data)]
+    padded = b"".join([*extra, data[: at[0]], extra[0], *[data[a:z] + extra[i % 3] for i, (a, z) in enumerate(zip(at, at[1:]))]])
+    padded += struct.pack("<II", 0x184D2A5D, 3) + b"abc"  # no dictionary so late
+    plain = lambda rows: [(r[0], *r[2:]) for r in rows]
+    assert plain(warc.records("a", padded)) == plain(whole)
+    few = warc.pack(records[:3])
+    assert plain(warc.records("a", extra[1] + few + extra[2])) == plain(warc.records("a", few))
+    cut = list(warc.records("a", data + extra[1][:-1]))
+    assert plain(cut[:-1]) == plain(whole) and "cut off" in cut[-1][9]
+    assert list(warc.records("a", extra[1])) == []
+
+
 def test_sampled_ids_are_returned(spark):
     found = queries.op2_sampled_segmentations(spark, "/root/testdata/sf0.001").limit(50)
     assert all(len(r.ids) == r.n_pieces and r.exact for r in found.collect())
