@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from steadyline.llm import chat, decontamination, embeddings, lattice, maxent, quality, secrets, simhash, substrings, warc
+from steadyline.llm import (
+    chat, decontamination, embeddings, lattice, maxent, quality, repair, secrets, simhash, substrings, warc, whitening,
+)
 from steadyline.sources.staging import staged
 
 
@@ -97,6 +99,14 @@ def op10_maxent_scoring(spark, sf_dir):
     return model.scores().withColumn("train_tokens", F.lit(model.model.tokens).cast("bigint"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return repair.repair_report(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_warc_archives": op1_warc_archives,
     "op2_sampled_segmentations": op2_sampled_segmentations,
@@ -108,4 +118,6 @@ QUERIES = {
     "op8_winnowing_decontamination": op8_winnowing_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_maxent_scoring": op10_maxent_scoring,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
 }
