@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from steadyline.llm import (
-    chat, decontamination, embeddings, lattice, maxent, quality, repair, secrets, simhash, substrings, warc, whitening,
+    chat, decontamination, embeddings, langid, lattice, maxent, quality, repair, secrets, simhash, substrings, warc, whitening,
 )
 from steadyline.sources.staging import staged
 
@@ -107,6 +107,16 @@ def op12_conversation_repair(spark, sf_dir):
     return repair.repair_report(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+LANGUAGE_FOLDS, LANGUAGE_HELD_OUT = 4, 2
+
+
+def op13_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = langid.held_out(LANGUAGE_FOLDS, LANGUAGE_HELD_OUT)
+    model = langid.fitted(docs.where(~held_out))
+    return langid.identified(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_warc_archives": op1_warc_archives,
     "op2_sampled_segmentations": op2_sampled_segmentations,
@@ -120,4 +130,5 @@ QUERIES = {
     "op10_maxent_scoring": op10_maxent_scoring,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_language_id": op13_language_id,
 }

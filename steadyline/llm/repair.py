@@ -160,6 +160,15 @@ def node(letter: str, rest: Node) -> Node:
     return Node(*_with_inserts(cost, edit), tuple(a + b for a, b in zip(rest.counts, counts)), initial)
 
 
+def extend(nodes: list[Node], last: str, signature: str) -> None:
+    """From the path of ``last`` to that of ``signature``: the nodes of the suffix that both share stay."""
+    reverse = signature[::-1]
+    shared = len(os.path.commonprefix([last[::-1], reverse]))
+    del nodes[shared + 1 :]
+    for letter in reverse[shared:]:
+        nodes.append(node(letter, nodes[-1]))
+
+
 def audit(nodes: list[Node], signature: str) -> str:
     """The edits along the path from the whole signature to its end; ``nodes[i]`` is the suffix of i letters."""
     state, left, out = NOTHING, len(signature), []
@@ -194,11 +203,7 @@ def plans(signed: DataFrame) -> DataFrame:
             rows = []
             for signature in batch.column(kept.index("signature")).to_pylist():
                 if signature != last or found is None:
-                    reverse = signature[::-1]
-                    shared = len(os.path.commonprefix([last[::-1], reverse]))
-                    del nodes[shared + 1 :]
-                    for letter in reverse[shared:]:
-                        nodes.append(node(letter, nodes[-1]))
+                    extend(nodes, last, signature)
                     top, last = nodes[-1], signature
                     found = (*top.counts, top.cost[NOTHING], audit(nodes, signature))
                 rows.append(found)
