@@ -34,7 +34,8 @@ class Settings(NamedTuple):
     lexicon: int = 30_000  # words of the lexicon, the most frequent ones
     run: tuple = (12, 90)  # least and most words of one document in a row
     chain: int = 64  # words of a training chain
-    batch: int = 128  # chains of an update
+    batch: int = 32  # chains of an update
+    updates: int = 80  # of a shard in a round, at least; a small shard is passed over more than once
     shards: int = 8  # trained side by side and averaged after each round
     rounds: int = 3
     rate: float = 0.3
@@ -241,7 +242,8 @@ def _sample(docs: DataFrame, counts: dict[str, int], s: Settings) -> DataFrame:
         share = F.when(F.col("lang") == label, min(1.0, (1.5 * s.rows_per_label + 50) / n)).otherwise(share)
     low = docs.where((at.cast("double") + 2.0**63) <= share * 2.0**64).select("doc_id", "text", "lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(at, "doc_id", "text"))
-    return staged(low.withColumn("_rank", rank).where(F.col("_rank") <= s.rows_per_label).drop("_rank"), "sample")
+    few = low.withColumn("_rank", rank).where(F.col("_rank") <= s.rows_per_label).drop("_rank")
+    return staged(few.repartition(s.shards, "doc_id"), "sample")
 
 
 def _lexicon(runs: DataFrame, labels: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +278,7 @@ def fitted(docs: DataFrame, settings: Settings = Settings()) -> Model:
         return empty
     runs = _runs(_sample(rows, counts, s), labels, s)
     keys, shares = _lexicon(runs, k, s)
-    train = staged(runs.where("fold = 1").withColumn("shard", (F.col("place") / 2 % s.shards).cast("int")), "train")
+    train = staged(runs.where("fold = 1").withColumn("shard", (F.shiftright("place", 1) % s.shards).cast("int")), "train")
     state = np.zeros((size + k + 1 + k, k)), np.full((size + k + 1 + k, k), 1e-3)
     for round_no in range(s.rounds):
         held = spark.sparkContext.broadcast((state, keys, shares))
@@ -292,7 +294,7 @@ def fitted(docs: DataFrame, settings: Settings = Settings()) -> Model:
             return pa.table({"part": given["part"][:1], "value": pa.array([out.tobytes()], pa.binary())})
 
         # two parts of the model's fixed size come to the driver
-        parts = train.groupBy("shard").applyInArrow(local, "part int, value binary").groupBy("part").applyInArrow(mean, "part int, value binary").collect()
+        parts = train.repartition(s.shards, "shard").groupBy("shard").applyInArrow(local, "part int, value binary").groupBy("part").applyInArrow(mean, "part int, value binary").collect()
         held.unpersist()
         if parts:
             state = tuple(np.frombuffer(r["value"], np.float32).astype(np.float64).reshape(-1, k) for r in sorted(parts, key=lambda r: r["part"]))
@@ -301,7 +303,7 @@ def fitted(docs: DataFrame, settings: Settings = Settings()) -> Model:
 
 
 def _passed(given: pa.Table, w: np.ndarray, g: np.ndarray, keys: np.ndarray, shares: np.ndarray, s: Settings):
-    """One pass of AdaGrad steps over a shard's chains. Rows of ``w``: features, lexicon values, transitions."""
+    """AdaGrad steps over a shard's chains. Rows of ``w``: features, lexicon values, transitions."""
     k = w.shape[1]
     size = len(w) - 2 * k - 1
     words = words_of(given["words"].combine_chunks().cast(pa.large_string()))
@@ -315,7 +317,8 @@ def _passed(given: pa.Table, w: np.ndarray, g: np.ndarray, keys: np.ndarray, sha
     told = lexicon_rows(whole, keys, shares)
     code = words.code[: chains * s.chain].reshape(chains, s.chain)
     gold = label[: chains * s.chain].reshape(chains, s.chain)
-    for i in range(0, chains, s.batch):
+    starts = range(0, chains, s.batch)
+    for i in [*starts] * -(-s.updates // len(starts)):
         c, y = code[i : i + s.batch], gold[i : i + s.batch]
         used, back = np.unique(c, return_inverse=True)
         count = bounds[used + 1] - bounds[used]

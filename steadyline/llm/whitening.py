@@ -289,7 +289,7 @@ def components(spark: SparkSession, v: np.ndarray, s: Settings = Settings()) ->
     basis, _ = np.linalg.qr(np.stack([np.frombuffer(r["vector"]) for r in found], axis=1))
     e, u = np.linalg.eigh(basis.T @ unit @ basis)  # one more extraction over all intervals, so that they are orthogonal together
     order = np.argsort(-e, kind="stable")[:wanted]
-    order = order[e[order] > len(v) * np.finfo(float).eps]
+    order = order[e[order] > len(v) * np.finfo(float).eps * max(e.max(), 0)]
     return e[order] * np.abs(v).max(), basis @ u[:, order]
 
 

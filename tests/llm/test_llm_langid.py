@@ -71,8 +71,8 @@ def test_features_name_affixes_and_words():
     vocab = pa.array([b"abc", b"abd", b"xab", "é".encode()], pa.large_binary())
     feature, owner, _ = langid.features(vocab, 40)
     of = [set(feature[owner == i].tolist()) for i in range(4)]
-    assert len(of[0] & of[1]) == 3  # the prefixes of 1 to 3 characters with their border
-    assert len(of[0] & of[2]) == 0  # the same letters in another place
+    assert len(of[0] & of[1]) == 3  # " a", " ab" and "ab"
+    assert len(of[0] & of[2]) == 1  # "ab"; neither is an affix of the other
     assert len(of[3]) == 1 + 3 + 2 + 1  # the word, and what its two bytes and borders give
 
 

@@ -82,7 +82,7 @@ def test_whitening_ignores_extra_columns(spark):
 
 
 @pytest.mark.parametrize("spectrum", [
-    [5, 5, 5, 5, 1, 1], [1e9, 1, 1e-3, 1e-6, 0, 0], [4, 4 - 1e-13, 3, 2, 1, 0], list(range(40, 0, -1)), [1] * 12,
+    [5, 5, 5, 5, 1, 1], [1e9, 1, 1e-3, 0, 0, 0], [4, 4 - 1e-13, 3, 2, 1, 0], list(range(40, 0, -1)), [1] * 12,
 ])
 def test_contours_find_all_pairs(spark, spectrum):
     q, _ = np.linalg.qr(np.random.default_rng(3).standard_normal((len(spectrum),) * 2))
