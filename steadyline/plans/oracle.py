@@ -319,6 +319,7 @@ for _p, _r in [
 
 ORACLE.update({
     "s3_allowed_columns": "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer",
+    "s3_lineage_of_files": "SELECT c AS \"column\", c IN ('harmless', 'widest') AS refused, count(*) AS rows FROM events, (SELECT unnest(['event_id', 'harmless', 'widest', 'n', 'shifted']) AS c) GROUP BY ALL",
     "s4_publish": q(ADMIT, f"SELECT {CASE_COLS} FROM cases"),
     "s6_verify_manifest": q(ADMIT, "SELECT * FROM (VALUES ('cases', 'ok', 'stored'), ('ledger', 'ok', 'stored'), ('cases', 'extra', 'altered'), ('ledger', 'changed', 'altered'), "
                                "('lost', 'missing', 'altered')) v(dataset, status, against) WHERE (SELECT count(*) FROM cases) > 0 AND (SELECT count(*) FROM ledger) > 0"),

@@ -186,6 +186,20 @@ def s3_allowed_columns(spark, sf):
     return guards.select_allowed(customers, ["c_custkey", "c_nationkey", "c_mktsegment"], ["c_name", "c_acctbal"])
 
 
+@query
+def s3_lineage_of_files(spark, sf):
+    """Columns of a table that was staged, renamed, joined, staged and read again: whether ``props`` lies behind them."""
+    events = read_table(spark, sf, "events")
+    first = staged(events.select("event_id", "user_id", "value", F.length("props").alias("size")), "first")
+    totals = first.groupBy("user_id").agg(F.max("size").alias("widest"), F.count("value").alias("n"))
+    renamed = first.join(totals, "user_id").select("event_id", F.col("size").alias("harmless"), "widest", "n", (F.col("value") + F.col("n")).alias("shifted"))
+    table = staged(renamed, "second")
+    found = [(c, "props" in names) for c, names in guards.origins(table).items()]
+    counts = table.select(*[F.col(c).cast("double") for c in table.columns]).unpivot([], table.columns, "column", "value")
+    marks = spark.createDataFrame(found, "column string, refused boolean")
+    return counts.groupBy("column").agg(F.count("value").alias("rows")).join(marks, "column").select("column", "refused", "rows")
+
+
 def _published(spark, sf):
     cases, ledger = A.admit(_found(spark, sf), P)
     path = staging.new_location(spark, "publish")

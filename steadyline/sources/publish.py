@@ -1,12 +1,13 @@
 """Result tables as files with a checksum manifest, and the comparisons that go with them."""
 
+import functools
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from steadyline.functions.digests import digest_sums, fingerprint, payload
-from steadyline.sources.guards import assert_finite, assert_unambiguous, select_allowed
+from steadyline.sources.guards import LINEAGE, assert_finite, assert_unambiguous, lineage, select_allowed, with_lineage
 
 FILE_BYTES = 128 << 20  # what files are cut to, by the mean bytes of a row
 WHOLE_BYTES = 512 << 20  # up to here a file is hashed as one value; a larger one by its rows
@@ -27,9 +28,10 @@ def publish(
 
     Barred columns and ambiguous names are refused before anything is written. Values are checked on the written
     files, which costs a read of their float columns instead of a second computation; without a manifest, a refused
-    bundle cannot be read.
+    bundle cannot be read. What each column derives from goes along: in the files, and as a table, because a column that
+    names folders is in no file.
     """
-    checked = {n: assert_unambiguous(select_allowed(e.df, e.allow, forbidden)) for n, e in exports.items()}
+    checked = {n: with_lineage(assert_unambiguous(select_allowed(e.df, e.allow, forbidden))) for n, e in exports.items()}
     spark = next(iter(checked.values())).sparkSession
     for name, df in checked.items():
         by = exports[name].partition_by
@@ -38,6 +40,8 @@ def publish(
         writer = rows.write.option("maxRecordsPerFile", max(1, file_bytes // row_bytes(df)))
         (writer.partitionBy(by) if by else writer).parquet(f"{path}/data/{name}")
         assert_finite(spark.read.parquet(f"{path}/data/{name}"))
+    origins = [lineage(df).withColumn("dataset", F.lit(name)) for name, df in checked.items()]
+    functools.reduce(DataFrame.unionByName, origins).coalesce(1).write.parquet(f"{path}/lineage")
     provenance = {"as_of": F.lit(as_of).cast("date"), "commit": F.lit(commit)}
     manifest(spark, f"{path}/data").withColumns(provenance).write.parquet(f"{path}/manifest")
 
@@ -101,7 +105,10 @@ def read_verified(spark: SparkSession, path: str, name: str) -> DataFrame:
     first = bad.limit(1).collect()
     if first:
         raise ValueError(f"published files do not match the manifest: {first[0]['file']} is {first[0]['status']}")
-    return spark.read.parquet(f"{path}/data/{name}")
+    table = spark.read.parquet(f"{path}/data/{name}")
+    known = spark.read.parquet(f"{path}/lineage").filter(F.col("dataset") == name).collect()  # one row for each column
+    marks = {r["column"]: {**table.schema[r["column"]].metadata, LINEAGE: r["origins"]} for r in known}
+    return table.withColumns({c: F.col(f"`{c}`").alias(c, metadata=m) for c, m in marks.items()})
 
 
 def same_content(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -141,7 +148,7 @@ def append_actions(actions: DataFrame, path: str, batch: str) -> None:
 
     A batch that is appended again replaces what it wrote before, so a retry neither doubles nor loses rows.
     """
-    rows = actions.withColumn("day", F.to_date("ts"))
+    rows = with_lineage(actions.withColumn("day", F.to_date("ts")))
     rows.hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
 
 

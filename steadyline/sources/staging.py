@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from steadyline.sources.guards import with_lineage
+
 
 def staging_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
@@ -30,8 +32,8 @@ def new_location(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once and read it back."""
-    spark = df.sparkSession
+    """Write ``df`` once and read it back. Its columns keep what they derive from (see ``guards.with_lineage``)."""
+    spark, df = df.sparkSession, with_lineage(df)
     path = new_location(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
