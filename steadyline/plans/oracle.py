@@ -240,6 +240,10 @@ def sums(digest):
     return " || '#' || ".join(f"CAST(coalesce(sum(('0x' || substr({digest}, {1 + 15 * i}, 15))::HUGEINT), 0) AS VARCHAR)" for i in range(4))
 
 
+LEAVES = f"""lv AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS position,
+    sha256('leaf#' || sha256({esc('role')} || '#' || {esc('text')})) AS leaf FROM conversations),
+num AS (SELECT count(*) AS n FROM conversations)"""
+
 AUD = f"""
 ev AS (SELECT conv_id, turn, role, text, turn // 4 AS segment, sha256({esc('role')} || '#' || {esc('text')}) AS dg FROM conversations),
 ch AS (SELECT conv_id, turn, segment, sha256('start#' || conv_id || '#0') AS prev_hash, sha256(sha256('start#' || conv_id || '#0') || '#' || dg) AS hash FROM ev WHERE turn = 0
@@ -416,6 +420,15 @@ ORACLE.update({
     "h1_chain": q(AUD, "SELECT conv_id, turn, segment, prev_hash, hash FROM ch"),
     "h1_heads_seal": q(AUD, f""", hd AS (SELECT sha256(conv_id || '#' || segment || '#' || events || '#' || head) AS dg FROM heads)
         SELECT count(*) AS segments, sha256(CAST(count(*) AS VARCHAR) || '#' || {sums('dg')}) AS seal FROM hd"""),
+    "h1_log_seal": f"""WITH RECURSIVE {LEAVES},
+        s AS (SELECT unnest([greatest(1, n // 2), n]) AS size FROM num),
+        t(size, level, idx, h) AS (SELECT size, 0, position, leaf FROM s JOIN lv ON position < size UNION ALL
+            SELECT a.size, a.level + 1, a.idx // 2, CASE WHEN b.h IS NULL THEN a.h ELSE sha256('node#' || a.h || b.h) END
+            FROM t a LEFT JOIN t b ON b.size = a.size AND b.idx = a.idx + 1 WHERE a.idx % 2 = 0 AND a.size > (1::BIGINT << a.level))
+        SELECT size AS events, arg_max(h, level) AS root, TRUE AS only_grew FROM t GROUP BY size""",
+    "h2_inclusion": f"""WITH {LEAVES} SELECT conv_id, turn, position, (SELECT count(*) FROM range(62) k(k) WHERE (1::BIGINT << k) < n
+            AND xor(position >> CAST(k AS INTEGER), 1) < (n + (1::BIGINT << k) - 1) // (1::BIGINT << k)) AS siblings, NOT (conv_id % 10 = 3 AND turn = 1) AS ok FROM lv, num""",
+    "h3_altered_events": f"WITH {LEAVES} SELECT position, conv_id, turn FROM lv WHERE conv_id % 10 = 3 AND turn = 1",
     "h2_verify_chain": q(AUD, "SELECT * FROM ver"),
     "h3_first_break": q(AUD, "SELECT conv_id, turn AS first_broken, reason FROM ver WHERE NOT ok QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, reason) = 1"),
     "h4_health": q(AUD, "SELECT events, broken, healthy AND files <> 'bad' AS healthy, log, files FROM (SELECT count(*) AS events, CAST(0 AS BIGINT) AS broken, TRUE AS healthy, 'intact' AS log FROM ch "

@@ -9,6 +9,7 @@ from steadyline.operators import baselines as B
 from steadyline.operators import explain as E
 from steadyline.operators import followup as U
 from steadyline.operators import labels as L
+from steadyline.operators import merkle
 from steadyline.operators import models as M
 from steadyline.operators import quality as Q
 from steadyline.operators import queue as R
@@ -728,6 +729,48 @@ def h1_heads_seal(spark, sf):
     return H.seal(H.heads(_chain(spark, sf), "conv_id", "turn"), "conv_id")
 
 
+EVENT_ORDER = ["conv_id", "turn"]
+
+
+def _numbered(events):
+    return staged(merkle.leaves(events, EVENT_ORDER, AUDITED), "log_leaves")
+
+
+@query
+def h1_log_seal(spark, sf):
+    """Seals of the log when it held half of its events, and now; and whether it only grew in between."""
+    numbered = _numbered(read_table(spark, sf, "conversations"))
+    now = merkle.tree(numbered)
+    half = merkle.tree(numbered.where(F.col("position") < max(1, now.size // 2)))
+    grew = bool(now.size) and merkle.consistent(merkle.consistency(now, half.size), half.root(), now.root())
+    return merkle.seal(half).unionByName(merkle.seal(now)).withColumn("only_grew", F.lit(grew))
+
+
+def _rewritten(events):
+    """Texts altered after the log was sealed."""
+    hit = (F.col("conv_id") % 10 == 3) & (F.col("turn") == 1)
+    return events.withColumn("text", F.when(hit, F.concat("text", F.lit(" x"))).otherwise(F.col("text")))
+
+
+@query
+def h2_inclusion(spark, sf):
+    """Each event, some of them altered, against the sealed root by the siblings on its way up."""
+    events = read_table(spark, sf, "conversations")
+    numbered = _numbered(events)
+    sealed = merkle.tree(numbered)
+    proven = merkle.proofs(sealed).join(numbered.select(*EVENT_ORDER, "position"), "position")
+    return merkle.verified(_rewritten(events), proven, sealed.root(), EVENT_ORDER, AUDITED)
+
+
+@query
+def h3_altered_events(spark, sf):
+    """Which events differ from the sealed log, found from the root down."""
+    events = read_table(spark, sf, "conversations")
+    numbered = _numbered(events)
+    found = merkle.differing(merkle.tree(numbered), merkle.tree(_numbered(_rewritten(events))))
+    return found.join(numbered, "position").select("position", *EVENT_ORDER)
+
+
 @query
 def h2_verify_chain(spark, sf):
     log, stored = _tampered(spark, sf)
