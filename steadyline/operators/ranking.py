@@ -6,6 +6,7 @@ Rows are counted per distinct score first; prefix sums then run over range-split
 from pyspark.sql import DataFrame, functions as F
 
 from steadyline.functions.ordered import Ordered
+from steadyline.operators.selection import among_strongest, cut_points
 
 
 def by_strategy(scored: DataFrame, strategies: list[str]) -> DataFrame:
@@ -68,24 +69,21 @@ def average_precision(swept: DataFrame) -> DataFrame:
 
 
 def precision_at(ranked: DataFrame, percents: list[int]) -> DataFrame:
-    """Precision among the strongest ceil(p % of all rows), ties broken by row_id."""
-    run = Ordered(ranked, ["strategy"], [F.desc("score"), "row_id"], "ranks").row_number("rank")
-    cut = {p: F.floor((p * F.col("_all") + 99) / 100).cast("bigint") for p in percents}
-    limits = _totals(ranked).select("strategy", *[k.alias(f"k{p}") for p, k in cut.items()])
-    # one pass over the rows: every cut is a conditional sum
-    sums = (
-        run.join(F.broadcast(limits), "strategy")
-        .groupBy("strategy")
-        .agg(*[
-            F.struct(
-                F.lit(p).alias("percent"),
-                F.max(f"k{p}").alias("k"),
-                F.sum(F.when(F.col("rank") <= F.col(f"k{p}"), F.col("label")).otherwise(0)).alias("hits"),
-            ).alias(f"c{p}")
-            for p in percents
-        ])
+    """Precision among the strongest ceil(p % of all rows), ties broken by row_id. Rows are neither sorted nor shuffled."""
+    totals = _totals(ranked).select("strategy", F.col("_all").alias("_n"))
+    cut = {p: F.floor((p * F.col("_n") + 99) / 100).cast("bigint") for p in percents}
+    limits = totals.select("strategy", F.explode(F.array(*[F.struct(F.lit(p).alias("percent"), k.alias("k")) for p, k in cut.items()])).alias("c")).select("strategy", "c.*")
+    points = cut_points(ranked, limits, "strategy", "score", "row_id").withColumnsRenamed({"score": "_s", "row_id": "_t"})
+    # one row for each strategy with all of its cuts
+    placed = limits.join(points, ["strategy", "k"]).groupBy("strategy").agg(
+        *[F.max(F.when(F.col("percent") == p, F.struct("k", "_s", "_t"))).alias(f"c{p}") for p in percents]
     )
-    cuts = sums.select("strategy", F.explode(F.array(*[F.col(f"c{p}") for p in percents])).alias("c")).select("strategy", "c.*")
+    within = {p: among_strongest("score", "row_id", f"c{p}._s", f"c{p}._t") for p in percents}
+    sums = ranked.join(F.broadcast(placed), "strategy").groupBy("strategy").agg(*[
+        F.struct(F.lit(p).alias("percent"), F.max(f"c{p}.k").alias("k"), F.coalesce(F.sum(F.when(within[p], F.col("label"))), F.lit(0)).alias("hits")).alias(f"h{p}")
+        for p in percents
+    ])
+    cuts = sums.select("strategy", F.explode(F.array(*[F.col(f"h{p}") for p in percents])).alias("c")).select("strategy", "c.*")
     return cuts.withColumn("precision", F.round(F.col("hits") / F.col("k"), 6))
 
 

@@ -328,6 +328,9 @@ ORACLE.update({
     "s6_verify_manifest": q(ADMIT, "SELECT * FROM (VALUES ('cases', 'ok', 'stored'), ('ledger', 'ok', 'stored'), ('cases', 'extra', 'altered'), ('ledger', 'changed', 'altered'), "
                                "('lost', 'missing', 'altered')) v(dataset, status, against) WHERE (SELECT count(*) FROM cases) > 0 AND (SELECT count(*) FROM ledger) > 0"),
     "s7_same_content": q(REC, "SELECT count(*) AS rows_a, count(*) AS rows_b, CAST(0 AS BIGINT) AS only_a, CAST(0 AS BIGINT) AS only_b, TRUE AS same FROM pd"),
+    "s7_row_differences": q(REC, """SELECT entity_id, day, 'only_a' AS status FROM pd WHERE (day(day) = 5 AND entity_id % 10 = 7) OR (day(day) = 1 AND entity_id % 10 = 2)
+        UNION ALL SELECT entity_id, CAST(day + INTERVAL 400 DAY AS DATE), 'only_b' FROM pd WHERE day(day) = 1 AND entity_id % 10 = 2
+        UNION ALL SELECT entity_id, day, 'changed' FROM pd WHERE day(day) = 9 AND entity_id % 10 = 3"""),
     "s8_fingerprint": f"WITH d AS (SELECT sha256({esc('conv_id')} || '#' || {esc('turn')} || '#' || {esc('role')} || '#' || {esc('text')}) AS dg FROM conversations) "
                       f"SELECT count(*) AS rows, sha256(CAST(count(*) AS VARCHAR) || '#' || {sums('dg')}) AS digest FROM d",
     "s9_nonfinite": " UNION ALL ".join(

@@ -18,7 +18,7 @@ from steadyline.operators import signals as A
 from steadyline.operators import summary as S
 from steadyline.operators import workflow as W
 from steadyline.plans import flow
-from steadyline.sources import guards, publish, staging
+from steadyline.sources import difference, guards, publish, staging
 from steadyline.sources.staging import staged
 from steadyline.sources.tables import read_table
 
@@ -261,6 +261,18 @@ def s7_same_content(spark, sf):
     return publish.same_content(staged(run(), "run_a"), staged(run(), "run_b"))
 
 
+@query
+def s7_row_differences(spark, sf):
+    """Which entity-days differ between two runs, one of which lost a day, gained one and counted some loads anew."""
+    days = staged(flow.days(flow.records(spark, sf)).select("entity_id", "day", "load", "errors"), "days")
+    day = F.dayofmonth("day")
+    moved = F.when((day == 1) & (F.col("entity_id") % 10 == 2), F.date_add("day", 400)).otherwise(F.col("day"))
+    again = days.where(~((day == 5) & (F.col("entity_id") % 10 == 7))).select(
+        "entity_id", moved.alias("day"), F.when((day == 9) & (F.col("entity_id") % 10 == 3), F.col("load") + 1).otherwise(F.col("load")).alias("load"), "errors"
+    )
+    return difference.row_differences(days, again, ["entity_id", "day"])
+
+
 @query
 def s8_fingerprint(spark, sf):
     return publish.fingerprint(read_table(spark, sf, "conversations"))

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from steadyline.functions.digests import digest_sums, fingerprint, payload
+from steadyline.sources.difference import differing_buckets, digest_tree, rest_of
 from steadyline.sources.guards import LINEAGE, assert_finite, assert_unambiguous, lineage, select_allowed, with_lineage
+from steadyline.sources.staging import staged
 
 FILE_BYTES = 128 << 20  # what files are cut to, by the mean bytes of a row
 WHOLE_BYTES = 512 << 20  # up to here a file is hashed as one value; a larger one by its rows
@@ -114,21 +116,22 @@ def read_verified(spark: SparkSession, path: str, name: str) -> DataFrame:
 def same_content(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: rows on each side, rows found on one side only, and whether both hold the same rows.
 
-    Equal fingerprints, one pass over each side, settle it; the rows are compared only if those differ.
+    Both sides are read once for their digest trees. Equal trees settle it; else only rows of buckets that differ are
+    compared, however large the tables.
     """
+    rest, counts = [a, b], [df.agg(F.count("*")) for df in (a, b)]
     if a.columns == b.columns:
-        of_a, of_b = fingerprint(a).first(), fingerprint(b).first()
-        if of_a == of_b:
-            schema = "rows_a bigint, rows_b bigint, only_a bigint, only_b bigint, same boolean"
-            return a.sparkSession.createDataFrame([(of_a["rows"], of_b["rows"], 0, 0, True)], schema)
-    only_a = a.exceptAll(b).agg(F.count("*").alias("n")).scalar()
-    only_b = b.exceptAll(a).agg(F.count("*").alias("n")).scalar()
-    rows_b = b.agg(F.count("*").alias("n")).scalar()
-    return (
-        a.agg(F.count("*").alias("rows_a"))
-        .select("rows_a", rows_b.alias("rows_b"), only_a.alias("only_a"), only_b.alias("only_b"))
-        .withColumn("same", (F.col("only_a") == 0) & (F.col("only_b") == 0))
-    )
+        trees = [digest_tree(df) for df in (a, b)]
+        counts = [of.level(0).agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint")) for of in trees]
+        buckets = staged(differing_buckets(*trees), "buckets")
+        if buckets.isEmpty():
+            none = F.lit(0).cast("bigint")
+            sides = a.sparkSession.range(1).select(counts[0].scalar().alias("rows_a"), counts[1].scalar().alias("rows_b"))
+            return sides.select("rows_a", "rows_b", none.alias("only_a"), none.alias("only_b"), F.lit(True).alias("same"))
+        rest = [rest_of(df, of, buckets) for df, of in zip((a, b), trees)]
+    only_a, only_b = (x.exceptAll(y).agg(F.count("*").alias("n")).scalar() for x, y in (rest, rest[::-1]))
+    counted = a.sparkSession.range(1).select(counts[0].scalar().alias("rows_a"), counts[1].scalar().alias("rows_b"), only_a.alias("only_a"), only_b.alias("only_b"))
+    return counted.withColumn("same", (F.col("only_a") == 0) & (F.col("only_b") == 0))
 
 
 def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
