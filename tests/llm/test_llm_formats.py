@@ -9,7 +9,7 @@ import pytest
 import zstandard
 
 import corpus_pipeline
-from tests_llm_brute import brute_base, brute_contamination, brute_groups, brute_print
+from tests_llm_brute import brute_base, brute_contamination, brute_similar_groups, shingle_set
 from steadyline.llm import chat, queries, warc
 from steadyline.llm.lattice import decoded, pieces
 
@@ -203,10 +203,10 @@ def test_pipeline_decisions(spark):
             right = [(r.doc_id in kept) == bool(labels[r.doc_id]) for r in before if r.doc_id in labels]
             assert sum(right) >= 0.97 * len(right)
         elif name == "near_duplicates":
-            group = brute_groups([brute_print(r.text) for r in before], 4)
+            group = brute_similar_groups([shingle_set(r.text) for r in before])
             least = {}
             for r in sorted(before, key=lambda r: r.doc_id):
-                least.setdefault(group[brute_print(r.text)], r.doc_id)
+                least.setdefault(group[shingle_set(r.text)], r.doc_id)
             assert kept == set(least.values())
         elif name == "decontamination":
             bad = {int(x[0]) for x in brute_contamination([(r.doc_id, r.text) for r in before], items) if x[4]}

@@ -43,6 +43,30 @@ def brute_groups(prints, distance):
     return {p: find(p) for p in prints}
 
 
+def shingle_set(text, n=5):
+    words = BLANK.findall(lowered(text or ""))
+    return frozenset(grams(words, n) or [" ".join(words)] * bool(words))
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def brute_similar_groups(sets, least=0.8):
+    """Per set a name of its group: sets linked by similarity, directly or over others."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(set(sets), key=sorted), 2):
+        if jaccard(a, b) >= least:
+            root[find(b)] = find(a)
+    return {s: find(s) for s in sets}
+
+
 def brute_contamination(rows, items):
     windows = {}
     for i, t in items:
