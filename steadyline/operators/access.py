@@ -4,6 +4,9 @@
 own size checks: a small account side is broadcast, a large one is not.
 """
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -61,35 +64,38 @@ def lookup(requests: DataFrame, scoped: DataFrame) -> DataFrame:
     )
 
 
-# shapes of identifiers in free text: pattern, replacement, and a text that every match contains (or None); a row
-# without it is passed over without running the pattern. Dates stay, as they tell when and not who: the first two steps
+# shapes of identifiers in free text: pattern, replacement, and lower-case texts of which every match contains one; a row
+# whose lower-cased text has none is passed over without running the pattern. Dates stay, as they tell when and not who: the first two steps
 # take their hyphens out of the reach of the number pattern, the last two put them back.
 _YEAR, _MONTH, _DAY = "((?:19|20)[0-9]{2})", "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])"
 _HELD = "\ue000"
 REDACTIONS = [
-    (rf"\b{_YEAR}-{_MONTH}-{_DAY}\b", f"$1{_HELD}$2{_HELD}$3", "-"),
-    (rf"\b{_DAY}-{_MONTH}-{_YEAR}\b", f"$1{_HELD}$2{_HELD}$3", "-"),
+    (rf"\b{_YEAR}-{_MONTH}-{_DAY}\b", f"$1{_HELD}$2{_HELD}$3", ["-"]),
+    (rf"\b{_DAY}-{_MONTH}-{_YEAR}\b", f"$1{_HELD}$2{_HELD}$3", ["-"]),
     # the look-behind keeps the search from starting again inside each word
-    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]", "@"),
-    (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "[ip]", "."),
-    (r"(?i)\bauthorization\s*:\s*(basic|bearer)\s+[A-Za-z0-9._~+/=-]+", "[secret]", ":"),
-    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{16,}", "[secret]", None),
-    (r"(?i)\b(token|secret|password|passwd|pwd|(api|access|secret)[-_ ]?key)\b[\"']?\s*[=:]\s*[\"']?[^\s\"',;]+[\"']?", "[secret]", None),
-    (r"\b(AKIA|ASIA)[A-Z0-9]{16}\b", "[secret]", None),
-    (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", "[secret]", "eyJ"),
-    (r"\b(gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})", "[secret]", None),
-    (r"\+?[0-9][0-9 ()-]{7,}[0-9]", "[number]", None),
-    (f"{_YEAR}{_HELD}{_MONTH}{_HELD}{_DAY}", "$1-$2-$3", _HELD),
-    (f"{_DAY}{_HELD}{_MONTH}{_HELD}{_YEAR}", "$1-$2-$3", _HELD),
+    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]", ["@"]),
+    (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "[ip]", ["."]),
+    (r"(?i)\bauthorization\s*:\s*(basic|bearer)\s+[A-Za-z0-9._~+/=-]+", "[secret]", ["authorization"]),
+    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{16,}", "[secret]", ["bearer"]),
+    (r"(?i)\b(token|secret|password|passwd|pwd|(api|access|secret)[-_ ]?key)\b[\"']?\s*[=:]\s*[\"']?[^\s\"',;]+[\"']?", "[secret]", ["token", "secret", "passw", "pwd", "key"]),
+    (r"\b(AKIA|ASIA)[A-Z0-9]{16}\b", "[secret]", ["akia", "asia"]),
+    (r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", "[secret]", ["eyj"]),
+    (r"\b(gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})", "[secret]", ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-"]),
+    (r"\+?[0-9][0-9 ()-]{7,}[0-9]", "[number]", ["0", "1", "2", "3", "4", "5", "6", "7", "8", "9"]),
+    (f"{_YEAR}{_HELD}{_MONTH}{_HELD}{_DAY}", "$1-$2-$3", [_HELD]),
+    (f"{_DAY}{_HELD}{_MONTH}{_HELD}{_YEAR}", "$1-$2-$3", [_HELD]),
 ]
 
 
-def redact(df: DataFrame, column: str, patterns: list[tuple[str, str, str | None]] = REDACTIONS) -> DataFrame:
+def redact(df: DataFrame, column: str, patterns: list[tuple[str, str, list[str]]] = REDACTIONS) -> DataFrame:
+    """Each pattern's matches replaced, in order. A pattern runs only on rows that hold what all of its matches hold."""
+    rows = df.withColumn("_low", F.lower(F.col(column)))
     for pattern, replacement, needs in patterns:
-        text = F.col(column)
-        cleaned = F.regexp_replace(text, pattern, replacement)
-        df = df.withColumn(column, cleaned if needs is None else F.when(text.contains(needs), cleaned).otherwise(text))
-    return df
+        # what a pattern looks for is no part of an earlier replacement, but for the mark that holds dates
+        seen = F.col(column if needs == [_HELD] else "_low")
+        hit = functools.reduce(operator.or_, [seen.contains(n) for n in needs])
+        rows = rows.withColumn(column, F.when(hit, F.regexp_replace(F.col(column), pattern, replacement)).otherwise(F.col(column)))
+    return rows.drop("_low")
 
 
 def filter_queue(

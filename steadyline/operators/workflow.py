@@ -117,13 +117,11 @@ def feedback(submissions: DataFrame) -> DataFrame:
     A submission without a key is no replay of another one, so all of those stay.
     """
     rest = [c for c in submissions.columns if c not in ("case_id", "idempotency_key")]
-    first = F.min_by(F.struct(*rest), F.struct("ts", "seq"))
-    columns = ["case_id", "idempotency_key", *rest]
-    keyed = submissions.filter(F.col("idempotency_key").isNotNull())
-    kept = keyed.groupBy("case_id", "idempotency_key").agg(first.alias("_first")).select(
-        "case_id", "idempotency_key", *[F.col(f"_first.{c}").alias(c) for c in rest]
-    )
-    return kept.unionByName(submissions.filter(F.col("idempotency_key").isNull()).select(*columns))
+    # one pass: without a key the submission's own number tells it from the others
+    own = F.when(F.col("idempotency_key").isNull(), F.col("seq")).alias("_own")
+    first = F.min_by(F.struct(*rest), F.struct("ts", "seq")).alias("_first")
+    kept = submissions.groupBy("case_id", "idempotency_key", own).agg(first)
+    return kept.select("case_id", "idempotency_key", *[F.col(f"_first.{c}").alias(c) for c in rest])
 
 
 def graph_drift(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -401,6 +401,8 @@ ORACLE.update({
         SELECT *, 'first' AS only_in FROM (SELECT * FROM seen EXCEPT SELECT * FROM declared) UNION ALL SELECT *, 'second' FROM (SELECT * FROM declared EXCEPT SELECT * FROM seen)"""),
     "f1_support_options": q(FACT, "SELECT case_id, 'm1' AS mapping_version, array_to_string(options, ',') AS options FROM opt"),
     "f2_feasibility": q(ADMIT + "," + DUTY, "SELECT case_id, busy_days, first_free, feasibility FROM feas"),
+    "f2_busy_time": q(ADMIT + "," + DUTY, """SELECT case_id, count(s) AS duties, CAST(floor(coalesce(sum(date_diff('microsecond', greatest(s, w0), least(e, w0 + INTERVAL 72 HOUR))) FILTER (WHERE s IS NOT NULL), 0) / 1000000.0) AS BIGINT) AS seconds
+        FROM (SELECT case_id, entity_id, CAST(case_day + 1 AS TIMESTAMP) AS w0 FROM cases) c LEFT JOIN duty d ON d.entity_id = c.entity_id AND e > s AND s < w0 + INTERVAL 72 HOUR AND e > w0 GROUP BY case_id"""),
     "f3_followup_status": q(FU, "SELECT * FROM fus"),
     "f4_requeue": q(ADMIT + "," + FU, """SELECT entity_id, min(source) AS source, count(*) AS items FROM
         (SELECT entity_id, 'case' AS source FROM cases UNION ALL SELECT entity_id, 'followup' FROM fus WHERE status IN ('due', 'overdue')) GROUP BY 1"""),

@@ -8,6 +8,7 @@ from steadyline.operators import audit as H
 from steadyline.operators import baselines as B
 from steadyline.operators import explain as E
 from steadyline.operators import followup as U
+from steadyline.operators import intervals
 from steadyline.operators import labels as L
 from steadyline.operators import merkle
 from steadyline.operators import models as M
@@ -655,6 +656,25 @@ def f2_feasibility(spark, sf):
     return _feasible(spark, sf, cases).select("case_id", "busy_days", "first_free", "feasibility")
 
 
+MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {})"
+HOUR = 3_600_000_000
+
+
+@query
+def f2_busy_time(spark, sf):
+    """Per case: the duties that reach into the three days after it, and for how many seconds."""
+    cases = flow.cases_of(spark, sf).select("case_id", "entity_id", F.date_add("case_day", 1).cast("timestamp_ntz").alias("from_ts"))
+    window = cases.select("case_id", "entity_id", F.expr(MICROS.format("from_ts")).alias("w0")).withColumn("w1", F.col("w0") + 72 * HOUR)
+    duties = flow.duties(spark, sf).select("entity_id", F.expr(MICROS.format("start_ts")).alias("d0"), F.expr(MICROS.format("end_ts")).alias("d1"))
+    met = intervals.overlap_join(window, duties, ["entity_id"], ("w0", "w1"), ("d0", "d1"), HOUR)
+    length = intervals.overlap_length(("w0", "w1"), ("d0", "d1"))
+    sums = met.groupBy("case_id").agg(F.count("*").alias("duties"), F.sum(length).alias("micros"))
+    return cases.select("case_id").join(sums, "case_id", "left").select(
+        "case_id", F.coalesce("duties", F.lit(0)).cast("bigint").alias("duties"),
+        F.floor(F.coalesce("micros", F.lit(0)) / 1_000_000).cast("bigint").alias("seconds"),
+    )
+
+
 @query
 def f3_followup_status(spark, sf):
     return U.followup_status(flow.followups(spark, sf), flow.order_as_of(spark, sf))
