@@ -65,6 +65,14 @@ class Ordered:
         value = F.when(F.col("_first"), F.col("_before._v")).otherwise(F.col("_prev"))
         return rows.withColumn(name, value).drop("_prev", "_first", "_before")
 
+    def latest(self, value: Column, counts: Column, name: str) -> DataFrame:
+        """``value`` of the last row up to this one, within the key, where ``counts`` holds. ``order`` must be plain ascending names."""
+        held = F.when(counts, F.struct(value.alias("_v")))
+        rows = self.df.withColumn("_here", F.last(held, ignorenulls=True).over(self._local().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        newest = F.max(F.when(counts, F.struct(*self.order, held.alias("_h")))).alias("_newest")
+        rows = self._with_earlier(rows, [newest], {"_before": F.max("_newest")})
+        return rows.withColumn(name, F.coalesce(F.col("_here"), F.col("_before._h"))["_v"]).drop("_here", "_before")
+
 
 # ---- replay of a finite-state log ----------------------------------------------------------------
 #

@@ -422,6 +422,10 @@ ORACLE.update({
     "g4_dashboard": q(ADMIT, """SELECT r_name AS region_name, n_name AS group_name, count(case_id) AS cases, count(*) FILTER (WHERE level = 'high') AS high
         FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN cases ON group_id = n_nationkey GROUP BY ROLLUP (r_name, n_name)"""),
     "g5_timeline": q(ADMIT, "SELECT f.entity_id, f.day, f.load, f.load_z, f.material, c.case_id, c.level FROM feat f LEFT JOIN cases c ON c.entity_id = f.entity_id AND c.case_day = f.day"),
+    "r6_asof_error": """WITH m AS (SELECT *, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER w AS error_id,
+        last_value(CASE WHEN event_type = 'error' THEN ts END IGNORE NULLS) OVER w AS error_ts FROM events
+        WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type <> 'error', event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+        SELECT event_id, user_id, error_id, CAST(floor(date_diff('microsecond', error_ts, ts) / 60000000.0) AS BIGINT) AS minutes FROM m WHERE event_type = 'purchase'""",
     "h1_chain": q(AUD, "SELECT conv_id, turn, segment, prev_hash, hash FROM ch"),
     "h1_heads_seal": q(AUD, f""", hd AS (SELECT sha256(conv_id || '#' || segment || '#' || events || '#' || head) AS dg FROM heads)
         SELECT count(*) AS segments, sha256(CAST(count(*) AS VARCHAR) || '#' || {sums('dg')}) AS seal FROM hd"""),

@@ -18,6 +18,7 @@ from steadyline.operators import ranking as K
 from steadyline.operators import signals as A
 from steadyline.operators import summary as S
 from steadyline.operators import workflow as W
+from steadyline.operators.asof import asof_join
 from steadyline.plans import flow
 from steadyline.sources import difference, guards, publish, staging
 from steadyline.sources.staging import staged
@@ -731,6 +732,16 @@ def g5_timeline(spark, sf):
     return S.timeline(flagged, cases)
 
 
+@query
+def r6_asof_error(spark, sf):
+    """To each purchase the same entity's last error up to it: which one, and how many whole minutes before."""
+    events = read_table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    bought, failed = (events.where(F.col("event_type") == kind).drop("event_type") for kind in ("purchase", "error"))
+    met = asof_join(bought, failed, ["user_id"], "ts", "ts", "event_id", "event_id", ["event_id", "ts"])
+    minutes = F.expr("timestampdiff(MINUTE, asof_ts, ts)").alias("minutes")
+    return met.select("event_id", "user_id", F.col("asof_event_id").alias("error_id"), minutes)
+
+
 # ---- audit -----------------------------------------------------------------------------------------------
 
 SEGMENT = 4  # short, so that even short conversations span segments
