@@ -4,6 +4,7 @@ import functools
 import re
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from steadyline.functions.digests import digest_sums, fingerprint, payload
@@ -12,7 +13,7 @@ from steadyline.sources.guards import LINEAGE, assert_finite, assert_unambiguous
 from steadyline.sources.staging import staged
 
 FILE_BYTES = 128 << 20  # what files are cut to, by the mean bytes of a row
-WHOLE_BYTES = 512 << 20  # up to here a file is hashed as one value; a larger one by its rows
+WHOLE_BYTES = 512 << 20  # up to here a file is hashed as one value; a larger one has a digest of its rows instead
 
 
 @dataclass(frozen=True)
@@ -55,10 +56,10 @@ def row_bytes(df: DataFrame) -> int:
 
 
 def manifest(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
-    """Relative path, length and SHA-256 of each parquet file below ``path``; hashed where the file is read.
+    """(file, length, sha256, rows_sha256) of each parquet file below ``path``; hashed where the file is read.
 
-    A file above ``whole_bytes`` is never one value: its hash is that of its rows, whatever their order. A file whose
-    rows can't be read has none.
+    A file above ``whole_bytes`` can't be one value, so it has no ``sha256`` but a ``rows_sha256``, of its rows in any
+    order; smaller files have no ``rows_sha256``. A file that can't be read has neither.
     """
     files = (
         spark.read.format("binaryFile")
@@ -68,35 +69,51 @@ def manifest(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) ->
     )
     folder = path.rstrip("/").rsplit("/", 1)[-1]
     relative = F.regexp_replace("path", f"^.*/{re.escape(folder)}/", "")
+    none = F.lit(None).cast("string")
     # the filter on length keeps the contents of larger files unread
-    whole = files.filter(F.col("length") <= whole_bytes).select(relative.alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    whole = files.filter(F.col("length") <= whole_bytes).select(relative.alias("file"), "length", F.sha2("content", 256).alias("sha256"), none.alias("rows_sha256"))
     large = files.select(relative.alias("file"), "length").filter(F.col("length") > whole_bytes)
     paths = [r["file"] for r in large.select("file").collect()]  # names of files above the bound only; file_bytes keeps them rare
-    if not paths:
-        return whole
     out = whole
-    for name in sorted({p.rsplit("/", 1)[0] if "/" in p else "" for p in paths}):  # files of one folder have one schema
-        own = [f"{path.rstrip('/')}/{p}" for p in paths if (p.rsplit("/", 1)[0] if "/" in p else "") == name]
-        rows = spark.read.option("ignoreCorruptFiles", True).parquet(*own)
-        at = F.regexp_replace(F.url_decode("_metadata.file_path"), f"^.*/{re.escape(folder)}/", "").alias("file")
-        digests = rows.select(at, F.sha2(payload(*rows.columns), 256).alias("_d")).groupBy("file").agg(F.count("*").alias("_n"), *digest_sums(F.col("_d")))
-        text = F.concat_ws("#", F.col("_n").cast("string"), *[F.col(f"part{i}").cast("string") for i in range(4)])
-        listed = large.filter(F.col("file").isin([p for p in paths if (p.rsplit("/", 1)[0] if "/" in p else "") == name]))
-        out = out.unionByName(listed.join(digests.select("file", F.sha2(text, 256).alias("sha256")), "file", "left"))
+    for name in sorted({_parent(p) for p in paths}):  # files of one folder have one schema
+        listed = large.filter(F.col("file").isin([p for p in paths if _parent(p) == name])).withColumn("sha256", none)
+        digests = _row_digests(spark, [f"{path.rstrip('/')}/{p}" for p in paths if _parent(p) == name], folder)
+        out = out.unionByName(listed.withColumn("rows_sha256", none) if digests is None else listed.join(digests, "file", "left"))
     return out
 
 
+def _parent(file: str) -> str:
+    return file.rsplit("/", 1)[0] if "/" in file else ""
+
+
+def _row_digests(spark: SparkSession, paths: list[str], folder: str) -> DataFrame | None:
+    """(file, rows_sha256) of the files whose rows can be read; None if there is none. One damaged file costs the others a job each."""
+    try:
+        rows = spark.read.option("ignoreCorruptFiles", True).parquet(*paths)
+    except AnalysisException:  # the file that is asked for the columns doesn't tell them
+        apart = [_row_digests(spark, [p], folder) for p in paths] if len(paths) > 1 else []
+        found = [d for d in apart if d is not None]
+        return functools.reduce(DataFrame.unionByName, found) if found else None
+    at = F.regexp_replace(F.url_decode("_metadata.file_path"), f"^.*/{re.escape(folder)}/", "").alias("file")
+    digests = rows.select(at, F.sha2(payload(*rows.columns), 256).alias("_d")).groupBy("file").agg(F.count("*").alias("_n"), *digest_sums(F.col("_d")))
+    text = F.concat_ws("#", F.col("_n").cast("string"), *[F.col(f"part{i}").cast("string") for i in range(4)])
+    return digests.select("file", F.sha2(text, 256).alias("rows_sha256"))
+
+
 def verify_manifest(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """Per file: ok, changed, missing or extra."""
-    a = actual.select("file", F.col("length").alias("_al"), F.col("sha256").alias("_as"))
-    e = expected.select("file", F.col("length").alias("_el"), F.col("sha256").alias("_es"))
+    """Per file: ok, changed, missing or extra. A file that is there but can't be read is changed."""
+    def side(df, mark):
+        kept = F.struct("length", "sha256", "rows_sha256")
+        return df.select("file", kept.alias(mark))
+
+    known = F.coalesce(F.col("a.sha256"), F.col("a.rows_sha256")).isNotNull()
     status = (
-        F.when(F.col("_as").isNull(), F.lit("missing"))
-        .when(F.col("_es").isNull(), F.lit("extra"))
-        .when((F.col("_as") == F.col("_es")) & (F.col("_al") == F.col("_el")), F.lit("ok"))
+        F.when(F.col("a").isNull(), F.lit("missing"))
+        .when(F.col("e").isNull(), F.lit("extra"))
+        .when(known & (F.col("a") == F.col("e")), F.lit("ok"))
         .otherwise(F.lit("changed"))
     )
-    return a.join(e, "file", "full_outer").select("file", status.alias("status"))
+    return side(actual, "a").join(side(expected, "e"), "file", "full_outer").select("file", status.alias("status"))
 
 
 def read_verified(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -38,13 +38,31 @@ def test_large_files_are_hashed_by_rows(spark, tmp_path):
     table.limit(3).coalesce(1).write.parquet(f"{path}/small")
     bound = 3000
     first = {r["file"].split("/")[0]: r for r in S.manifest(spark, path, bound).collect()}
-    assert first["t"]["length"] > bound >= first["small"]["length"] and all(len(r["sha256"]) == 64 for r in first.values())
+    assert first["t"]["length"] > bound >= first["small"]["length"]
+    assert first["t"]["sha256"] is None and len(first["t"]["rows_sha256"]) == 64
+    assert first["small"]["rows_sha256"] is None and len(first["small"]["sha256"]) == 64
     shuffled = str(tmp_path / "again" / "data")
     table.orderBy(F.desc("id")).coalesce(1).write.parquet(f"{shuffled}/t")
-    assert S.manifest(spark, shuffled, bound).first()["sha256"] == first["t"]["sha256"]
+    assert S.manifest(spark, shuffled, bound).first()["rows_sha256"] == first["t"]["rows_sha256"]
     altered = str(tmp_path / "altered" / "data")
     table.withColumn("t", F.when(F.col("id") == 7, "y").otherwise(F.col("t"))).coalesce(1).write.parquet(f"{altered}/t")
-    assert S.manifest(spark, altered, bound).first()["sha256"] != first["t"]["sha256"]
+    assert S.manifest(spark, altered, bound).first()["rows_sha256"] != first["t"]["rows_sha256"]
+
+
+@pytest.mark.parametrize("bound", [100, 10_000_000])
+def test_a_damaged_file_is_changed_whatever_its_size(spark, tmp_path, bound):
+    path = tmp_path / "data"
+    for name in ("t", "u"):
+        spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).repartition(2).write.parquet(f"{path}/{name}")
+    stored = spark.createDataFrame(S.manifest(spark, str(path), bound).collect(), S.manifest(spark, str(path), bound).schema)
+    hurt = [sorted((path / "t").glob("*.parquet"))[0], *(path / "u").glob("*.parquet")]  # of u no file can be read
+    for file in hurt:
+        file.write_bytes(b"x" * file.stat().st_size)
+        for crc in file.parent.glob(f".{file.name}.crc"):
+            crc.unlink()
+    gone = sorted((path / "t").glob("*.parquet"))[1]
+    status = {r["file"]: r["status"] for r in S.verify_manifest(S.manifest(spark, str(path), bound), stored).collect()}
+    assert status == {f"{f.parent.name}/{f.name}": "changed" for f in hurt} | {f"t/{gone.name}": "ok"}
 
 
 def test_files_are_cut_by_bytes_and_only_the_read_table_is_verified(spark, tmp_path):
