@@ -339,6 +339,9 @@ ORACLE.update({
     "s10_ambiguous": "SELECT count(*) AS rows, 2 AS ambiguous FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "s11_currency": q(ADMIT, "SELECT max(case_day) AS latest_case_day, (SELECT max(day) FROM pd) AS as_of FROM cases"),
     "s12_append_actions": q(LOG, "SELECT CAST(ts AS DATE) AS day, action, count(*) AS n FROM act GROUP BY ALL"),
+    "q5_kept_summaries": """SELECT l_returnflag, count(*) AS rows, count(l_discount) AS present_l_discount, min(l_discount) AS least_l_discount, max(l_discount) AS greatest_l_discount,
+        count(*) FILTER (WHERE l_quantity > 45) AS broken_small, count(*) FILTER (WHERE l_tax <= 0) AS broken_taxed, l_returnflag = 'R' AS read
+        FROM (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 10) GROUP BY l_returnflag""",
     "q1_completeness": q(REC, " UNION ALL ".join(
         f"SELECT count(*) AS rows, '{c}' AS \"column\", count({c}) AS present, count(*) - count({c}) AS missing FROM spine" for c in ("load", "errors", "value_sum"))),
     "q2_range_check": q(LINE, "SELECT rule, n FROM findings WHERE rule LIKE 'range%'"),

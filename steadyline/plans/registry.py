@@ -17,6 +17,7 @@ from steadyline.operators import queue as R
 from steadyline.operators import ranking as K
 from steadyline.operators import signals as A
 from steadyline.operators import summary as S
+from steadyline.operators import upkeep
 from steadyline.operators import workflow as W
 from steadyline.operators.asof import asof_join
 from steadyline.plans import flow
@@ -42,6 +43,18 @@ def s2_entity_days(spark, sf):
     return flow.days(flow.records(spark, sf)).withColumn("value_sum", F.round("value_sum", 4))
 
 
+@query
+def q5_kept_summaries(spark, sf):
+    """Line items by flag, summarised; then late items of one flag arrive, and only that flag is read again."""
+    path = staging.new_location(spark, "items")
+    items = read_table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_tax")
+    items.write.partitionBy("l_returnflag").parquet(path)
+    rules = {"small": F.col("l_quantity") <= 45, "taxed": F.col("l_tax") > 0}
+    first = upkeep.refreshed(spark, path, "l_returnflag", ["l_discount"], rules)
+    items.where("l_returnflag = 'R' and l_quantity < 10").write.mode("append").partitionBy("l_returnflag").parquet(path)
+    return upkeep.refreshed(spark, path, "l_returnflag", ["l_discount"], rules, first).drop(upkeep.FILES)
+
+
 @query
 def q6_spine(spark, sf):
     return flow.base(spark, sf).dense.drop("day_no").withColumn("value_sum", F.round("value_sum", 4))
