@@ -29,18 +29,28 @@ BIN = 256
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _spans(kind: str, gaps: Column, found: Column, value: Column, least: int) -> Column:
-    """Spans of all matches from the texts between them, in one walk; those with too short a value are dropped."""
-    steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"), value.alias("value"))
+def _spans(kind: str, steps: Column, least: int) -> Column:
+    """Spans of all matches from the texts between them; those with too short a value are dropped.
+
+    ``steps`` is a column of its own. They are walked in blocks of about the root of their number, so that no array
+    is copied once for each hit of a text with very many.
+    """
+    n = F.size(steps)
+    block = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.slice(steps, b * block + 1, block))
+    long = lambda s: F.length(s["gap"]) + F.length(s["hit"])
+    lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, s: a + long(s)))
+    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+    empty = F.array().cast(SPAN)
 
     def step(a, s):
         start = a["at"] + F.length(s["gap"])
-        end = start + F.length(s["hit"])
+        end = a["at"] + long(s)
         one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(F.length(s["value"]) >= least, F.array_append(a["spans"], one)).otherwise(a["spans"]).alias("spans"))
 
-    empty = F.array().cast(SPAN)
-    return F.when(F.size(found) > 0, F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]).otherwise(empty)
+    walked = F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(starts) - 1), lambda b, at: F.aggregate(b, F.struct(at.alias("at"), empty.alias("spans")), step)["spans"])
+    return F.when(n > 0, F.flatten(walked)).otherwise(empty)
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
@@ -53,10 +63,13 @@ def _scanned(docs: DataFrame) -> DataFrame:
     parts = hits.select("*", *[F.when(some(k), F.split("text", p, -1)).alias(f"{k}_gap") for k, (p, _, _) in patterns.items()], *[
         F.when(some(k), F.regexp_extract_all("text", F.lit(p), F.lit(g))).alias(f"{k}_value") for k, (p, g, _) in patterns.items() if g
     ])
-    return parts.select("doc_id", "k1", "k2", *[
-        _spans(k, F.col(f"{k}_gap"), F.col(f"{k}_hit"), F.col(f"{k}_value" if g else f"{k}_hit"), least).alias(k)
-        for k, (_, g, least) in patterns.items()
+    walked = parts.select("doc_id", "k1", "k2", *[
+        F.arrays_zip(
+            F.slice(f"{k}_gap", F.lit(1), F.size(f"{k}_hit")).alias("gap"), F.col(f"{k}_hit").alias("hit"), F.col(f"{k}_value" if g else f"{k}_hit").alias("value")
+        ).alias(k)
+        for k, (_, g, _) in patterns.items()
     ])
+    return walked.select("doc_id", "k1", "k2", *[_spans(k, F.col(k), least).alias(k) for k, (_, _, least) in patterns.items()])
 
 
 def _linked(scan: DataFrame) -> DataFrame:
@@ -108,20 +121,42 @@ def joined(spans: str) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])))
 
 
+CHUNK = 4096  # code points of a text that are rewritten as one value
+FEW = 500_000  # rows with spans up to which their keys are sent to the texts; beyond it texts are shuffled, with the same result
+
+
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with all spans of each text, overlapping ones as one, replaced by ``mark``; null texts stay null."""
-    found = secrets(docs).where("size(spans) > 0").select(
-        F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans")
-    ).dropDuplicates(["__k1", "__k2"])
+    """``docs`` with all spans of each text, overlapping ones as one, replaced by ``mark``; null texts stay null.
+
+    Texts without spans stay where they are. The others are cut into chunks, which are rewritten side by side.
+    """
+    found = staged(secrets(docs).where("size(spans) > 0").select("k1", "k2", "spans").dropDuplicates(["k1", "k2"]), "redactions")
+    keys = found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    keys = F.broadcast(keys) if found.count() <= FEW else keys
     keyed = docs.withColumns({"__k1": F.coalesce("doc_id", F.lit(0)), "__k2": F.xxhash64("doc_id", F.coalesce("text", F.lit("")))})
+    clean, hit = (keyed.join(keys, ["__k1", "__k2"], how) for how in ("left_anti", "left_semi"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    texts = hit.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "text").dropDuplicates(["k1", "k2"])
+    chunks = texts.select("k1", "k2", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).alias("c", "part"))
+    spans = found.select("k1", "k2", F.explode("spans").alias("s")).select(
+        "k1", "k2", F.col("s.start").alias("a"), F.col("s.end").alias("z"), F.explode(F.sequence(F.floor(F.col("s.start") / CHUNK).cast("int"), F.floor((F.col("s.end") - 1) / CHUNK).cast("int"))).alias("c"),
+    )
+    # within a chunk: where a span lies, and whether it begins here; one that comes from the chunk before is first
+    here = spans.select("k1", "k2", "c", F.struct(
+        F.greatest(F.col("a") - F.col("c") * CHUNK, F.lit(0)).alias("lo"), (F.col("a") >= F.col("c") * CHUNK).alias("begins"),
+        F.least(F.col("z") - F.col("c") * CHUNK, F.lit(CHUNK)).alias("hi"),
+    ).alias("s")).groupBy("k1", "k2", "c").agg(F.sort_array(F.collect_list("s")).alias("own"))
 
     def step(a, s):
-        out = F.concat(a["out"], F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.lit(mark))
-        return F.struct(
-            F.when(s["start"] >= a["at"], out).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at")
-        )
-
-    walk = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
-    text = F.concat(F.col("__walk.out"), F.substring("text", F.col("__walk.at") + 1, F.length("text")))
-    out = keyed.join(found, ["__k1", "__k2"], "left").withColumn("__walk", F.when(F.col("__spans").isNotNull(), walk))
-    return out.withColumn("text", F.when(F.col("__walk").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+        put = F.concat(a["out"], F.substring("part", a["at"] + 1, s["lo"] - a["at"]), F.when(s["begins"], F.lit(mark)).otherwise(F.lit("")))
+        return F.struct(F.when(s["lo"] >= a["at"], put).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["hi"]).alias("at"))
+
+    walk = F.aggregate("own", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
+    met = chunks.join(here, ["k1", "k2", "c"], "left").select("k1", "k2", "c", "part", F.when(F.col("own").isNotNull(), walk).alias("w"))
+    new = F.when(F.col("w").isNull(), F.col("part")).otherwise(F.concat(F.col("w.out"), F.substring("part", F.col("w.at") + 1, F.length("part"))))
+    rewritten = met.select("k1", "k2", "c", new.alias("new")).groupBy("k1", "k2").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c", "new"))), lambda x: x["new"]), "").alias("__new")
+    )
+    made = rewritten.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "__new")
+    out = hit.drop("text").join(made, ["__k1", "__k2"]).withColumn("text", F.col("__new"))
+    return clean.select(*columns).unionByName(out.select(*columns))

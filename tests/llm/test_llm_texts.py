@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+import regex
 import xxhash
 from tests_llm_brute import BLANK, brute_base, brute_contamination, brute_groups, brute_print, grams
 
@@ -210,6 +211,46 @@ def test_redacted(spark):
     assert got[10].text.startswith("[SECRET]\" then") and {r.k1 for r in out.collect()} == {"a"}
 
 
+def test_a_text_of_very_many_hits(spark):
+    """100,000 hits in one text, some across the borders of chunks; the walk is not copied once for each hit."""
+    hits = " ".join(f"token=abc{i:06d}" for i in range(100_000))
+    rows = [(0, hits), (1, "é" * 4090 + " password=abcdefgh"), (2, "𝄞x" * 3000 + " token=" + "a" * 9000 + "\ntoken=abcdefg " + "y" * 5000), (3, "no secret")]
+    got = {r.doc_id: r for r in secrets.secrets(frame(spark, rows)).select("doc_id", "base").collect()}
+    for i, text in rows:
+        assert [(s.start, s.kind, s.end) for s in got[i].base] == brute_base(text)
+    out = {r.doc_id: r.text for r in secrets.redacted(frame(spark, rows)).collect()}
+    assert out[0] == " ".join(["[SECRET]"] * 100_000) and out[3] == "no secret"
+    assert out[1] == "é" * 4090 + " [SECRET]" and out[2] == "𝄞x" * 3000 + " [SECRET]\n[SECRET] " + "y" * 5000
+
+
+def brute_linked(text):
+    """All spans: base ones, and weak ones that are covered by none and have their complements within the scope."""
+    base = brute_base(text)
+    at = [(m.start(), len(secrets.STRONG) + k, m.end()) for k, (p, g, least) in enumerate(secrets.WEAK.values()) for m in regex.finditer(java(p), text or "") if len(m[g]) >= least]
+    every, out = base + at, list(base)
+    for s, k, e in at:
+        apart = [(x, j, y) for x, j, y in every if x < e + secrets.SCOPE and y > s - secrets.SCOPE and (x >= e or y <= s)]
+        roles = {secrets.ROLE[secrets.KINDS[j]] for _, j, _ in apart}
+        covered = any(x < e and y > s for x, _, y in base)
+        if not covered and set(secrets.NEEDS[secrets.KINDS[k]]) <= roles:
+            out.append((s, k, e))
+    return sorted(out)
+
+
+def java(pattern):
+    """A scoped flag instead of one that is switched on and off again."""
+    return pattern.replace("((?i)", "((?i:").replace(")(?-i)", "))")
+
+
+def test_linked_spans_match_brute_force(spark):
+    draw = random.Random(12)
+    words = ["user: alice", "login=bob77", "AKIA" + "A1B2C3D4E5F6G7H8", "token=abcdef12", "Ab1/" * 10, "0" * 24 + "abcdef", "https://s3.example.org/x", "redis://h:1/0", "plain", "words", "-" * 40]
+    rows = [(i, " ".join(draw.choice(words) + " " * draw.choice([0, 0, 30, 150]) for _ in range(draw.randint(1, 30)))) for i in range(150)]
+    got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans] for r in secrets.secrets(frame(spark, rows)).collect()}
+    assert got == {i: brute_linked(t) for i, t in rows}
+    assert sum(len(v) for v in got.values()) > sum(len(brute_base(t)) for _, t in rows) + 100
+
+
 def test_parts_of_a_credential(spark):
     access, key = "AKIA" + "IOSFODNN7EXAMPLE", "wJalrXUtnFEMI/K7MDENG/bPxRfiCY" + "EXAMPLEKEY"
     padded, long, safe = "Ab1/" * 10 + "xyz=", "Cd2+" * 21 + "ef==", "Gh3_-" * 8
