@@ -6,6 +6,7 @@ runs folded, a repeat of the word before as a shape of its own), pairs and tripl
 """
 
 import re
+import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from steadyline.llm.batches import slices, with_column
 from steadyline.llm.words import gram_hashes, gram_starts, hashes, listed, mixed, words_of
-from steadyline.sources.staging import staged
+from steadyline.sources.staging import new_location, staged
 
 SCALE = 8.0
 BLOCKS = 16
@@ -77,6 +78,16 @@ def _follow(z, n, feature, value, label, s: Settings):
     n[feature] = grown
 
 
+def _by_shard(vectors: DataFrame, shards: int) -> DataFrame:
+    """One row for each doc_id, as a table bucketed by shard: dealt out once, and each round reads its shards from there."""
+    spark = vectors.sparkSession
+    # rows of a doc_id are of one shard, so the rows stay where the first deal has put them
+    own = vectors.repartition(shards, "shard").dropDuplicates(["shard", "doc_id"])
+    name = f"steadyline_vectors_{uuid.uuid4().hex}"
+    own.write.bucketBy(shards, "shard").option("path", new_location(spark, "vectors")).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> np.ndarray:
     """Weights, the bias last, from labelled rows (doc_id, quality 0 or 1) of documents (doc_id, text).
 
@@ -102,7 +113,7 @@ def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
 
     vectors = rows.mapInArrow(vectorised, "doc_id bigint, label int, feature array<int>, value array<float>")
     shard = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(s.shards)).cast("int").alias("shard")
-    vectors = staged(vectors.dropDuplicates(["doc_id"]).select("*", shard), "vectors")
+    vectors = _by_shard(vectors.select("*", shard), s.shards)
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(s.rounds):
         start = spark.sparkContext.broadcast((z, n))

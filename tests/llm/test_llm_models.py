@@ -119,6 +119,21 @@ def test_quality_on_held_out_rows(spark):
     assert len({r.score for r in got if r.doc_id == 0}) == 1
 
 
+def test_quality_deals_its_vectors_out_once(spark, monkeypatch):
+    rows, labels = marked(300)
+    labelled = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    docs, plans = frame(spark, rows + [rows[0], (rows[1][0], "another text")]), []
+    plain = type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    seen = []
+    by_shard = quality._by_shard
+    monkeypatch.setattr(quality, "_by_shard", lambda *a: seen.append(by_shard(*a)) or seen[-1])
+    assert quality.fitted(docs, labelled, quality.Settings(bits=10, shards=3, rounds=2)).any()
+    assert len(plans) == 2 and not any("hashpartitioning(shard" in p for p in plans)
+    monkeypatch.undo()
+    assert sorted(r.doc_id for r in seen[0].collect()) == list(range(300))
+
+
 def test_quality_without_labels(spark):
     docs = frame(spark, marked(10)[0])
     none = spark.createDataFrame([], "doc_id bigint, quality int")
