@@ -27,7 +27,6 @@ class Chunks:
     """``docs`` (doc_id, text) as a bucketed table with a chunk number; ``n``: hash buckets, in proportion to the bytes."""
 
     def __init__(self, docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES):
-        spark = docs.sparkSession
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.n = min(MOST_BUCKETS, max(1, math.ceil(total / bucket_bytes)))
 
@@ -43,17 +42,25 @@ class Chunks:
                     chunk.append(part << 32 | seq)
                 yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), *batch.columns], names=["chunk", "doc_id", "text"])
 
-        name = f"steadyline_chunks_{uuid.uuid4().hex}"
-        numbers = docs.select("doc_id", "text").mapInArrow(numbered, "chunk bigint, doc_id bigint, text string")
-        numbers.write.bucketBy(self.n, "chunk").option("path", new_location(spark, "chunks")).option("compression", "zstd").format("parquet").saveAsTable(name)
-        self.df = spark.table(name)
+        self.df = self.kept(docs.select("doc_id", "text").mapInArrow(numbered, "chunk bigint, doc_id bigint, text string"), "chunks")
+
+    def kept(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` as a table that is bucketed by chunk."""
+        spark, full = rows.sparkSession, f"steadyline_{name}_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.n, "chunk").option("path", new_location(spark, name)).option("compression", "zstd").format("parquet").saveAsTable(full)
+        return spark.table(full)
 
     def each(self, compute, schema: str) -> DataFrame:
         return self.df.groupBy("chunk").applyInArrow(compute, schema)
 
     def each_with(self, answers: DataFrame, compute, schema: str) -> DataFrame:
         """``compute(docs, answers)`` for each chunk; there may be no answers."""
-        return self.df.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(compute, schema)
+        return chunks_with(self.df, answers, compute, schema)
+
+
+def chunks_with(own: DataFrame, answers: DataFrame, compute, schema: str) -> DataFrame:
+    """``compute(own, answers)`` for each chunk of a table bucketed by chunk."""
+    return own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(compute, schema)
 
 
 def by_bucket(asks: DataFrame, compute, schema: str) -> DataFrame:

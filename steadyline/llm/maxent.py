@@ -4,7 +4,8 @@ P(word | history) = P(class | history) P(subclass | class, history) P(word | sub
 softmaxes over hashed n-gram and skip features of the three words before; the third is the words' smoothed
 frequency in the subclass. Classes come from a sign hash of the words' neighbours in the training texts, so words
 that keep like company fall together. All counts are over the whole training corpus, and each training round is
-a pass over all of it: chunks take gradient steps from common weights, which are then averaged.
+a pass over all of it: chunks take gradient steps from common weights, which are then averaged. Texts are cut into
+words once; later passes read each chunk as numbers of its distinct words and their hashes.
 """
 
 import zlib
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from steadyline.llm.exchange import Chunks, by_bucket, packed, runs, unpacked
+from steadyline.llm.exchange import Chunks, by_bucket, chunks_with, packed, runs, unpacked
 from steadyline.llm.words import LOWER, hashes, mixed, words_of
 from steadyline.sources.staging import staged
 
@@ -57,28 +58,52 @@ def is_held_out(doc_id: pa.Array, folds: int) -> np.ndarray:
 class _Chunk:
     """The words of a chunk and its distinct words in the order in which it asks and is answered."""
 
+    CODED = "doc_ids array<bigint>, starts binary, places binary, hashes binary"
+
     def __init__(self, given: pa.Table, n: int, folds: int):
-        self.words = words_of(given["text"], LOWER)
-        high, low = hashes(self.words.vocab)
+        words = words_of(given["text"], LOWER)
+        high, low = hashes(words.vocab)
         bucket = high % np.uint64(n)
         order = np.lexsort((low, bucket))
-        self.bucket, self.low, self.hash = bucket[order].astype(np.int64), low[order], high
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.place = place[self.words.code] if len(order) else np.zeros(0, np.int64)
-        self.held = is_held_out(given["doc_id"], folds)
+        self.bucket, self.low, self.hash = bucket[order].astype(np.int64), low[order], high[order]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.place = place[words.code] if len(order) else np.zeros(0, np.int32)
+        self.start, self.doc_id = words.start, given["doc_id"].combine_chunks()
+        self.held = is_held_out(self.doc_id, folds)
         self.number = given["chunk"][0].as_py()
 
+    def coded(self) -> tuple:
+        """What later passes need instead of the texts, as the columns of ``CODED``."""
+        return self.doc_id.to_pylist(), packed(self.start), packed(self.place), self.hash.tobytes()
+
+    @classmethod
+    def read(cls, given: pa.Table, folds: int) -> "_Chunk":
+        """A chunk from its one coded row; it can't ask again."""
+        c = cls.__new__(cls)
+        of = lambda name: given[name].combine_chunks()[0]
+        c.doc_id = of("doc_ids").values
+        c.start, c.place = unpacked(of("starts").as_py()), unpacked(of("places").as_py(), np.int32)
+        c.hash = np.frombuffer(of("hashes").as_py(), np.uint64)
+        c.held = is_held_out(c.doc_id, folds)
+        return c
+
+    def counts(self) -> np.ndarray:
+        return np.diff(self.start)
+
+    def text_no(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.start) - 1), self.counts())
+
     def learnt(self) -> np.ndarray:
         """Which words stand in training documents."""
-        return np.repeat(~self.held, self.words.counts())
+        return np.repeat(~self.held, self.counts())
 
     def company(self):
         """For each distinct word in training: count, neighbours, and the sum of the neighbours' sign bits."""
         n, learnt = len(self.low), self.learnt()
-        text = self.words.text_no()
+        text = self.text_no()
         bits = np.unpackbits((self.hash & np.uint64(255)).astype(np.uint8)[:, None], axis=1, bitorder="little")
-        signs = (bits.astype(np.int8) * 2 - 1)[self.words.code]
+        signs = (bits.astype(np.int8) * 2 - 1)[self.place]
         total, near = np.zeros((len(text), BITS), np.int8), np.zeros(len(text), np.int8)  # a few neighbours at most
         for d in NEAR:
             if len(text) <= d:
@@ -104,9 +129,9 @@ class _Chunk:
 
     def sequence(self, count: np.ndarray, leaf: np.ndarray, end_count: int):
         """Per token, an end after each text: number of the text, count, leaf, and hashes of the three tokens before."""
-        where, n = self.words.start[1:], len(self.words.start) - 1
-        text = np.insert(self.words.text_no(), where, np.arange(n))
-        own = np.insert(self.hash[self.words.code], where, END)
+        where, n = self.start[1:], len(self.start) - 1
+        text = np.insert(self.text_no(), where, np.arange(n))
+        own = np.insert(self.hash[self.place], where, END)
         counts = np.insert(count[self.place], where, end_count)
         leaves = np.insert(leaf[self.place], where, END_LEAF).astype(np.int64)
         before = []
@@ -121,13 +146,17 @@ class _Chunk:
 def _features(before, bits: int, given: np.ndarray | None = None) -> np.ndarray:
     """Rows of weights, (N_FEATURES, tokens): bias, word before, two words before, and two skips."""
     one, two, three = before
-    kinds = [np.zeros(len(one), np.uint64), one, one * SPREAD + two, two, three]
     out = np.empty((N_FEATURES, len(one)), np.int64)
-    for k, values in enumerate(kinds):
+    shift = np.uint64(64 - bits)
+    # the bias looks at no word: one row, or one for each class
+    classes = np.zeros(1, np.uint64) if given is None else (np.arange(SIDE, dtype=np.uint64) + np.uint64(1)) * START
+    rows = (mixed(classes + SPREAD) >> shift).astype(np.int64)
+    out[0] = rows[0] if given is None else rows[given]
+    for k, values in enumerate((one, one * SPREAD + two, two, three), 1):
         key = values + np.array([k + 1], np.uint64) * SPREAD
         if given is not None:
-            key = key + (given.astype(np.uint64) + np.uint64(1)) * START
-        out[k] = (mixed(key) >> np.uint64(64 - bits)).astype(np.int64)
+            key += classes[given]
+        out[k] = mixed(key) >> shift
     return out
 
 
@@ -161,9 +190,10 @@ def _descended(weights: np.ndarray, before, leaf, s: Settings) -> np.ndarray:
         for (rows, target), own in zip(_rows(part, leaf[i : i + batch], s), (slice(0, edge), slice(edge, None))):
             error = _softmax(weights, rows)
             error[target, np.arange(len(target))] -= 1.0
-            flat = rows[1:].reshape(-1) - own.start
+            flat, tiled = rows[1:].reshape(-1) - own.start, np.empty((N_FEATURES - 1, len(target)))
             for j in range(SIDE):
-                sums[j, own] = np.bincount(flat, weights=np.tile(error[j], N_FEATURES - 1), minlength=sums[j, own].size)
+                tiled[:] = error[j]
+                sums[j, own] = np.bincount(flat, weights=tiled.reshape(-1), minlength=sums[j, own].size)
             # the bias has one row, or one for each class: a small product
             of = leaf[i : i + batch] // SIDE if own.start else np.zeros(len(target), np.int64)
             bias = np.full(SIDE, -1)
@@ -210,11 +240,14 @@ class LanguageModel:
             count, near, sums = c.company()
             ends = int((~c.held).sum())
             rows = [(b, c.number, c.low[p].tobytes(), packed(count[p]), packed(near[p]), packed(sums[p].astype(np.int32)), int(near[p].sum()), sums[p].sum(axis=0).tolist(), 0) for b, p in runs(c.bucket)]
-            rows.append((-1, c.number, b"", b"", b"", b"", 0, [0] * BITS, ends))  # how many texts end here
-            names = ["bucket", "chunk", "keys", "counts", "near", "sums", "all_near", "all_sums", "ends"]
-            return pa.table([pa.array(v, t) for v, t in zip(zip(*rows), [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.list_(pa.int64()), pa.int64()])], names=names)
-
-        asks = staged(chunks.each(ask, "bucket int, chunk bigint, keys binary, counts binary, near binary, sums binary, all_near bigint, all_sums array<bigint>, ends bigint"), "asks")
+            rows = [(*r, None, None, None, None) for r in rows]
+            rows.append((-1, c.number, b"", b"", b"", b"", 0, [0] * BITS, ends, *c.coded()))  # how many texts end here, and the chunk itself
+            names = ["bucket", "chunk", "keys", "counts", "near", "sums", "all_near", "all_sums", "ends", "doc_ids", "starts", "places", "hashes"]
+            kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3]
+            return pa.table([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names=names)
+
+        asks = chunks.kept(chunks.each(ask, f"bucket int, chunk bigint, keys binary, counts binary, near binary, sums binary, all_near bigint, all_sums array<bigint>, ends bigint, {_Chunk.CODED}"), "asks")
+        self.coded = asks.where("bucket = -1").select("chunk", "doc_ids", "starts", "places", "hashes")
         total = asks.agg(F.sum("ends").alias("ends"), F.sum("all_near").alias("near"), *[F.sum(F.get("all_sums", F.lit(j))).alias(f"s{j}") for j in range(BITS)]).first()
         mean = np.array([(total[f"s{j}"] or 0) / max(1, total["near"] or 0) for j in range(BITS)])
 
@@ -255,11 +288,11 @@ class LanguageModel:
         self.model = Model(weights, tokens, words, ends, int(tokens.sum()), int(words.sum()))
 
     def _round(self, spark, weights: np.ndarray, ends: int) -> np.ndarray:
-        s, n = self.settings, self.chunks.n
+        s = self.settings
         held = spark.sparkContext.broadcast(weights)
 
         def descend(given: pa.Table, answers: pa.Table) -> pa.Table:
-            c = _Chunk(given, n, s.folds)
+            c = _Chunk.read(given, s.folds)
             text, _, leaf, before = c.sequence(*c.answered(answers), ends)
             learnt = ~c.held[text]
             del c, text  # the rest of the work needs room
@@ -282,7 +315,7 @@ class LanguageModel:
                 })
 
         schema = "block int, values binary, share double"
-        own = self.chunks.each_with(self.answers, descend, schema).mapInArrow(added, schema)
+        own = chunks_with(self.coded, self.answers, descend, schema).mapInArrow(added, schema)
         rows = sorted(own.repartition(BLOCKS, "block").mapInArrow(added, schema).collect(), key=lambda r: r.block)  # the weights, once
         held.unpersist()
         if not rows or not rows[0].share:
@@ -295,23 +328,23 @@ class LanguageModel:
         base_score: log10 probability under smoothed word frequencies; score: under the model. A word that was not
         learnt has the count 0 and the unseen word's share of its subclass.
         """
-        s, n, m = self.settings, self.chunks.n, self.model
+        s, m = self.settings, self.model
         held = self.chunks.df.sparkSession.sparkContext.broadcast(m)
 
         def score(given: pa.Table, answers: pa.Table) -> pa.Table:
-            m, c = held.value, _Chunk(given, n, s.folds)
+            m, c = held.value, _Chunk.read(given, s.folds)
             text, count, leaf, before = c.sequence(*c.answered(answers), m.end_count)
             base = np.log10((count + ALPHA) / (m.tokens + ALPHA * (m.vocabulary + 1)))
             inside = np.log10((count + ALPHA) / (m.leaf_tokens + ALPHA * (m.leaf_words + 1))[leaf])
             own = _log10(m.weights, before, leaf, s) + inside
-            size = given.num_rows
+            size = len(c.doc_id)
             return pa.table({
-                "doc_id": given["doc_id"], "held_out": pa.array(c.held), "n_tokens": np.bincount(text, minlength=size),
+                "doc_id": c.doc_id, "held_out": pa.array(c.held), "n_tokens": np.bincount(text, minlength=size),
                 "n_known": np.bincount(text, weights=count > 0, minlength=size).astype(np.int64),
                 "base_score": np.bincount(text, weights=base, minlength=size), "score": np.bincount(text, weights=own, minlength=size),
             })
 
-        return self.chunks.each_with(self.answers, score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+        return chunks_with(self.coded, self.answers, score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def _blocks(weights: np.ndarray, share: float) -> pa.Table:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from steadyline.llm import embeddings, lattice, maxent, quality
@@ -187,6 +188,29 @@ def test_softmax_sums_to_one():
     assert abs((10 ** maxent._log10(weights, before, np.arange(256), s)).sum() - 1) < 1e-4
 
 
+def test_texts_are_cut_into_words_once(spark):
+    model = maxent.LanguageModel(frame(spark, [(i, f"a b{i % 7} C {i}") for i in range(40)], 2), maxent.Settings(first_bits=5, second_bits=6, rounds=1))
+    plan = model.scores()._jdf.queryExecution().executedPlan().toString()
+    assert "places" in plan and "text" not in plan
+
+
+def test_a_coded_chunk_reads_back():
+    texts, ids = ["b a b", None, " ", "x A a y"], [7, None, 3, 20]
+    given = pa.table({"chunk": [5] * 4, "doc_id": pa.array(ids, pa.int64()), "text": texts})
+    made = maxent._Chunk(given, 3, 10)
+    fields = [f.split()[0] for f in maxent._Chunk.CODED.split(", ")]
+    kinds = [pa.list_(pa.int64()), *[pa.binary()] * 3]
+    read = maxent._Chunk.read(pa.table({n: pa.array([v], k) for n, v, k in zip(fields, made.coded(), kinds)}), 10)
+    assert read.doc_id.to_pylist() == ids and (read.held == made.held).all() and read.counts().tolist() == [3, 0, 0, 4]
+    counts, leaves = np.arange(4), np.arange(4, dtype=np.uint8)
+    for x, y in zip(made.sequence(counts, leaves, 9), read.sequence(counts, leaves, 9)):
+        assert np.array_equal(x, y)
+    high, low = maxent.hashes(pa.array(["b", "a", "x", "y"], pa.large_binary()))
+    place = {int(v): i for i, v in enumerate(made.low)}
+    b, a, x, y = (place[int(v)] for v in low)
+    assert read.place.tolist() == [b, a, b, x, a, a, y] and read.hash[[b, a, x, y]].tolist() == high.tolist()
+
+
 def test_gradient_is_that_of_the_likelihood():
     s = maxent.Settings(first_bits=5, second_bits=6, batch=50, rate=0.05)
     rng = np.random.default_rng(2)
