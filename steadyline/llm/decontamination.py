@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from steadyline.llm.batches import slices
+from steadyline.llm.batches import SMALL_SLICE_BYTES, slices
 from steadyline.llm.words import ALNUM, gram_hashes, gram_starts, hashes, words_of
 from steadyline.sources.staging import staged
 
@@ -50,7 +50,7 @@ def _item_windows(items: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL_SLICE_BYTES):
                 words, high, low = _prepared(part.column("text"))
                 counts = words.counts()
                 for size in sorted(set(np.minimum(counts, window).tolist()) - {0}):
@@ -72,7 +72,7 @@ def _doc_prints(docs: DataFrame, sizes: list[int]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL_SLICE_BYTES):
                 words, high, _ = _prepared(part.column("text"))
                 for size in sizes:
                     value, first, n = _kept(high, words.start, size)
@@ -91,7 +91,7 @@ def _compared(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL_SLICE_BYTES):
                 words, high, low = _prepared(part.column("text"))
                 runs = part.column("runs")
                 no = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
@@ -114,7 +114,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL_SLICE_BYTES):
                 texts = part.column("text").cast(pa.large_binary()).fill_null(b"")
                 at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
                 data = texts.buffers()[2]

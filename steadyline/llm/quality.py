@@ -11,9 +11,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from steadyline.llm.batches import slices, with_column
+from steadyline.llm.batches import SMALL_SLICE_BYTES, slices, with_column
 from steadyline.llm.words import gram_hashes, gram_starts, hashes, listed, mixed, words_of
 from steadyline.sources.staging import new_location, staged
 
@@ -103,7 +104,7 @@ def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
 
     def vectorised(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL_SLICE_BYTES):
                 start, feature, value = _vectors(part.column("text"), s.bits)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), part.column("_label"),
@@ -120,11 +121,12 @@ def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
 
         def local(given: pa.Table) -> pa.Table:
             z, n = (x.copy() for x in start.value)
-            given = given.sort_by("doc_id").combine_chunks()
-            for label, feature, value in zip(given["label"].to_pylist(), given["feature"], given["value"]):
-                at = np.append(feature.values.to_numpy(zero_copy_only=False), size - 1)
-                x = np.append(value.values.to_numpy(zero_copy_only=False).astype(np.float64), 1.0)
-                _follow(z, n, at, x, label, s)
+            label = given["label"].to_pylist()
+            # in order of doc_id, row by row where it lies: a sorted copy would double what a shard takes
+            for i in pc.sort_indices(given["doc_id"]).to_pylist():
+                at = np.append(given["feature"][i].values.to_numpy(zero_copy_only=False), size - 1)
+                x = np.append(given["value"][i].values.to_numpy(zero_copy_only=False).astype(np.float64), 1.0)
+                _follow(z, n, at, x, label[i], s)
             blobs = [(i, *(np.array_split(v, BLOCKS)[i].tobytes() for v in (z, n))) for i in range(BLOCKS)]
             return pa.table({"block": pa.array([b[0] for b in blobs], pa.int32()), "z": [b[1] for b in blobs], "n": [b[2] for b in blobs]})
 
@@ -154,7 +156,7 @@ def scored(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFra
         score = w[-1] + total * SCALE / np.maximum(n_words, 1)
         return [pa.array(1.0 / (1.0 + np.exp(-np.clip(score, -35, 35))))]
 
-    return with_column(docs, "text", {name: T.DoubleType()}, compute)
+    return with_column(docs, "text", {name: T.DoubleType()}, compute, SMALL_SLICE_BYTES)
 
 
 def held_out(of: int):
