@@ -23,13 +23,15 @@ BASE = np.uint64(0x100000001B3)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 PLACE = np.uint64(0xD1B54A32D192ED03)
 SHIFT = 2.7
+SLOT_BITS = 18
 
 
 class Pieces(NamedTuple):
     text: pa.Array  # bytes of each piece, blanks as blanks
     weight: np.ndarray  # log weight of each piece
     byte: np.ndarray  # piece of each byte
-    prefix: np.ndarray  # hashes of the pieces' beginnings, sorted
+    prefix: np.ndarray  # hashes of the pieces' beginnings, sorted; at the end the largest number
+    slot: np.ndarray  # for each value of a hash's first SLOT_BITS bits, the place in prefix from which to look
     piece: np.ndarray  # the piece that such a beginning is, or -1
     short: np.ndarray  # for each byte and each pair of bytes (after the first 256), its place in prefix, or -1
     longest: int
@@ -65,20 +67,32 @@ def pieces(model_file: str, sharpness: float = 1.0) -> Pieces:
             raise ValueError(f"piece {i} has a blank inside")
         h = 0
         for j, c in enumerate(surface[i]):
-            h = (h * int(BASE) + c + 1) & 0xFFFFFFFFFFFFFFFF
+            h = (h + c + 1) * int(STEP) & 0xFFFFFFFFFFFFFFFF
             begins.setdefault(h, -1)
             if j == len(surface[i]) - 1:
                 begins[h] = i
     keys = np.array(sorted(begins), np.uint64)
+    prefix = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
+    slot = np.searchsorted(keys, np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS))
     first = np.arange(256, dtype=np.uint64) + np.uint64(1)
-    hashed = np.append(first, ((first * BASE)[:, None] + first[None, :]).reshape(-1))
-    at = np.minimum(np.searchsorted(keys, hashed), len(keys) - 1)
+    hashed = np.append(first * STEP, (((first * STEP)[:, None] + first[None, :]) * STEP).reshape(-1))
+    at = np.searchsorted(keys, hashed)
     return Pieces(
-        pa.array(surface, pa.large_binary()), -sharpness * np.log(rank + SHIFT), byte, keys,
-        np.array([begins[int(k)] for k in keys]), np.where(keys[at] == hashed, at, -1), max(len(surface[i]) for i in usual),
+        pa.array(surface, pa.large_binary()), -sharpness * np.log(rank + SHIFT), byte, prefix, slot,
+        np.array([*(begins[int(k)] for k in keys), -1]), np.where(prefix[at] == hashed, at, -1), max(len(surface[i]) for i in usual),
     )
 
 
+def _places(h: np.ndarray, p: Pieces) -> np.ndarray:
+    """Where in ``p.prefix`` each hash is, or would be."""
+    k = p.slot[h >> np.uint64(64 - SLOT_BITS)]
+    behind = np.flatnonzero(p.prefix[k] < h)
+    while len(behind):
+        k[behind] += 1
+        behind = behind[p.prefix[k[behind]] < h[behind]]
+    return k
+
+
 class Lattices:
     """The lattices of distinct units side by side; a node is a byte position of a unit."""
 
@@ -90,71 +104,81 @@ class Lattices:
         unit = np.repeat(np.arange(len(size)), size)
         end = off[unit + 1]
         lead = (data & 0xC0) != 0x80
-        at = np.flatnonzero(lead)
-        h, starts, ends, ids = np.zeros(len(at), np.uint64), [], [], []
+        place = np.arange(len(data))
+        first = place[lead][np.cumsum(lead) - 1] if len(data) else place
+        width = np.bincount(first, minlength=len(data))  # bytes of the character that begins here
+        widest = int(width.max(initial=0))
+        spelled = np.zeros(len(data), bool)
+        n_into = np.zeros(len(data) + 1, np.int64)  # edges that end at each byte; where a unit ends, its own
+        at, h, found = np.flatnonzero(lead), None, []
         for n in range(1, p.longest + 1):
             room = at + n <= end[at]
-            at, h = at[room], h[room]
-            h = h * BASE + data[at + n - 1].astype(np.uint64) + np.uint64(1)
             if n < 3:
+                at = at[room]
                 k = p.short[data[at]] if n == 1 else p.short[256 + (data[at].astype(np.int64) << 8) + data[at + 1]]
                 known = k >= 0
             else:
-                k = np.minimum(np.searchsorted(p.prefix, h), len(p.prefix) - 1)
+                at, h = at[room], h[room]
+                h = (h + data[at + n - 1] + np.uint64(1)) * STEP
+                k = _places(h, p)
                 known = p.prefix[k] == h
-            at, h, piece = at[known], h[known], p.piece[k[known]]
+            at, k = at[known], k[known]
+            h, piece = p.prefix[k], p.piece[k]
             is_piece = piece >= 0
-            starts.append(at[is_piece])
-            ends.append(at[is_piece] + n)
-            ids.append(piece[is_piece])
+            starts = at[is_piece]
+            found.append((starts, starts + n, piece[is_piece]))
+            n_into[starts + n] += 1
+            if n <= widest:
+                spelled[starts[width[starts] == n]] = True
             if not len(at):
                 break
-        starts, ends, ids = map(np.concatenate, (starts, ends, ids))
         # characters that are no piece are spelled in bytes
-        place = np.arange(len(data))
-        first = place[lead][np.cumsum(lead) - 1] if len(data) else place
-        width = np.bincount(first, minlength=len(data))  # bytes of the character that begins here
-        spelled = np.zeros(len(data), bool)
-        spelled[starts[ends - starts == width[starts]]] = True
         raw = np.flatnonzero(~spelled[first])
-        starts, ends, ids = np.append(starts, raw), np.append(ends, raw + 1), np.append(ids, p.byte[data[raw]])
-        own = unit[starts]
-        order = np.argsort((ends - off[own]) * (len(data) + 1) + ends, kind="stable")  # by length of the way so far, then by node
-        starts, ends, own, self.piece = starts[order], ends[order], own[order], ids[order]
-        self.source, target = starts + own, ends + own
+        found.append((raw, raw + 1, p.byte[data[raw]]))
+        n_into[raw + 1] += 1
+        # edges in the order of the nodes they end at, nodes by length of the way so far; into a node, shorter edges come first
+        ends = np.flatnonzero(n_into)
+        step = ends - off[unit[ends - 1]]
+        order = np.argsort(step.astype(np.uint16) if step.max(initial=0) < 1 << 16 else step, kind="stable")
+        ends, step = ends[order], step[order]
+        into = n_into[ends]
+        bounds = np.concatenate([[0], np.cumsum(into)])
+        self.node_first = bounds[:-1]
+        free = np.empty(len(data) + 1, np.int64)
+        free[ends] = self.node_first
+        self.source, self.piece = np.empty(bounds[-1], np.int64), np.empty(bounds[-1], np.int64)
+        for start, stop, piece in found:
+            at = free[stop]
+            free[stop] = at + 1
+            self.source[at], self.piece[at] = start + unit[start], piece
+        nodes = ends + unit[ends - 1]
         weight = p.weight[self.piece]
         n_nodes = len(data) + len(size)
         self.begin, self.end = off[:-1] + np.arange(len(size)), off[1:] + np.arange(len(size))
         mass = np.full(n_nodes, -np.inf)
         self.ways = np.zeros(n_nodes)
         mass[self.begin], self.ways[self.begin] = 0.0, 1.0
-        self.node_first = np.flatnonzero(np.append(True, np.diff(target) != 0)) if len(target) else np.zeros(0, np.int64)
-        nodes = target[self.node_first]
-        step = (ends - off[own])[self.node_first] if len(target) else np.zeros(0, np.int64)
         cuts = np.flatnonzero(np.append(True, np.diff(step) != 0)) if len(step) else []
-        bounds = np.append(self.node_first, len(target))
         for a, z in zip(cuts, np.append(cuts[1:], len(step)) if len(step) else []):
             lo, hi = bounds[a], bounds[z]
-            into = self.node_first[a:z] - lo
-            mass[nodes[a:z]] = np.logaddexp.reduceat(mass[self.source[lo:hi]] + weight[lo:hi], into)
+            before, group = self.source[lo:hi], self.node_first[a:z] - lo
+            weight[lo:hi] += mass[before]
+            mass[nodes[a:z]] = np.logaddexp.reduceat(weight[lo:hi], group)
             with np.errstate(over="ignore"):  # infinitely many will do
-                self.ways[nodes[a:z]] = np.add.reduceat(self.ways[self.source[lo:hi]], into)
+                self.ways[nodes[a:z]] = np.add.reduceat(self.ways[before], group)
         with np.errstate(invalid="ignore"):
-            log_p = mass[self.source] + weight - mass[target]
+            log_p = weight - np.repeat(mass[nodes], into)
         self.log_p = np.where(np.isfinite(log_p), log_p, -np.inf)
         share = np.exp(self.log_p)
-        group = np.repeat(np.arange(len(nodes)), np.diff(bounds))
-        # added up node by node, so that no number depends on the other units
+        # shares added up node by node, so that no number depends on the other units; and the likeliest edge into each node
         self.upto = upto = share.copy()
-        at = self.node_first
-        while len(at := at[at + 1 < bounds[group[at] + 1]] if len(at) else at):
-            at = at + 1
+        self.top, which = self.node_first.copy(), np.arange(len(nodes))
+        for i in range(1, int(into.max(initial=0))):
+            which = which[into[which] > i]
+            at, top = self.node_first[which] + i, self.top[which]
             upto[at] += upto[at - 1]
+            self.top[which] = np.where(share[at] >= share[top], at, top)
         self.bounds = bounds
-        # the likeliest edge into each node, and the share of those before it
-        likely = np.flatnonzero(share == np.maximum.reduceat(share, self.node_first)[group]) if len(group) else np.zeros(0, np.int64)
-        self.top = np.zeros(len(nodes), np.int64)
-        self.top[group[likely]] = likely
         self.top_share, self.top_before = share[self.top], upto[self.top] - share[self.top]
         self.rank = np.full(n_nodes, -1)
         self.rank[nodes] = np.arange(len(nodes))
@@ -180,36 +204,49 @@ class Lattices:
             node[active] = self.source[e]
             steps.append((active, e))
             active = active[node[active] != self.begin[units[active]]]
-        counts = np.zeros(len(units), np.int64)
-        for a, _ in steps:
-            counts[a] += 1
-        start = np.concatenate([[0], np.cumsum(counts)])
-        edges = np.empty(start[-1], np.int64)
-        for k, (a, e) in enumerate(steps):
-            edges[start[a] + counts[a] - 1 - k] = e
-        return edges, start, log_p
-
-    def other(self, unit: int, ruled_out: list[np.ndarray], seed: np.uint64) -> np.ndarray:
-        """A segmentation of the unit that is none of ``ruled_out``, by its probability among the others."""
-        node, path, left = self.end[unit], [], [r[::-1] for r in ruled_out]
-        while node != self.begin[unit]:
-            k = self.rank[node]
-            edges = np.arange(self.bounds[k], self.bounds[k + 1])
-            share, free = np.exp(self.log_p[edges]), self.ways[self.source[edges]].copy()
-            for r in left:
-                i = r[len(path)] - edges[0]
-                share[i] -= np.exp(self.log_p[r[len(path) :]].sum())
-                free[i] -= 1
-            share = np.where(free > 0, np.maximum(share, 0.0), 0.0)
-            if not share.sum():  # all that is left is below rounding
-                share = (free > 0).astype(float)
-            upto = np.cumsum(share)
-            u = float(uniform(np.array([seed]), len(path))[0])
-            e = edges[min(int(np.searchsorted(upto, u * upto[-1], side="right")), int(np.flatnonzero(share)[-1]))]
-            left = [r for r in left if r[len(path)] == e]
-            path.append(e)
-            node = self.source[e]
-        return np.array(path[::-1], np.int64)
+        return *_joined(steps, len(units)), log_p
+
+    def others(self, units: np.ndarray, ruled_out: list[list[np.ndarray]], seeds: np.ndarray):
+        """Of each unit a segmentation that is none of its ``ruled_out``, by its probability among the others: edges, and starts."""
+        node, active, steps = self.end[units].copy(), np.arange(len(units)), []
+        left = {j: [r[::-1] for r in own] for j, own in enumerate(ruled_out)}
+        while len(active):
+            done, k = len(steps), self.rank[node[active]]
+            first, last = self.bounds[k], self.bounds[k + 1] - 1
+            edges = first[:, None] + np.arange((last - first).max() + 1)
+            inside = edges <= last[:, None]
+            edges = np.minimum(edges, last[:, None])
+            share, free = np.exp(self.log_p[edges]), self.ways[self.source[edges]]
+            for row, j in enumerate(active.tolist()):
+                for r in left.get(j, ()):
+                    i = r[done] - first[row]
+                    share[row, i] -= np.exp(self.log_p[r[done:]].sum())
+                    free[row, i] -= 1
+            open_ = inside & (free > 0)
+            share = np.where(open_, np.maximum(share, 0.0), 0.0)
+            share = np.where(share.any(axis=1)[:, None], share, open_)  # no share: all that is left is below rounding
+            upto = np.cumsum(share, axis=1)
+            drawn = uniform(seeds[active], done) * upto[:, -1]
+            e = first + np.minimum((upto <= drawn[:, None]).sum(axis=1), share.shape[1] - 1 - (share[:, ::-1] > 0).argmax(axis=1))
+            for row, j in enumerate(active.tolist()):
+                if j in left:
+                    left[j] = [r for r in left[j] if r[done] == e[row]]
+            node[active] = self.source[e]
+            steps.append((active, e))
+            active = active[node[active] != self.begin[units[active]]]
+        return _joined(steps, len(units))
+
+
+def _joined(steps: list[tuple[np.ndarray, np.ndarray]], n: int):
+    """Of walks from the end, (walks, their edges) step by step: all edges front to back, and where each walk's begin."""
+    counts = np.zeros(n, np.int64)
+    for a, _ in steps:
+        counts[a] += 1
+    start = np.concatenate([[0], np.cumsum(counts)])
+    edges = np.empty(start[-1], np.int64)
+    for k, (a, e) in enumerate(steps):
+        edges[start[a] + counts[a] - 1 - k] = e
+    return edges, start
 
 
 def uniform(seeds: np.ndarray, k: int) -> np.ndarray:
@@ -307,14 +344,16 @@ def searched(texts: list[bytes], keys: np.ndarray, k: int, p: Pieces):
         parts: dict[int, np.ndarray] = {}
         after_turn = np.full(texts_n, -np.inf)
         seeds = noise(s, 0)
-        for t in np.flatnonzero(there).tolist():
-            i, j = int(turn[t]), int(which[t])
-            out_there = ruled.get((j, i)) or [leaves[j].edges[leaves[j].start[i] : leaves[j].start[i + 1]]]
-            path = lat.other(int(unit[i]), out_there, seeds[i])
-            parts[i] = path
+        at = turn[there]
+        out_there = [
+            ruled.get((j, i)) or [leaves[j].edges[leaves[j].start[i] : leaves[j].start[i + 1]]] for i, j in zip(at.tolist(), which[there].tolist())
+        ]
+        paths, cut = lat.others(unit[at], out_there, seeds[at])
+        for t, i, own, a, z in zip(np.flatnonzero(there).tolist(), at.tolist(), out_there, cut.tolist(), cut[1:].tolist()):
+            parts[i] = path = paths[a:z]
             log_p[i] = lat.log_p[path].sum()
-            ruled[s, i] = [*out_there, path]
-            leaves[j].after[i] = -np.inf
+            ruled[s, i] = [*own, path]
+            leaves[which[t]].after[i] = -np.inf
             if len(ruled[s, i]) < ways[i]:
                 rest = 1.0 - sum(np.exp(lat.log_p[r].sum()) for r in ruled[s, i])
                 after_turn[t] = np.log(max(rest, 1e-300))
@@ -335,7 +374,6 @@ def searched(texts: list[bytes], keys: np.ndarray, k: int, p: Pieces):
         for i, path in parts.items():
             edges[start[i] : start[i + 1]] = path
         after = np.where(fresh, regions(log_p, s, best), -np.inf)
-        at = turn[there]
         if len(at):
             after[at] = np.where(np.isfinite(after_turn[there]), _below(before(log_p)[at] + after_turn[there], best[there], uniform(noise(s, 1)[at], 0)), -np.inf)
         leaves.append(Leaf(edges, start, log_p, after))

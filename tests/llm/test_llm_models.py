@@ -2,6 +2,7 @@
 
 import math
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -306,3 +307,76 @@ def test_all_segmentations_come_once(pieces):
         seen = [tuple(lat.piece[leaf.edges[leaf.start[first[t]] : leaf.start[first[t + 1]]]].tolist()) for leaf, (_, there) in zip(leaves, out) if there[t]]
         assert len(seen) == len(p) and set(seen) == set(p)
     assert np.isneginf(kappa).all()
+
+
+def test_lattices_hold_every_piece_that_fits(pieces):
+    surface = {}
+    for i, b in enumerate(pieces.text.to_pylist()):
+        if i > 258:
+            surface[b] = i
+    units = [" the".encode(), "  ".encode(), "\n".encode(), " ñandú漢𝄞\x00".encode(), " internationalisation".encode(), b" " + b"=" * 70, " ​а".encode()]
+    lat = lattice.Lattices(pa.array(units, pa.large_binary()), pieces)
+    got, want = set(), set()
+    for node in range(len(lat.rank)):
+        if (k := lat.rank[node]) >= 0:
+            got |= {(int(lat.source[e]), node, int(lat.piece[e])) for e in range(lat.bounds[k], lat.bounds[k + 1])}
+    for unit, begin in zip(units, lat.begin.tolist()):
+        starts = [a for a in range(len(unit)) if unit[a] & 0xC0 != 0x80]
+        for a, z in zip(starts, [*starts[1:], len(unit)]):
+            own = [(begin + a, begin + b, surface[unit[a:b]]) for b in range(a + 1, len(unit) + 1) if unit[a:b] in surface]
+            if unit[a:z] not in surface:
+                own += [(begin + i, begin + i + 1, int(pieces.byte[unit[i]])) for i in range(a, z)]
+            want |= set(own)
+    assert got == want and len(lat.source) == len(want)
+
+
+def other(lat, unit, ruled_out, seed):
+    """One unit's segmentation that is none of ``ruled_out``, edge by edge."""
+    node, path, left = lat.end[unit], [], [r[::-1] for r in ruled_out]
+    while node != lat.begin[unit]:
+        edges = np.arange(lat.bounds[lat.rank[node]], lat.bounds[lat.rank[node] + 1])
+        share, free = np.exp(lat.log_p[edges]), lat.ways[lat.source[edges]]
+        for r in left:
+            share[r[len(path)] - edges[0]] -= np.exp(lat.log_p[r[len(path) :]].sum())
+            free[r[len(path)] - edges[0]] -= 1
+        share = np.where(free > 0, np.maximum(share, 0.0), 0.0)
+        share = share if share.sum() else (free > 0).astype(float)
+        upto = np.cumsum(share)
+        drawn = float(lattice.uniform(np.array([seed]), len(path))[0]) * upto[-1]
+        e = edges[min(int(np.searchsorted(upto, drawn, side="right")), int(np.flatnonzero(share)[-1]))]
+        left = [r for r in left if r[len(path)] == e]
+        path.append(e)
+        node = lat.source[e]
+    return path[::-1]
+
+
+def test_units_parted_together_are_as_one_by_one(pieces):
+    words = [" the", " on", " remarkable", " ñandú", " " + "x" * 300, " internationalisation"]
+    lat = lattice.Lattices(pa.array([w.encode() for w in words], pa.large_binary()), pieces)
+    unit = np.repeat(np.arange(len(words)), 3)
+    seeds = np.arange(1, len(unit) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    edges, start, _ = lat.sample(unit, seeds)
+    ruled = [[edges[a:z]] for a, z in zip(start, start[1:])]
+    for again in range(1, 4):
+        want = [other(lat, *x) for x in zip(unit.tolist(), ruled, seeds + np.uint64(again))]
+        edges, start = lat.others(unit, ruled, seeds + np.uint64(again))
+        got = [edges[a:z] for a, z in zip(start, start[1:])]
+        assert [g.tolist() for g in got] == want
+        ruled = [[*r, g] for r, g in zip(ruled, got)]
+        assert all(len({tuple(x.tolist()) for x in r}) == again + 1 for r in ruled)
+
+
+def test_a_slice_is_searched_as_one(pieces):
+    """Calls grow little with the number of texts: what differs at a unit is drawn for all texts of a slice at once."""
+
+    def calls(n):
+        made, texts = Counter(), [b"the quick brown fox jumps over the lazy dog"] * n
+        keys = np.arange(1, n + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sys.setprofile(lambda frame, event, arg: made.update([event]))
+        try:
+            lattice.searched(texts, keys, 2, pieces)
+        finally:
+            sys.setprofile(None)
+        return made["call"] + made["c_call"]
+
+    assert (calls(600) - calls(200)) / 400 < 60
