@@ -201,6 +201,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     found = keyed.select("page_id", "url", "html", "_sha1").join(firsts, F.col("_sha1") == F.col("_key"), "left")
     other = F.coalesce("_shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("_first"))
     given = found.select("page_id", "url", "html", "_sha1", other.alias("_revisit"), "_first")
+    given = given.sortWithinPartitions("page_id", "url", "_sha1")  # rows arrive in any order, archives are named by what they hold
 
     def run(batches):
         held, size = [], 0
